@@ -135,7 +135,7 @@ def covered(matches: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and n_near (proximity matches)."""
+    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (proximity matches) and digest (a hash of the text)."""
     docs = docs.select("doc_id", "text")
     windows = materialize(item_windows(benchmark.select("item_id", "text"), n), "windows")
     terms = windows.select(F.explode("words").alias("term")).distinct()
@@ -159,10 +159,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     return out.select(
         "doc_id", "n_words", zero["n_hit"], zero["n_items"],
         F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), zero["n_near"],
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), zero["n_near"], "digest",
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window."""
+    marked = docs.withColumn("__text", F.xxhash64("text"))
+    bad = contamination(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    return marked.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")), "left_anti").select(*docs.columns)
+
+
 def _null_safe(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Join by KEY, where a null ``doc_id`` equals another."""
     right = right.withColumnsRenamed({k: f"__{k}" for k in KEY})

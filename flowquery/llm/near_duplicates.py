@@ -26,7 +26,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquery.llm.common import materialize
@@ -56,13 +56,13 @@ def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [simhash(x.as_py()) for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(values, pa.int64())], ["doc_id", "digest", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, digest, fp) of every row; ``digest``: a hash of the whole text, which tells rows of one id apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, digest long, fp long")
 
 
 def ring(fp: Column, box: Column) -> Column:
@@ -123,7 +123,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id, n_links) of every row; ``n_links``: other fingerprints within TAU bits."""
+    """(doc_id, digest, fp, component_id, n_links) of every row; ``n_links``: other fingerprints within TAU bits."""
     marked = materialize(fingerprints(docs), "fingerprints")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     pairs = materialize(links(classes.select("fp")), "links")
@@ -133,4 +133,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = rooted.join(least, "root").select("fp", "component_id", "n_links")
     single = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return marked.join(single, "fp").select("doc_id", "fp", "component_id", "n_links")
+    return marked.join(single, "fp").select("doc_id", "digest", "fp", "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but for near-duplicates of a row with a smaller id.
+
+    Of rows with one id and one text, one stays. Rows with a null ``doc_id`` stay.
+    """
+    found = near_duplicates(docs).where(F.col("doc_id").isNotNull())
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
+    marked = docs.withColumn("__text", F.xxhash64("text"))
+    kept = marked.join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__digest")), "left_semi")
+    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.lit(0)))).where("__n = 1")
+    return kept.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))

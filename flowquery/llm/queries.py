@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquery.llm import decontaminate, hash_forest, near_duplicates, packing, quality, secret_scan, substring_dedup, token_files, toxicity
+from flowquery.llm import decontaminate, hash_forest, html_text, near_duplicates, packing, quality, secret_scan, substring_dedup, token_files, toxicity
 from flowquery.llm.common import new_table_path
 from flowquery.llm.labelled import held_out
 
@@ -63,6 +63,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, toxicity.scorer(docs, table(spark, sf_dir, "labels")), 0.5)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
@@ -73,5 +77,6 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_html_text": op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -155,22 +155,34 @@ def scan_filter(rule: Rule) -> str:
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, text, spans) of every row; ``spans``: by start, then by the order of ``rules``."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """``docs`` with ``spans``: by start, then by the order of ``rules``. A null text becomes an empty one."""
+    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).drop("spans")
     cands = materialize(candidates(trigram_index(docs, rules), rules), "secret_candidates")
-    if cands.count() <= BROADCAST_ROWS:
-        cands = F.broadcast(cands)
+    small = cands.count() <= BROADCAST_ROWS
+    cands = cands.select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
     text = F.col("text")
     found = []
     for rule in rules:
         if rule.words:
-            may = F.col("doc_id").isNull() | F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
+            may = F.col("doc_id").isNull() | F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
         else:
             may = text.rlike(scan_filter(rule))
         holds = may & text.rlike(rule.regex) if rule.words else may
         found.append(F.when(holds, spans_of(rule, text)).otherwise(no_spans()))
-    marked = docs.join(cands, "doc_id", "left")
-    return marked.select("doc_id", "text", F.array_sort(reduce(F.concat, found)).alias("spans"))
+    marked = docs.join(F.broadcast(cands) if small else cands, F.col("doc_id") == F.col("__id"), "left")
+    return marked.select(*docs.columns, F.array_sort(reduce(F.concat, found)).alias("spans"))
+
+
+def redact(text: Column, spans: Column) -> Column:
+    """``text`` with each span, or run of overlapping ones, replaced by the first one's kind in brackets."""
+
+    def step(done: Column, x: Column) -> Column:
+        between = F.substring(text, done["end"] + 1, x["start"] - done["end"])
+        out = F.when(x["start"] >= done["end"], F.concat(done["out"], between, F.lit("["), x["kind"], F.lit("]"))).otherwise(done["out"])
+        return F.struct(F.greatest(done["end"], x["end"]).alias("end"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"))
+    return F.when(F.size(spans) == 0, text).otherwise(F.reduce(spans, start, step, lambda done: F.concat(done["out"], F.substring(text, done["end"] + 1, F.char_length(text)))))
 
 
 def span_list(spans: Column) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from flowquery.llm import decontaminate, hash_forest, html_text, near_duplicates, packing, quality, secret_scan, substring_dedup, token_files, toxicity
 from flowquery.llm.common import new_table_path
 from flowquery.llm.labelled import held_out
+from flowquery.llm.oracles import ORACLE_SQL
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +44,8 @@ def op5_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")  # SQL has no like of n_near
 
 
 def scored(docs: DataFrame, score: Column, least: float) -> DataFrame:
@@ -79,4 +84,3 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
 }
-ORACLE_SQL: dict[str, str] = {}

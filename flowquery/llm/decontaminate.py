@@ -107,8 +107,9 @@ def intersect(posts: DataFrame, anchors_: DataFrame) -> DataFrame:
     moved = moved.where(F.col("at") >= 0)
     same = F.slice("around", F.col("before") - F.col("offset") + 1, F.col("size")) == F.col("words")
     agreeing = moved.withColumn("same", F.when(F.col("rank") == 0, same)).groupBy("win", "size", "of", *KEY, "at")
-    found = agreeing.agg(F.count("*").alias("anchors"), F.bool_or("same").alias("exact"))
-    return found.where((F.col("anchors") == F.col("of")) & F.col("exact")).select("win", "size", *KEY, "at")
+    # Which ranks agree, as bits: rows that are repeated do not count twice.
+    found = agreeing.agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("rank"))).alias("ranks"), F.bool_or("same").alias("exact"))
+    return found.where((F.bit_count("ranks") == F.col("of")) & F.col("exact")).select("win", "size", *KEY, "at")
 
 
 def near(posts: DataFrame, anchors_: DataFrame, slop: int = SLOP) -> DataFrame:
@@ -122,7 +123,7 @@ def near(posts: DataFrame, anchors_: DataFrame, slop: int = SLOP) -> DataFrame:
     back = F.last(other, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     ahead = F.first(other, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     gap = F.least(F.col("at") - back, ahead - F.col("at"))
-    return moved.withColumn("gap", gap).where((F.col("rank") == 0) & F.col("gap").between(1, slop)).drop("rank")
+    return moved.withColumn("gap", gap).where((F.col("rank") == 0) & F.col("gap").between(1, slop)).drop("rank").distinct()
 
 
 def covered(matches: DataFrame) -> DataFrame:

@@ -128,6 +128,8 @@ class TreeBuilder(HTMLParser):
 def parse(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
+    if builder.rawdata.startswith("<!--"):  # a comment that is never closed
+        builder.rawdata = ""
     builder.close()
     return builder.root
 
@@ -261,11 +263,14 @@ def render(root: Node) -> str:
             _leave(here, stack)
             continue
         child = here.children.pop()
+        closed = here.node.tag == "details" and "open" not in here.node.attrs
+        if closed and (isinstance(child, str) or child.tag != "summary"):
+            continue
         if isinstance(child, str):
             here.canvas.text(child, here.keep)
         elif child.tag == "br":
             here.canvas.flush(blank=True)
-        elif child.tag == "wbr" or child.hidden or (here.node.tag == "details" and "open" not in here.node.attrs and child.tag != "summary"):
+        elif child.tag == "wbr" or child.hidden:
             continue
         else:
             stack.append(_enter(child, here))

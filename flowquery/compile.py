@@ -1,7 +1,9 @@
 """Predicates and templates as Columns, over typed columns or over a VARIANT column.
 
 Typed columns are pruned and pushed down; in them SQL NULL stands for an absent key. A VARIANT
-keeps a JSON null apart from an absent key and needs no schema. Comparisons never yield NULL.
+keeps a JSON null apart from an absent key and needs no schema. Predicates are conditions for filters:
+NULL stands for false in them. They have no negation outside comparisons, so that is safe, and plain
+comparisons of columns reach the scan as they are. ``flag`` makes true or false of one.
 """
 
 from __future__ import annotations
@@ -121,13 +123,14 @@ def _sure(column: Column) -> Column:
 def _leaf(value: Value, c: Comparison) -> Column:
     if c.text == "*":
         return value.present()
+    equal = value.equals(c)
     if c.op == "=":
-        return _sure(value.equals(c))
+        return equal
     if c.op == "~":
-        return value.present() & ~_sure(value.equals(c))
+        return value.present() & ~(equal if isinstance(value, Typed) else _sure(equal))
     if isinstance(c.literal, str):
         return F.lit(False)
-    return _sure(value.number() > c.literal if c.op == ">" else value.number() < c.literal)
+    return value.number() > c.literal if c.op == ">" else value.number() < c.literal
 
 
 def _any(value: Value, path: Item, c: Comparison) -> Column:
@@ -174,6 +177,11 @@ def where(schema: StructType, text: str) -> Column:
     return compile_predicate(_Row(schema), parse_predicate(text))
 
 
+def flag(predicate: Column) -> Column:
+    """A predicate as a column of true and false."""
+    return _sure(predicate)
+
+
 def where_variant(column: Column, text: str) -> Column:
     """A predicate over one VARIANT column."""
     return compile_predicate(Variant(column), parse_predicate(text))

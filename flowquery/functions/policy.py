@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -37,6 +38,21 @@ class Policy:
     names: dict[int, str] = field(default_factory=dict)
     unknown: int = 0
 
+    @classmethod
+    def from_json(cls, text: str) -> Policy:
+        """From an object with ``classification`` (name to level) and ``rules``: attribute to value to a level, or to a ``default`` with one parameter's ``operator`` and ``thresholds``."""
+        found = json.loads(text)
+
+        def rule(x) -> Rule:
+            if not isinstance(x, dict):
+                return Rule(int(x))
+            inner = next((v for v in x.values() if isinstance(v, dict)), {})
+            steps = tuple((int(k), int(v)) for k, v in inner.get("thresholds", {}).items())
+            return Rule(int(x["default"]), inner.get("operator", "=="), steps)
+
+        rules = {a: {v: rule(x) for v, x in values.items()} for a, values in found["rules"].items()}
+        return cls(rules, {n: name for name, n in found["classification"].items()})
+
     def level(self, attribute: str, value: Column, parameter: Column | None = None) -> Column:
         known = [F.when(value == v, rule.level(parameter)) for v, rule in self.levels[attribute].items()]
         return F.when(value.isNotNull(), F.coalesce(*known, F.lit(self.unknown)))
@@ -67,3 +83,31 @@ def trust(issuers: Column, trusted: Sequence[str]) -> Column:
     """The last certificate's issuer: trusted, named, or missing."""
     last = F.try_element_at(issuers, F.lit(-1))
     return F.when(F.size(issuers) < 1, "no certs data").when(last.isNull(), "CA is none").when(last.isin(*trusted), "trusted").otherwise(F.concat(F.lit("CA not trusted: "), last))
+
+
+def tls_security(policy: Policy, suite: Column, client_key_length: Column, certs: Column, threshold: int = 2, unknowns: str = "report", trusted: Sequence[str] = ()) -> Column:
+    """struct(classification, concerns) of a TLS flow.
+
+    ``suite``: struct(kex, sig, enc, auth, hash) or null; ``certs``: array of struct(signature_algo, signature_key_size, issuer).
+    ``client_key_length`` is as recorded, with 16 bits of encoding. ``unknowns``: "ignore" leaves values without a rule out of the lowest level.
+    """
+    length = client_key_length - 16
+    attributes = [a for a in ("kex", "sig", "enc", "auth", "hash") if a in policy.levels]
+    values = {a: (suite[a], length if a == "kex" else None) for a in attributes}
+    levels = F.array(*(policy.level(a, v, p) for a, (v, p) in values.items()))
+    if unknowns == "ignore":
+        levels = F.filter(levels, lambda x: x != policy.unknown)
+    of_suite = F.when(suite.isNotNull(), F.array_min(levels))
+    lines = F.when(suite.isNotNull(), policy.concerns(values, threshold, {"kex": "client_key_length"})).otherwise(F.array().cast("array<string>"))
+
+    level = lambda x: policy.level("cert_sig_alg", x["signature_algo"], x["signature_key_size"])
+    of_certs = F.array_min(F.transform(certs, level)) if "cert_sig_alg" in policy.levels else F.lit(None).cast("int")
+
+    def concern(x: Column, i: Column) -> Column:
+        return F.when(level(x) <= threshold, F.concat(F.lit("cert_sig_alg - "), x["signature_algo"], F.lit(" sig_key_size "), x["signature_key_size"].cast("string"), F.lit(" in cert "), i.cast("string")))
+
+    weak = F.array_compact(F.transform(certs, concern)) if "cert_sig_alg" in policy.levels else F.array().cast("array<string>")
+    audit = trust(F.transform(certs, lambda x: x["issuer"]), trusted)
+    untrusted = F.when(audit != "trusted", F.array(audit)).otherwise(F.array().cast("array<string>"))
+    concerns = F.concat(F.when(certs.isNull(), F.array(F.lit("no certs data"))).otherwise(F.concat(weak, untrusted)), lines)
+    return F.struct(policy.classification(F.least(of_suite, of_certs)).alias("classification"), concerns.alias("concerns"))

@@ -157,3 +157,8 @@ def indicators(values: Column, vocabulary: list[str]) -> Column:
 def negotiated(client: Column, server: Column) -> Column:
     """The first of the client's names that the server has, too."""
     return F.try_element_at(F.filter(client, lambda x: F.array_contains(server, x)), F.lit(1))
+
+
+def proposals_agree(initiator: Column, responder: Column) -> Column:
+    """Whether every transform that the responder chose was among those proposed."""
+    return F.forall(responder, lambda r: F.exists(initiator, lambda i: i == r))

@@ -2,9 +2,10 @@
 
 import pytest
 from flowquery import config
+from flowquery.functions import matching, policy, scalar
 from flowquery.features import fingerprints, tls
 from flowquery.operators import packets
-from flowquery.sinks import ipfix
+from flowquery.sinks import ipfix, model
 from flowquery.sources import exports, training
 from flowquery.streaming import links, sessions
 from pyspark.sql import functions as F
@@ -107,3 +108,35 @@ def test_sessions_over_triggers(spark, tmp_path):
     for r in found:
         latest[r.k, r.start - zero] = max(latest.get((r.k, r.start - zero), (0, 0)), (r.n, r.end))
     assert {k: v[0] for k, v in latest.items()} == {(1, 0): 3, (1, 33 * s): 1, (2, 3 * s): 1, (2, 60 * s): 1}
+
+
+POLICY = """{"classification": {"avoid": 1, "legacy": 2, "acceptable": 3, "recommended": 4}, "rules": {
+  "kex": {"RSA": {"default": 3, "client_key_length": {"operator": "<", "thresholds": {"1024": 1, "2048": 2}}}}, "enc": {"AES": 4, "RC4": 1}, "hash": {"SHA": 2},
+  "cert_sig_alg": {"sha256": {"default": 4, "sig_key_size": {"operator": "<=", "thresholds": {"1024": 2}}}}}}"""
+
+
+def test_tls_security(spark):
+    rules = policy.Policy.from_json(POLICY)
+    suite = "suite struct<kex:string,sig:string,enc:string,auth:string,hash:string>, n int, certs array<struct<signature_algo:string,signature_key_size:int,issuer:string>>"
+    rows = [(("RSA", "RSA", "AES", "RSA", "X"), 4112, [("sha256", 2048, "Org")]), (("RSA", "RSA", "RC4", "RSA", "SHA"), 1040, [("sha256", 1024, "Bad")]), (None, None, None)]
+    df = spark.createDataFrame(rows, suite)
+    made = lambda how: [tuple(r[0]) for r in df.select(policy.tls_security(rules, F.col("suite"), F.col("n"), F.col("certs"), 2, how, ["Org"])).collect()]
+    assert made("ignore")[0] == ("acceptable", ["hash - X"]) and made("report")[0][0] == "unknown"
+    assert made("report")[1] == ("avoid", ["cert_sig_alg - sha256 sig_key_size 1024 in cert 0", "CA not trusted: Bad", "kex - RSA client_key_length 1024", "enc - RC4", "hash - SHA"])
+    assert made("report")[2] == ("unknown", ["no certs data"])
+
+
+def test_many_patterns(spark):
+    df = spark.createDataFrame([("ushers",), ("",), (None,), ("hehe",)], "t string")
+    found = [[(m.start, m.stop, m.pattern) for m in r[0]] for r in df.select(matching.find_all(spark, F.col("t"), ["he", "she", "his", "hers"])).collect()]
+    assert found == [[(1, 3, "she"), (2, 5, "hers")], [], [], [(0, 1, "he"), (2, 3, "he")]]
+
+
+def test_parameters_round_trip(spark, tmp_path):
+    model.write(spark, [0.1, -2.0, 3e-9], str(tmp_path / "m"))
+    assert model.read(spark, str(tmp_path / "m")) == [0.1, -2.0, 3e-9]
+
+
+def test_proposals(spark):
+    df = spark.createDataFrame([([1, 2, 3], [2]), ([1], [1, 4]), ([1], [])], "i array<int>, r array<int>")
+    assert [x[0] for x in df.select(scalar.proposals_agree(F.col("i"), F.col("r"))).collect()] == [True, False, True]

@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper and lower case of the only letters that the text contracts fold.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+from flowquery.storage import new_path as new_table_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
+__all__ = ["BLANKS", "NON_WORD", "fold_ascii", "materialize", "new_table_path", "partitions", "words_by"]
 
-    Where it is unset a temporary folder serves, in local mode only: on a cluster a
-    machine-local folder would lose rows, so there an unset folder is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/{name}"
+#: Upper and lower case of the only letters that the text contracts fold.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType
 
+from flowquery.functions import bytewise
+
 
 def clustered(df: DataFrame, groups: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """The rows as they are, those of a group together."""
@@ -79,8 +81,13 @@ def bytes_of(df: DataFrame, groups: Sequence[str], text: str, most: int | None =
 
 
 def byte_histogram(df: DataFrame, groups: Sequence[str], text: str, most: int | None = None) -> DataFrame:
-    """(groups, byte, n): how often each byte occurs, summed before it is shuffled."""
-    return bytes_of(df, groups, text, most).groupBy(*groups, "byte").agg(F.count("*").alias("n"))
+    """(groups, byte, n): how often each byte of ``text``, or of its first ``most``, occurs.
+
+    Bytes are counted value by value, so at most 256 rows a value are summed, map-side first.
+    """
+    data = F.encode(text, "UTF-8") if most is None else F.substring(F.encode(text, "UTF-8"), 1, most)
+    cells = df.select(*groups, F.explode(bytewise.counts(data)).alias("c"))
+    return cells.groupBy(*groups, F.col("c.byte").alias("byte")).agg(F.sum("c.n").alias("n"))
 
 
 def compact_histogram(histogram: DataFrame, groups: Sequence[str], bins: DataFrame) -> DataFrame:
@@ -101,12 +108,11 @@ def byte_statistics(df: DataFrame, groups: Sequence[str], text: str) -> DataFram
 
 def walsh4(df: DataFrame, groups: Sequence[str], text: str) -> DataFrame:
     """The four-point Walsh-Hadamard spectrum over whole quads of bytes, by the number of bytes in them."""
-    whole = df.withColumn("_quads", F.floor(F.octet_length(text) / 4) * 4)
-    rows = bytes_of(whole, [*groups, "_quads"], text).where(F.col("pos") < F.col("_quads"))
-    at = F.col("pos") % 4
+    sums = df.select(*groups, bytewise.quad_sums(F.encode(text, "UTF-8")).alias("q"))
+    at = [F.sum(F.col("q")[i]) for i in range(4)]
+    n = F.sum(F.col("q")[4])
     signs = {"s0": (1, 1, 1, 1), "s1": (1, -1, 1, -1), "s2": (1, 1, -1, -1), "s3": (1, -1, -1, 1)}
-    n = F.count("*")
-    return rows.groupBy(*groups).agg(*((F.sum(F.col("byte") * F.element_at(F.array(*map(F.lit, s)), at + 1)) / n).alias(k) for k, s in signs.items()))
+    return sums.groupBy(*groups).agg(*((sum(x * k for x, k in zip(at, s, strict=True)) / n).alias(name) for name, s in signs.items()), n.alias("n")).where("n > 0").drop("n")
 
 
 def bit_reduced(counts: Column) -> Column:

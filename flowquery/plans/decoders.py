@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowquery.features import dns, http
+from flowquery.features import dns, fingerprints, http
+from flowquery.functions import matching
 from flowquery.plans.catalogue import query
-from flowquery.sources.flow_view import table
+from flowquery.plans.selection import FLOWS
+from flowquery.sinks import ipfix
+from flowquery.sources import exports
+from flowquery.sources.flow_view import flows, table
 
 
 @query("SELECT page_id, 'GET' AS method, url AS uri, 'www.' || page_id AS host, len(html) AS length FROM pages")
@@ -27,3 +31,32 @@ def dns_answers_explode(spark, sf_dir):
     packet = F.unhex(F.concat(F.lit("0001818000010001" + "00000000"), name, F.lit("00010001"), answer))
     decoded = table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id", dns.parse(packet).alias("d"))
     return decoded.select("event_id", F.col("d.qn").alias("qn"), F.explode("d.rr").alias("rr")).select("event_id", "qn", "rr.a")
+
+
+@query(FLOWS + "SELECT sa, da, coalesce(sp, 0) AS sp, coalesce(dp, 0) AS dp, pr, time_start // 1000 AS start_ms, time_end // 1000 AS end_ms FROM flows")
+def ipfix_round_trip(spark, sf_dir):
+    """Flows are written as IPFIX messages and collected again."""
+    sent = ipfix.encode(flows(spark, sf_dir), export_time=0)
+    read = exports.decode(sent.select(F.col("domain").cast("string").alias("exporter"), F.col("sequence").alias("seq"), F.col("message").alias("payload")))
+    return exports.flow_fields(read).select("sa", "da", "sp", "dp", "pr", "start_ms", "end_ms")
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(url, 'feed|page|example')) AS BIGINT) AS n FROM pages")
+def many_pattern_search(spark, sf_dir):
+    """An automaton finds all patterns in one pass."""
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.size(matching.find_all(spark, F.col("url"), ["feed", "page", "example"])).cast("long").alias("n"))
+
+
+@query(
+    "SELECT page_id, '(0303)(0a0a' || CASE WHEN page_id % 2 = 0 THEN 'c02b' ELSE '009c' END || ')((0a0a)(000a00040002001d))' AS fingerprint, "
+    "'x25519' AS groups FROM pages"
+)
+def tls_client_fingerprint(spark, sf_dir):
+    """Client hellos are written out as bytes and fingerprinted."""
+    suites = F.concat(F.lit("00042a2a"), F.when(F.col("page_id") % 2 == 0, "c02b").otherwise("009c"))
+    body = F.concat(F.lit("0303" + "00" * 33), suites, F.lit("0100" + "000c" + "1a1a0000" + "000a0004" + "0002001d"))
+    message = F.concat(F.lit("01"), F.lpad(F.hex((F.length(body) / 2).cast("long")), 6, "0"), body)
+    record = F.unhex(F.concat(F.lit("160301"), F.lpad(F.hex((F.length(message) / 2).cast("long")), 4, "0"), message))
+    found = table(spark, sf_dir, "pages").select("page_id", fingerprints.describe(record).alias("d"))
+    return found.select("page_id", "d.fingerprint", F.array_join(F.col("d.extensions")[1]["values"], ",").alias("groups"))

@@ -133,7 +133,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = rooted.join(least, "root").select("fp", "component_id", "n_links")
     single = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return marked.join(single, "fp").select("doc_id", "digest", "fp", "component_id", "n_links")
+    # As a table, so that both sides of the join are plain exchanges and Spark can split a large class.
+    return marked.join(materialize(single, "rooted"), "fp").select("doc_id", "digest", "fp", "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

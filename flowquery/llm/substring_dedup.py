@@ -10,6 +10,9 @@ the non-overlapping ``BLOCK`` = 7-word blocks into which either document is cut
    the way are repeats of a document with a smaller id, decided by 64-bit hashes of whole windows in
    a second exchange. The runs of repeated windows are the maximal repeats; their words go.
 
+Whole copies are settled before: a text that a smaller id has, too, loses all its words (if it has a window
+at all) and is no reference for others, as the smaller id is. So copies, however many, send nothing.
+
 Documents are dealt to groups by a hash of ``doc_id`` (about ``GROUP_CHARS`` characters each), and that one
 shuffle of the texts serves all steps. What two documents of one group share is settled in it, and of a
 group only the smallest (or, as a probe, also the greatest) id with a block or window sends it: a passage that a third of all
@@ -34,6 +37,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowquery.llm.common import materialize
+
 WINDOW, BLOCK = 13, 7
 #: Characters in a group of documents, and words whose windows a bucket gets, on average.
 GROUP_CHARS = 4_000_000
@@ -181,9 +186,28 @@ SENT = "bucket int, grp int, blocks binary, block_ids binary, block_at binary, p
 ANSWER = "grp int, bucket int, at binary"
 
 
-def _send_blocks(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def copies(dealt: DataFrame) -> DataFrame:
+    """As ANSWER with bucket -1 and the key of a row (id and MD5): the rows whose whole text a smaller id has, too."""
+    marked = dealt.where(F.col("text").isNotNull()).select("doc_id", "grp", F.unhex(F.md5("text")).alias("digest"))
+    least = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
+    found = marked.join(least, "digest").where("doc_id > least")
+    return found.select("grp", F.lit(-1).alias("bucket"), F.concat(F.unhex(F.lpad(F.hex("doc_id"), 16, "0")), "digest").alias("at"))
+
+
+def _split(rows: pd.DataFrame, answers: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, list[bytes]]:
+    """The rows that are no copies, the copies, and the places answered."""
+    known = {a for b, a in zip(answers["bucket"], answers["at"], strict=True) if b < 0}
+    ids = {k[:8] for k in known}
+    keys = [int(d).to_bytes(8, signed=True) for d in rows["doc_id"]]
+    copy = np.array([k in ids and k + hashlib.md5(t or b"").digest() in known for k, t in zip(keys, rows["text"], strict=True)], bool)
+    return rows[~copy], rows[copy], [a for b, a in zip(answers["bucket"], answers["at"], strict=True) if b >= 0]
+
+
+def _send_blocks(rows: pd.DataFrame, known: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Step 1 in a group: its reference blocks, of each hash only the least id's, and its probes, of each hash only those of the least and the greatest id."""
-    group, out = Group(rows), []
+    out = []
+    rows, _, _ = _split(rows, known)
+    group = Group(rows)
     hashes, row, first = group.rolling(BLOCK)
     ids, low, high = group.ends(hashes, row)
     asks = (ids == low) | (ids == high)
@@ -248,22 +272,23 @@ ASKED = "bucket int, grp int, hashes binary, ids binary, at binary"
 def _extend(rows: pd.DataFrame, met: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Step 2 in a group: the windows around met places, of each hash only the smallest document's, to be decided by whole hashes."""
     out = []
+    rows, _, places_met = _split(rows, met)
     if len(rows):
         group = Group(rows)
         hashes, row, first = group.rolling(WINDOW)
         ids, low, _ = group.ends(hashes, row)
-        for bucket, at in by_bucket(np.where((ids == low) & _near(group, met, row, first), bucket_of(hashes, buckets), -1)):
+        for bucket, at in by_bucket(np.where((ids == low) & _near(group, places_met, row, first), bucket_of(hashes, buckets), -1)):
             if bucket >= 0:
                 out.append((bucket, rows["grp"].iloc[0], hashes[at].tobytes(), _runs(ids[at]), places(at)))
     return pd.DataFrame(out, columns=["bucket", "grp", "hashes", "ids", "at"])
 
 
-def _near(group: Group, met: pd.DataFrame, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _near(group: Group, met: list[bytes], row: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The windows that hold, whole, a block-sized window at a met place, or one that a document of the group shares."""
     hashes, block_row, _ = group.rolling(BLOCK)
     _, low, high = group.ends(hashes, block_row)
     hit = low != high
-    for at in met["at"]:
+    for at in met:
         hit[numbers(at)] = True
     before = np.concatenate([[0], np.cumsum(hit)])
     counts = np.array([max(0, len(w) - BLOCK + 1) for w in group.words])
@@ -291,12 +316,17 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_text binary"
 def _remove(rows: pd.DataFrame, decided: pd.DataFrame) -> pd.DataFrame:
     """The words of each document outside all repeated windows."""
     out = []
+    rows, whole, places_gone = _split(rows, decided)
+    for doc_id, text in zip(whole["doc_id"], whole["text"], strict=True):
+        words = text.split()
+        kept = words if len(words) < WINDOW else []
+        out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept)))
     if len(rows):
         group = Group(rows)
         hashes, row, first = group.rolling(WINDOW)
         ids, low, _ = group.ends(hashes, row)
         gone = ids != low  # a smaller id of the same group has it
-        for at in decided["at"]:
+        for at in places_gone:
             gone[numbers(at)] = True
         counts = np.bincount(row, minlength=len(group.words)) if len(row) else np.zeros(len(group.words), int)
         bases = np.cumsum(counts) - counts
@@ -322,10 +352,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     groups, buckets = max(1, math.ceil(chars / GROUP_CHARS)), max(1, math.ceil(chars / 6 / BUCKET_WORDS))
     dealt = docs.where(F.col("doc_id").isNotNull()).withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
     by_group = dealt.groupBy("grp")
-    met = by_group.applyInPandas(lambda rows: _send_blocks(rows, buckets), SENT).groupBy("bucket").applyInPandas(_meet_blocks, ANSWER)
-    asked = by_group.cogroup(met.groupBy("grp")).applyInPandas(lambda rows, found: _extend(rows, found, buckets), ASKED)
+    known = materialize(copies(dealt), "copies")
+
+    def told(function, answers: DataFrame, schema: str) -> DataFrame:
+        """``function`` of each group's documents and of what is known and answered about them."""
+        return by_group.cogroup(answers.groupBy("grp")).applyInPandas(function, schema)
+
+    met = told(lambda rows, a: _send_blocks(rows, a, buckets), known, SENT).groupBy("bucket").applyInPandas(_meet_blocks, ANSWER)
+    asked = told(lambda rows, a: _extend(rows, a, buckets), met.unionByName(known), ASKED)
     decided = asked.groupBy("bucket").applyInPandas(_decide, ANSWER)
-    out = by_group.cogroup(decided.groupBy("grp")).applyInPandas(_remove, RESULT)
+    out = told(_remove, decided.unionByName(known), RESULT)
     return out.unionByName(docs.where(F.col("doc_id").isNull()).mapInPandas(_keep_all, RESULT))
 
 

@@ -77,7 +77,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def anchors(windows: DataFrame, counts: DataFrame, k: int = ANCHORS) -> DataFrame:
-    """(term, win, size, rank, offset, of, words): the ``k`` rarest distinct terms of each window, rank 0 the rarest, of ``of``.
+    """(term, win, size, rank, offset, of, second, words): the ``k`` rarest distinct terms of each window, rank 0 the rarest, of ``of``; ``second``: the offset of the last of them.
 
     The offset is that of the term's first occurrence. Every anchor of a window must agree, so
     terms that the corpus lacks rule their windows out without any posting.
@@ -86,27 +86,32 @@ def anchors(windows: DataFrame, counts: DataFrame, k: int = ANCHORS) -> DataFram
     terms = contents.select("win", "size", "words", F.posexplode("words").alias("offset", "term")).groupBy("win", "size", "words", "term").agg(F.min("offset").alias("offset"))
     by = Window.partitionBy("win", "words").orderBy("n", "term")
     ranked = terms.join(counts, "term").withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < k)
-    return ranked.withColumn("of", F.count("*").over(Window.partitionBy("win", "words")))
+    whole = Window.partitionBy("win", "words")
+    return ranked.withColumn("of", F.count("*").over(whole)).withColumn("second", F.max_by("offset", "rank").over(whole))
 
 
 def postings(docs: DataFrame, anchors_: DataFrame, n: int = N) -> DataFrame:
     """(term, doc_id, digest, pos, before, around): occurrences of anchor terms.
 
-    ``around``: the words from ``before`` places ahead to n-1 behind, kept for terms that are the rarest of some window.
+    ``around``: the words from ``before`` places ahead to n-1 behind, unfolded, kept for terms that are the rarest of some window.
     """
     terms = anchors_.groupBy("term").agg(F.bool_or(F.col("rank") == 0).alias("rarest"))
     before = F.least(F.col("pos"), F.lit(n - 1))
     around = F.when(F.col("rarest"), F.slice("words", F.col("pos") - before + 1, before + n))
     hits = tokens(docs).join(F.broadcast(terms), "term")
-    return hits.select("term", *KEY, "pos", before.alias("before"), F.transform(around, fold_word).alias("around"))
+    return hits.select("term", *KEY, "pos", before.alias("before"), around.alias("around"))
 
 
 def intersect(posts: DataFrame, anchors_: DataFrame) -> DataFrame:
     """(win, words, size, doc_id, digest, at, exact): where all anchors of a window agree on its start ``at``."""
-    moved = posts.join(F.broadcast(anchors_), "term").select("win", "size", "words", "rank", "of", *KEY, (F.col("pos") - F.col("offset")).alias("at"), "before", "around", "offset")
+    moved = posts.join(F.broadcast(anchors_), "term").select("win", "size", "words", "rank", "of", *KEY, (F.col("pos") - F.col("offset")).alias("at"), "before", "around", "offset", "second")
     moved = moved.where(F.col("at") >= 0)
-    same = F.slice("around", F.col("before") - F.col("offset") + 1, F.col("size")) == F.col("words")
-    agreeing = moved.withColumn("same", F.when(F.col("rank") == 0, same)).groupBy("win", "size", "of", *KEY, "at")
+    # The rarest term's context is compared first where the other anchor should be, then in full; what differs is not shuffled.
+    begin = F.col("before") - F.col("offset") + 1
+    other = fold_word(F.get("around", begin - 1 + F.col("second"))) == F.element_at("words", F.col("second") + 1)
+    full = F.transform(F.slice("around", F.greatest(begin, F.lit(1)), F.col("size")), fold_word) == F.col("words")
+    moved = moved.withColumn("same", F.when(F.col("rank") == 0, F.when(other, full).otherwise(False))).where((F.col("rank") > 0) | F.col("same"))
+    agreeing = moved.groupBy("win", "size", "of", *KEY, "at")
     # Which ranks agree, as bits: rows that are repeated do not count twice.
     found = agreeing.agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("rank"))).alias("ranks"), F.bool_or("same").alias("exact"))
     return found.where((F.bit_count("ranks") == F.col("of")) & F.col("exact")).select("win", "size", *KEY, "at")

@@ -12,13 +12,13 @@ else covers all rows: each vector is filed in every tree, each query goes to the
 touch, a leaf scores its queries in blocks and returns the best of each, and the best of all trees
 are merged. Which leaf a range touches follows from the sample's cuts, so no row is left out.
 
-Copies of a vector are ranked by id and the K+1 smallest ids of each class are filed, which is all that any K
-nearest can hold; equal queries are searched once. Vectors are filed as original minus mean, with one
+Rows repeated with id and vector are one. Copies of a vector are ranked by id and the K+1 smallest ids of each class
+are filed, which is all that any K nearest can hold; equal queries are searched once. Vectors are filed as original minus mean, with one
 coordinate more that gives all the same length, so the order of angles is that of inner products.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or hold null or
 non-finite components take no part, nor do rows with a null ``vec_id``; a row is no candidate of a query with
-its id; fewer candidates give fewer rows; ties go to the smaller id; an empty table gives no rows.
+its id; an id with several vectors counts by its best score, both as a query and as a candidate; fewer candidates give fewer rows; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -141,24 +141,32 @@ def _file(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.Reco
 
 
 def _search(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best in a leaf for each query there, among the strings of its range."""
+    """The k best ids in a leaf for each query there, among the strings of its range."""
     points = rows[~rows["query"]].sort_values(["low", "id"])
     queries = rows[rows["query"]]
     out = []
     if len(points) and len(queries):
         strings, ids = points["low"].to_numpy(), points["id"].to_numpy()
         vectors = np.stack(points["vector"])
+        repeated = not points["id"].is_unique
         for (low, high), some in queries.groupby(["low", "high"]):
             b, e = np.searchsorted(strings, low), np.searchsorted(strings, high, "right")
             if b == e:
                 continue
+            if repeated:
+                by_id = np.argsort(ids[b:e], kind="stable")
+                starts = np.flatnonzero(np.diff(ids[b:e][by_id], prepend=ids[b:e][by_id[0]] - 1))
             for at in range(0, len(some), 256):
                 asked = np.stack(some["vector"].iloc[at : at + 256])
                 for q, own, near in zip(some["id"].iloc[at : at + 256], asked, asked @ vectors[b:e].T, strict=True):
-                    least = np.partition(near, -k)[-k] - 1e-9 * max(1.0, np.abs(near).max()) if len(near) > k else -np.inf
+                    top = np.maximum.reduceat(near[by_id], starts) if repeated else near  # the best of each id
+                    least = np.partition(top, -k)[-k] - 1e-9 * max(1.0, np.abs(near).max()) if len(top) > k else -np.inf
                     kept = b + np.flatnonzero(near >= least)
                     scores = (vectors[kept] * own).sum(axis=1)  # the same for equal vectors, wherever they stand
-                    best = np.lexsort((ids[kept], -scores))[:k]
+                    best = np.lexsort((ids[kept], -scores))
+                    if repeated:
+                        best = best[np.sort(np.unique(ids[kept][best], return_index=True)[1])]
+                    best = best[:k]
                     out.append(pd.DataFrame({"query": q, "vec_id": ids[kept][best], "score": scores[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query": [], "vec_id": [], "score": []})
 
@@ -178,20 +186,22 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K) ->
     spark = vectors.sparkSession
     asked = usable(vectors.where("vec_id % 20 = 0") if queries is None else queries)
     rows = usable(vectors)
-    count = rows.count()
+    order = Window.partitionBy("vector").orderBy("vec_id")
+    points = rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select(F.lit(False).alias("query"), F.col("vec_id").alias("id"), "vector")
+    points = materialize(points, "points")
+    count = points.count()
     result = "query_id long, rank int, vec_id long, score double"
     if not count:
         return spark.createDataFrame([], result)
-    sample = [r.vector for r in rows.sample(min(1.0, 1.2 * SAMPLE / count), seed=SEED).select("vector").limit(SAMPLE).collect()] or [rows.first().vector]
+    sample = [r.vector for r in points.sample(min(1.0, 1.2 * SAMPLE / count), seed=SEED).select("vector").limit(SAMPLE).collect()] or [points.first().vector]
     size = Counter(map(len, sample)).most_common(1)[0][0]
-    rows, asked = (x.where(F.size("vector") == size) for x in (rows, asked))
-    longest = rows.agg(F.max(F.sqrt(F.reduce("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    points, asked = (x.where(F.size("vector") == size) for x in (points, asked))
+    longest = points.agg(F.max(F.sqrt(F.reduce("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     forest = fit(np.array([v for v in sample if len(v) == size]), count, longest, k)
     shared = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE, TREES and LENGTH
 
-    order = Window.partitionBy("vector").orderBy("vec_id")
-    points = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select(F.lit(False).alias("query"), F.col("vec_id").alias("id"), "vector")
-    classes = materialize(asked.groupBy("vector").agg(F.min("vec_id").alias("id")), "query_classes")
+    # A class is known by a number of its own: an id may stand in several.
+    classes = materialize(asked.select("vector").distinct().withColumn("id", F.monotonically_increasing_id()), "query_classes")
     both = points.unionByName(classes.select(F.lit(True).alias("query"), "id", "vector"))
     filed = both.mapInArrow(lambda batches: _file(batches, shared.value), FILED)
     found = filed.groupBy("tree", "leaf").applyInPandas(lambda x: _search(x, k + 1), "query long, vec_id long, score double")
@@ -199,6 +209,6 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K) ->
     found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
 
     members = asked.join(classes, "vector").select(F.col("vec_id").alias("query_id"), F.col("id").alias("query"))
-    own = members.distinct().join(found, "query").where("vec_id != query_id")
+    own = members.distinct().join(found, "query").where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return own.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

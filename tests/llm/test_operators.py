@@ -223,6 +223,29 @@ def test_nearest(spark):
     assert hits / total >= 0.9
 
 
+def _plain_nearest(rows, k=20):
+    """(query, rank, id, score) by comparison with every row; an id counts by its best score."""
+    vectors: dict = {}
+    for i, v in rows:
+        vectors.setdefault(i, set()).add(tuple(v))
+    expected = []
+    for q in (i for i in vectors if i % 20 == 0):
+        scores = {i: max(sum(a * b for a, b in zip(x, y, strict=True)) for x in vectors[q] for y in vs) for i, vs in vectors.items() if i != q}
+        expected += [(q, r, i, round(scores[i], 9)) for r, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:k], 1)]
+    return sorted(expected)
+
+
+def test_nearest_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(hash_forest, "TARGET", 2.0)  # all are candidates
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.integers(-50, 50, 8)]) for i in range(60)]
+    rows += [(i, rows[3][1]) for i in (70, 71)] + [(3, rows[3][1])] * 30  # others with the vector of a row that stands over K times
+    rows += [(7, [float(x) for x in rng.integers(90, 99, 8)]) for _ in range(30)] + [(20, rows[40][1])]  # ids with several vectors
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in hash_forest.nearest(table.union(table)).collect())
+    assert found == _plain_nearest(rows)
+
+
 def test_nearest_of_few(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in hash_forest.nearest(table).collect()] == [(0, 1, 1, 0.0)]

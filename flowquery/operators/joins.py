@@ -105,13 +105,30 @@ def shared_counts(queries: DataFrame, database: DataFrame, terms: str) -> DataFr
     return left.join(right, "term").groupBy("q", "k").agg(F.count("*").alias("shared"))
 
 
-def candidates(queries: DataFrame, database: DataFrame, n: int = 25) -> DataFrame:
-    """(q, k, score, rank): a query's n entries of greatest Jaccard similarity of ``terms``, ties to the greater key; entries without a shared term do not count."""
-    sizes = lambda df, key, name: df.select(key, F.size(F.array_distinct("terms")).alias(name))
-    shared = shared_counts(queries, database, "terms").join(sizes(queries, "q", "nq"), "q").join(sizes(database, "k", "nk"), "k")
-    score = F.col("shared") / (F.col("nq") + F.col("nk") - F.col("shared"))
+def jaccard(queries: DataFrame, database: DataFrame, terms: str) -> DataFrame:
+    """(q, k, score): the Jaccard similarity of the sets of ``terms`` of a query and an entry that share any."""
+    sizes = lambda df, key, name: df.select(key, F.size(F.array_distinct(terms)).alias(name))
+    shared = shared_counts(queries, database, terms).join(sizes(queries, "q", "nq"), "q").join(sizes(database, "k", "nk"), "k")
+    return shared.select("q", "k", (F.col("shared") / (F.col("nq") + F.col("nk") - F.col("shared"))).alias("score"))
+
+
+def similarities(queries: DataFrame, database: DataFrame) -> DataFrame:
+    """(q, k, score): the sum of the similarities of ``terms`` and, where both sides have them, of ``extensions``; no pairs of score 0."""
+    score = jaccard(queries, database, "terms")
+    if "extensions" in queries.columns and "extensions" in database.columns:
+        score = score.union(jaccard(queries, database, "extensions")).groupBy("q", "k").agg(F.sum("score").alias("score"))
+    return score
+
+
+def best_ranked(scores: DataFrame, n: int) -> DataFrame:
+    """(q, k, score, rank): each query's n entries of greatest score, ties to the greater key."""
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("k")))
-    return shared.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= n).select("q", "k", "score", "rank")
+    return scores.withColumn("rank", rank).where(F.col("rank") <= n).select("q", "k", "score", "rank")
+
+
+def candidates(queries: DataFrame, database: DataFrame, n: int = 25) -> DataFrame:
+    """(q, k, score, rank): a query's n entries of greatest similarity, ties to the greater key; entries that share nothing do not count."""
+    return best_ranked(similarities(queries, database), n)
 
 
 def common_subsequence(a: Column, b: Column) -> Column:
@@ -127,10 +144,27 @@ def common_subsequence(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.reduce(a, start, row), -1))
 
 
+def fingerprint_features(rows: DataFrame, key: str, parts: Column) -> DataFrame:
+    """(key, items, terms, extensions) of fingerprints, from their ``scalar.fingerprint_parts``, as ``approximate_match`` takes them."""
+    parts = rows.select(key, parts.alias("_p"))
+    extensions = F.transform("_p.extensions", lambda e: F.concat(F.lit("ext_"), F.substring(e, 1, 4), F.lit("::"), e.substr(F.lit(5), F.length(e))))
+    return parts.select(key, F.concat("_p.suites", extensions).alias("items"), grams(F.col("_p.suites")).alias("terms"), extensions.alias("extensions"))
+
+
 def approximate_match(queries: DataFrame, database: DataFrame, limit: float = 0.1, n: int = 25) -> DataFrame:
-    """(q, k, distance): of a query's n best candidates the one of least alignment distance, if that is under ``limit``."""
-    found = candidates(queries, database, n).join(queries.select("q", F.col("items").alias("qi")), "q").join(database.select("k", F.col("items").alias("ki")), "k")
-    most = F.greatest(F.size("qi"), F.size("ki"))
-    found = found.withColumn("distance", 1 - common_subsequence(F.col("qi"), F.col("ki")) / most)
+    """(q, k, distance): of a query's n best candidates the one of least alignment distance, if that is under ``limit``.
+
+    The distance is 1 - 2 * common subsequence / (sum of the lengths). A query with fewer than n similar entries gets those of
+    greatest key besides, as if all entries were ranked; queries and pairs whose lengths alone exclude a match are left out before.
+    """
+    near = lambda a, b: F.try_divide(2.0 * F.least(a, b), a + b) > 1 - limit - 1e-9  # noqa: E731  the lengths allow a distance under the limit
+    last = database.orderBy(F.desc("k")).limit(n).agg(F.collect_list(F.struct("k", F.size("items").alias("size"))).alias("_last"))
+    fill = queries.select("q", F.size("items").alias("_n")).crossJoin(F.broadcast(last))  # one row of n entries at most
+    fill = fill.where(F.exists("_last", lambda x: near(F.col("_n"), x["size"]))).select("q", F.explode("_last.k").alias("k"), F.lit(0.0).alias("score"))
+    scores = similarities(queries, database).union(fill).groupBy("q", "k").agg(F.max("score").alias("score"))
+    found = best_ranked(scores, n).join(queries.select("q", F.col("items").alias("qi")), "q").join(database.select("k", F.col("items").alias("ki")), "k")
+    found = found.where(near(F.size("qi"), F.size("ki")))
+    total = F.size("qi") + F.size("ki")
+    found = found.withColumn("distance", 1 - 2 * common_subsequence(F.col("qi"), F.col("ki")) / total)
     best = found.groupBy("q").agg(F.min(F.struct("distance", "k")).alias("best")).select("q", "best.k", "best.distance")
     return best.where(F.col("distance") < limit)

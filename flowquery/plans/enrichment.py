@@ -137,8 +137,9 @@ def fp_candidates_top25(spark, sf_dir):
 
 @query()
 def fp_approx_match(spark, sf_dir):
-    """The best candidate within an alignment distance; tested against a plain version."""
-    return joins.approximate_match(*_word_sides(spark, sf_dir), limit=0.95).withColumn("distance", r6("distance"))
+    """For each text the best candidate within the alignment distance of the reference, or null; tested against a plain version."""
+    d, b = _word_sides(spark, sf_dir)
+    return d.select("q").join(joins.approximate_match(d, b), "q", "left").withColumn("distance", r6("distance"))
 
 
 @query(WORD_SIDES.split("p AS (")[0].rstrip().rstrip(",") + " SELECT id AS doc_id, n FROM (SELECT id, len(g) AS n FROM t WHERE side = 0)")

@@ -65,6 +65,52 @@ def test_approximate_match(spark):
     assert [(r.q, r.k, round(r.distance, 6)) for r in joins.approximate_match(queries, database, 0.2).collect()] == [("1", "A", 0.1)]
 
 
+def _plain_match(query, database, n, limit):
+    """As the reference ranks and aligns (suites, extensions), over all entries."""
+    grams = lambda x: {"".join(x[i : i + 4]) for i in range(len(x) - 4)} or set(x)
+    scored = []
+    for k, (suites, extensions) in database.items():
+        s = len(grams(query[0]) & grams(suites)) / len(grams(query[0]) | grams(suites))
+        scored.append((s + len(set(query[1]) & set(extensions)) / max(1, len(set(query[1]) | set(extensions))), k))
+    found = []
+    for _, k in sorted(scored, reverse=True)[:n]:
+        a, b = sum(query, []), sum(database[k], [])
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + (x == y))
+        found.append((1 - 2 * table[-1][-1] / (len(a) + len(b)), k))
+    distance, k = min(found)
+    return (k, round(distance, 9)) if distance < limit else None
+
+
+def test_fingerprints_match_as_in_the_reference(spark):
+    random.seed(5)
+    code = lambda i: f"{i:04x}"
+    base = [([code(random.randrange(40)) for _ in range(random.randint(5, 20))], [code(random.randrange(60, 75)) + "ab" * random.randint(0, 2) for _ in range(random.randint(0, 6))]) for _ in range(12)]
+    # One suite too many cuts all 4-grams of seven suites: such an entry has no similarity and is reached by its key alone.
+    base.append(([code(i) for i in range(100, 107)], []))
+    edit = lambda x, most: [y for i, y in enumerate(x) if i not in random.sample(range(len(x) + 1), random.randint(0, most))]
+    database = {f"k{i:02}": (edit(s, 2), edit(e, 1)) for i, (s, e) in enumerate([x for x in base[:12] for _ in range(4)])} | {"k99": base[12]}
+    queries = {f"q{i:02}": (edit(s, 1), edit(e, 1)) for i, (s, e) in enumerate(base[:12])}
+    queries["q50"] = (base[12][0][:3] + ["ffff"] + base[12][0][3:], [])
+    queries["q51"], database["k98"] = ([code(i) for i in range(200, 220)], []), ([code(i) for i in range(200, 217)], [])  # 20 against 17
+    text = lambda s, e: f"(0303)({''.join(s)})({''.join(f'({x})' for x in e)})"
+    side = lambda rows, key: joins.fingerprint_features(spark.createDataFrame([(i, text(*x)) for i, x in rows.items()], f"{key} string, t string"), key, scalar.fingerprint_parts(F.col("t")))
+    for n in (3, 25):
+        found = {r.q: (r.k, round(r.distance, 9)) for r in joins.approximate_match(side(queries, "q"), side(database, "k"), 0.1, n).collect()}
+        expected = {q: m for q, x in queries.items() if (m := _plain_match(x, database, n, 0.1))}
+        assert found == expected
+        assert found["q50"] == ("k99", round(1 / 15, 9)) and found["q51"] == ("k98", round(3 / 37, 9))
+
+
+def test_candidates_are_ranked_by_extensions_too(spark):
+    side = lambda rows, k: spark.createDataFrame(rows, f"{k} string, terms array<string>, extensions array<string>")
+    queries = side([("1", ["a", "b", "c"], ["x", "y"])], "q")
+    database = side([("A", ["a", "b"], []), ("B", ["a"], ["x", "y"]), ("C", [], ["x"]), ("D", ["z"], ["z"])], "k")
+    assert [(r.k, round(r.score, 6)) for r in joins.candidates(queries, database).orderBy("rank").collect()] == [("B", 1.333333), ("A", 0.666667), ("C", 0.5)]
+
+
 def test_capped_sessions_are_like_a_plain_fold(spark):
     random.seed(3)
     rows = [(k, t) for k in range(8) for t in {random.randint(0, 400) for _ in range(50)}]

@@ -10,7 +10,9 @@ hold as many candidates as the forest asks for. All candidates are scored exactl
 on the sample which share of the vectors the candidates must make up for a recall of ``TARGET``. Everything
 else covers all rows: each vector is filed in every tree, each query goes to the leaves that its ranges
 touch, a leaf scores its queries in blocks and returns the best of each, and the best of all trees
-are merged. Which leaf a range touches follows from the sample's cuts, so no row is left out.
+are merged. Which leaf a range touches follows from the sample's cuts, so no row is left out. Leaves are counted: where
+one holds over ``BLOCK`` vectors or queries (equal strings cannot be cut), its vectors and its queries are dealt to blocks, and
+every block of the one meets every block of the other in a task of its own, so no task grows with the table.
 
 Rows repeated with id and vector are one. Copies of a vector are ranked by id and the K+1 smallest ids of each class
 are filed, which is all that any K nearest can hold; equal queries are searched once. Vectors are filed as original minus mean, with one
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,7 @@ K = 20
 TREES, LENGTH = 32, 48
 SAMPLE, TRIALS, TARGET = 16_384, 128, 0.95
 LEAF = 8_192
+BLOCK = 16_384
 SEED = 7
 
 
@@ -51,6 +54,7 @@ class Forest:
     cuts: list[np.ndarray]  # the first string of each leaf, per tree
     scale: float  # vectors for each of the sample
     wanted: float  # candidates (in all trees together) for each query
+    blocks: list[np.ndarray] | None = None  # 2 x leaves, per tree: the blocks of vectors and of queries
 
     def hashes(self, vectors: np.ndarray, query: bool) -> np.ndarray:
         """TREES x n strings, as numbers."""
@@ -113,11 +117,8 @@ def fit(sample: np.ndarray, count: int, longest: float, k: int = K) -> Forest:
     return forest
 
 
-FILED = "tree int, leaf int, query boolean, id long, low long, high long, vector array<double>"
-
-
-def _file(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
-    """Each vector in its leaf of every tree, each query in the leaves of its ranges."""
+def _parts(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[tuple]:
+    """(query, ids, vectors, their column, low, high) of the vectors and of the queries in each batch, with their strings."""
     for batch in batches:
         flags = np.array(batch.column("query").to_pylist(), bool)
         for query in (False, True):
@@ -126,18 +127,55 @@ def _file(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.Reco
                 continue
             column = part.column("vector")
             vectors = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
-            ids = part.column("id").to_numpy()
             strings = forest.hashes(vectors, query)
-            low, high = forest.ranges(strings) if query else (strings, strings)
-            for tree in range(TREES):
-                first, last = forest.leaf(tree, low[tree]), forest.leaf(tree, high[tree])
-                rows = np.repeat(np.arange(len(ids)), last - first + 1)
-                leaf = np.arange(len(rows)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[rows]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), tree, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(np.full(len(rows), query)), pa.array(ids[rows]),
-                     pa.array(low[tree][rows]), pa.array(high[tree][rows]), column.take(pa.array(rows))],
-                    ["tree", "leaf", "query", "id", "low", "high", "vector"],
-                )
+            yield query, part.column("id").to_numpy(), vectors, column, *(forest.ranges(strings) if query else (strings, strings))
+
+
+COUNTED = "tree int, leaf int, query boolean, n long"
+
+
+def _count(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
+    """How many vectors and queries of the partition each leaf receives."""
+    counts = [np.zeros((2, len(c) + 1), np.int64) for c in forest.cuts]
+    for query, _, _, _, low, high in _parts(batches, forest):
+        for tree, held in enumerate(counts):
+            np.add.at(held[int(query)], forest.leaf(tree, low[tree]), 1)
+            np.add.at(held[int(query)], forest.leaf(tree, high[tree]) + 1, -1)
+    for tree, held in enumerate(counts):
+        query, leaf = np.nonzero(np.cumsum(held, axis=1))
+        n = np.cumsum(held, axis=1)[query, leaf]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), tree, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(query == 1), pa.array(n)], ["tree", "leaf", "query", "n"])
+
+
+def _repeat(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row as often as counted, and its number among its likes."""
+    rows = np.repeat(np.arange(len(counts)), counts)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+FILED = "tree int, leaf int, block int, query boolean, id long, low long, high long, vector array<double>"
+
+
+def _file(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
+    """Each vector in its leaf of every tree, each query in the leaves of its ranges; of a leaf in blocks, in those it shares with the others' blocks."""
+    for query, ids, vectors, column, low, high in _parts(batches, forest):
+        # By id and vector: near copies, and an id with many vectors, are dealt evenly.
+        odd = np.random.default_rng(SEED).integers(1 << 62, size=vectors.shape[1] + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        deal = ((np.ascontiguousarray(vectors + 0.0).view(np.uint64) * odd[:-1]).sum(axis=1) + ids.view(np.uint64) * odd[-1]) >> np.uint64(32)
+        for tree in range(TREES):
+            first, last = forest.leaf(tree, low[tree]), forest.leaf(tree, high[tree])
+            rows, leaf = _repeat(last - first + 1)
+            leaf = leaf + first[rows]
+            own, others = forest.blocks[tree][int(query)][leaf], forest.blocks[tree][1 - int(query)][leaf]
+            mine = (deal[rows] % own.astype(np.uint64)).astype(np.int64)
+            again, theirs = _repeat(others)
+            rows, leaf, mine = rows[again], leaf[again], mine[again]
+            block = theirs * own[again] + mine if query else mine * others[again] + theirs
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(rows), tree, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(rows), query)),
+                 pa.array(ids[rows]), pa.array(low[tree][rows]), pa.array(high[tree][rows]), column.take(pa.array(rows))],
+                ["tree", "leaf", "block", "query", "id", "low", "high", "vector"],
+            )
 
 
 def _search(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -198,13 +236,17 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K) ->
     points, asked = (x.where(F.size("vector") == size) for x in (points, asked))
     longest = points.agg(F.max(F.sqrt(F.reduce("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     forest = fit(np.array([v for v in sample if len(v) == size]), count, longest, k)
-    shared = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE, TREES and LENGTH
-
     # A class is known by a number of its own: an id may stand in several.
     classes = materialize(asked.select("vector").distinct().withColumn("id", F.monotonically_increasing_id()), "query_classes")
     both = points.unionByName(classes.select(F.lit(True).alias("query"), "id", "vector"))
+    uncounted = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE, TREES and LENGTH
+    counts = both.mapInArrow(lambda batches: _count(batches, uncounted.value), COUNTED).groupBy("tree", "leaf", "query").agg(F.sum("n").alias("n"))
+    blocks = [np.ones((2, len(c)), np.int64) for c in forest.cuts]
+    for r in counts.where(F.col("n") > BLOCK).collect():
+        blocks[r.tree][int(r.query), r.leaf] = -(-r.n // BLOCK)
+    shared = spark.sparkContext.broadcast(replace(forest, blocks=blocks))
     filed = both.mapInArrow(lambda batches: _file(batches, shared.value), FILED)
-    found = filed.groupBy("tree", "leaf").applyInPandas(lambda x: _search(x, k + 1), "query long, vec_id long, score double")
+    found = filed.groupBy("tree", "leaf", "block").applyInPandas(lambda x: _search(x, k + 1), "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
 

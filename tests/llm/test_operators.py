@@ -246,6 +246,26 @@ def test_nearest_of_repeated_rows(spark, monkeypatch):
     assert found == _plain_nearest(rows)
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    """A very long vector gives all others nearly equal strings, which no prefix cuts: no group is larger for it."""
+    monkeypatch.setattr(hash_forest, "TARGET", 2.0)  # all are candidates
+    monkeypatch.setattr(hash_forest, "BLOCK", 50)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in 100 + rng.integers(-9, 9, 8)]) for i in range(600)] + [(1001, [1e6] * 8)]
+    sizes, calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    search = hash_forest._search
+
+    def counted(x, k):
+        calls.add(1)
+        sizes.add(int(max((~x["query"]).sum(), x["query"].sum()) > 100))  # blocks are dealt by hash, so not all alike
+        return search(x, k)
+
+    monkeypatch.setattr(hash_forest, "_search", counted)
+    found = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in hash_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert found == _plain_nearest(rows)
+    assert sizes.value == 0 and calls.value > 32 * 12
+
+
 def test_nearest_of_few(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in hash_forest.nearest(table).collect()] == [(0, 1, 1, 0.0)]

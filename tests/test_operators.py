@@ -7,6 +7,7 @@ from flowquery.functions import policy, scalar
 from flowquery.ml import features
 from flowquery.operators import aggregates, flows, joins, projection, stitch, windows
 from flowquery.pipeline import FlowQuery
+from flowquery.plans.catalogue import QUERIES
 from flowquery.sinks import jsonl as sink
 from flowquery.sources import exports, jsonl, pcap, subnets
 from pyspark.sql import functions as F
@@ -154,6 +155,12 @@ def test_fingerprints_are_degreased(spark):
     assert list(row) == ["(0303)(0a0ac02b)((0a0a0001)(000b0002))", "0a0a2a3a0a0a"]
 
 
+def test_codes_behind_the_first_bytes_are_degreased(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 40 + "zzJJ\n\n"), (2, "xzz"), (3, ""), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.codes for r in QUERIES["grease_normalize_whole"](spark, str(tmp_path)).collect()}
+    assert found == {1: "61" * 40 + "0a0a" * 3, 2: "787a7a", 3: "", 4: None}
+
+
 def test_policy(spark):
     rules = policy.Policy({"kex": {"RSA": policy.Rule(3, "<", ((1024, 1), (2048, 2))), "DH": policy.Rule(4)}}, {1: "low", 2: "mid"}, 0)
     df = spark.createDataFrame([("RSA", 512), ("RSA", 1500), ("RSA", 4096), ("DH", None), ("X", 1), (None, 1)], "k string, n int")

@@ -22,20 +22,18 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowquery.llm.common import partitions
 
 BLOCK_TOKENS = 1 << 16
-#: Pieces that a worker remembers, in each of two generations.
-MEMO_ENTRIES = 500_000
 FIELDS = [
     ("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("first_doc", pa.int64()),
     ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())), ("payload", pa.binary()),
@@ -53,70 +51,55 @@ def pack(ids: np.ndarray, width: int) -> bytes:
     ids = np.ascontiguousarray(ids, dtype="<u4")
     if width in (8, 16, 32):
         return ids.astype(f"<u{width // 8}").tobytes()
-    bits = np.unpackbits(ids.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    eights = np.zeros((-(-len(ids) // 8), 8), np.uint64)  # eight ids fill ``width`` bytes
+    eights.ravel()[: len(ids)] = ids
+    out = np.zeros((len(eights), width), np.uint8)
+    for k in range(8):
+        byte, shift = divmod(k * width, 8)
+        moved = eights[:, k] << np.uint64(shift)
+        for j in range((shift + width + 7) // 8):
+            out[:, byte + j] |= (moved >> np.uint64(8 * j)).astype(np.uint8)
+    return out.tobytes()[: (len(ids) * width + 7) // 8]
 
 
 def unpack(payload: bytes, width: int, begin: int, end: int) -> np.ndarray:
     """Ids ``begin`` to ``end`` (exclusive) of a packed block; reads only the bytes that hold them."""
     if width in (8, 16, 32):
         return np.frombuffer(payload, dtype=f"<u{width // 8}", count=end - begin, offset=begin * width // 8).astype("<u4")
-    first = begin * width // 8
-    last = (end * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(payload, np.uint8)[first:last], bitorder="little")
-    bits = bits[begin * width - first * 8 :][: (end - begin) * width].reshape(-1, width)
-    wide = np.zeros((len(bits), 32), np.uint8)
-    wide[:, :width] = bits
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
-
-
-#: Letters, digits and other characters whose classes in the byte-level pattern are plain; pieces
-#: with any other character go to the library whole.
-LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-PLAIN = re.compile(f"[{LETTERS}\\x20-\\x7e\\n\\t\\r]*")
-#: The byte-level pattern over those characters (fixed by the tokenizer's kind).
-PRETOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
-
-
-def byte_letters() -> list[str]:
-    """The character by which byte-level vocabularies spell each byte: itself if it prints, else the next from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in plain else next(spare)) for b in range(256)]
-
-
-class Pieces(dict):
-    """Little-endian 32-bit ids of each piece of text, found when first asked for.
-
-    Of ``2 * MEMO_ENTRIES`` pieces at most, those asked for least lately are forgotten.
-    """
-
-    def __init__(self, encode):
-        self.encode = encode
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            found = self.encode(piece)
-        if len(self) >= MEMO_ENTRIES:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = found
-        return found
-
-
-class PieceEncoder:
-    """Encodes texts with the tokenizers library, each distinct piece once.
+    first, last = begin // 8, -(-end // 8)
+    held = np.frombuffer(payload, np.uint8)[first * width : last * width]
+    eights = np.zeros((last - first, width), np.uint8)
+    eights.ravel()[: len(held)] = held
+    out = np.zeros((last - first, 8), "<u4")
+    for k in range(8):
+        byte, shift = divmod(k * width, 8)
+        wide = np.zeros(len(eights), np.uint64)
+        for j in range((shift + width + 7) // 8):
+            wide |= eights[:, byte + j].astype(np.uint64) << np.uint64(8 * j)
+        out[:, k] = (wide >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+    return out.ravel()[begin - 8 * first : end - 8 * first]
+
+
+#: White space, also beyond ASCII, as an RE2 class; an empty piece counts as both kinds of edge.
+SPACE = r"[\t-\r \x1c-\x1f\x{85}\p{Z}]"
+STARTS_BLANK, ENDS_BLANK = f"^(?:$|{SPACE})", f"(?:^|{SPACE})$"
+#: Pieces that are encoded in one call of the library, and that a worker remembers (it forgets all beyond them).
+PIECES_A_CALL, KNOWN_PIECES = 50_000, 1_000_000
+
+
+class Encoder:
+    """Encodes batches of texts with the tokenizers library, each distinct piece of a batch once.
 
     A byte-level tokenizer splits texts by a fixed pattern before it merges, and that pattern
-    always splits before a space between other characters. So a text is cut there, and the ids of
-    each piece are remembered; within a piece the pattern is applied here and the library's model
-    merges each part. Texts in which such a cut could differ (a space amid other white space, a
-    special token) go to the library whole, and so do all texts of tokenizers of other kinds.
+    always splits before a space between other characters. So texts are cut there, in Arrow; the
+    distinct pieces are joined by spaces and encoded, and as no token but a piece's first one starts with a
+    space, the ids fall apart into pieces again. A text with a space amid other white space is cut only
+    where no blank is near; texts with special tokens go to the library whole, and so do all texts of
+    tokenizers of other kinds.
     """
 
-    CUT_UNSAFE = re.compile(r"\s (?:\s|\Z)")
+    #: Where a text may be cut for certain.
+    CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
         import json
@@ -128,58 +111,144 @@ class PieceEncoder:
         before = spec.get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec.get("normalizer") is None
         self.special = [x["content"] for x in spec.get("added_tokens", ())]
-        self.spelling = dict(enumerate(byte_letters()))
-        self.model = self.tokenizer.model
-        self.parts = Pieces(self._part)
-        self.pieces = Pieces(lambda piece: self._piece(" " + piece))
-
-    def _part(self, part: str) -> bytes:
-        spelled = part.encode().decode("latin-1").translate(self.spelling)
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if PLAIN.fullmatch(piece):
-            return b"".join(map(self.parts.__getitem__, PRETOKENS.findall(piece)))
-        return self._whole(piece)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of ``text``."""
-        if not self.cuts or self.CUT_UNSAFE.search(text) or any(s in text for s in self.special):
-            return self._whole(text)
-        first, *others = text.split(" ")
-        return self._piece(first) + b"".join(map(self.pieces.__getitem__, others))
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how such vocabularies spell a space
+        self._forget()
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Add the ids of ``pieces``, each behind a space, to the pool."""
+        blank = pc.match_substring_regex(pieces, f"^$|^{SPACE}|{SPACE}$| ").to_numpy(zero_copy_only=False)
+        for at in range(0, len(pieces), PIECES_A_CALL):
+            some, odd = pieces.slice(at, PIECES_A_CALL), blank[at : at + PIECES_A_CALL]
+            plain, others = some.filter(pa.array(~odd)), some.filter(pa.array(odd))
+            if len(plain):
+                joined = pc.binary_join(pa.ListArray.from_arrays([0, len(plain)], plain), " ")[0].as_py()
+                [ids] = self._each([" " + joined])
+                first = np.flatnonzero(self.spaced[ids])
+                if len(first) == len(plain):
+                    self._remember(plain, [ids], np.diff(first, append=len(ids)))
+                else:  # a special token across pieces
+                    others = some
+            if len(others):
+                found = self._each([" " + p for p in others.to_pylist()])
+                self._remember(others, found, np.array([len(x) for x in found]))
+
+    def _remember(self, pieces: pa.Array, ids: list[np.ndarray], sizes: np.ndarray) -> None:
+        known = len(self.known)
+        self.known.update(zip(pieces.to_numpy(zero_copy_only=False).tolist(), range(known, known + len(pieces)), strict=True))
+        self.begins.append(self.held + np.cumsum(sizes) - sizes)
+        self.sizes.append(sizes)
+        self.pool += ids
+        self.held += int(sizes.sum())
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # the number of each piece
+        self.pool, self.begins, self.sizes, self.held = [], [], [], 0
+
+    def _spaced(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of ``pieces``, each behind a space, in the pool."""
+        if len(self.known) > KNOWN_PIECES:
+            self._forget()
+        names = pieces.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.array([self.known.get(p, -1) for p in names], np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            self._learn(pieces.take(pa.array(new)))
+            numbers[new] = [self.known[names[i]] for i in new.tolist()]
+            for parts in (self.pool, self.begins, self.sizes):
+                parts[:] = [np.concatenate(parts)]
+        return numbers
+
+    def _gather(self, pieces: pa.Array, offsets: np.ndarray) -> list[np.ndarray] | np.ndarray:
+        """The ids of texts that are cut into ``pieces``, or which texts are cut where they may not be."""
+        coded = pieces.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        starts, ends = (pc.match_substring_regex(coded.dictionary, x).to_numpy(zero_copy_only=False) for x in (STARTS_BLANK, ENDS_BLANK))
+        near = ends[codes[:-1]] & starts[codes[1:]]
+        near[offsets[1:-1] - 1] = False  # pieces of two texts
+        if near.any():
+            return np.unique(np.searchsorted(offsets, np.flatnonzero(near), "right") - 1)
+        return self._ids(coded.dictionary, codes, offsets)
+
+    def _ids(self, distinct: pa.Array, codes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        first, of = np.unique(codes[offsets[:-1]], return_inverse=True)
+        bare = self._each(distinct.take(pa.array(first)).to_pylist())  # no space stands before a text's first piece
+        lengths = np.array([len(x) for x in bare])
+        numbers = self._spaced(distinct)
+        begins = np.concatenate([self.begins[0][numbers], self.held + np.cumsum(lengths) - lengths])
+        sizes = np.concatenate([self.sizes[0][numbers], lengths])
+        codes = codes.astype(np.int64)
+        codes[offsets[:-1]] = len(distinct) + of
+        n = sizes[codes]
+        upto = np.cumsum(n)
+        flat = np.concatenate([self.pool[0], *bare])[np.repeat(begins[codes] - (upto - n), n) + np.arange(upto[-1])]
+        return np.split(flat, upto[offsets[1:-1] - 1])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each of ``texts`` (null: none)."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return []
+        whole = np.full(len(texts), not self.cuts)
+        for x in self.special if self.cuts else ():
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [None] * len(texts)
+        todo, cut = np.flatnonzero(~whole), None
+        if len(todo):
+            cut = pc.split_pattern(texts.take(pa.array(todo)), " ")
+            found = self._gather(cut.flatten(), cut.offsets.to_numpy() - cut.offsets[0].as_py())
+            if isinstance(found, np.ndarray):
+                careful = np.zeros(len(todo), bool)
+                careful[found] = True
+                for i, x in zip(todo[careful].tolist(), self._carefully(texts.take(pa.array(todo[careful]))), strict=True):
+                    out[i] = x
+                todo = todo[~careful]
+                cut = cut.filter(pa.array(~careful))
+                found = self._gather(cut.flatten(), cut.offsets.to_numpy() - cut.offsets[0].as_py()) if len(todo) else []
+            for i, x in zip(todo.tolist(), found, strict=True):
+                out[i] = x
+        rest = np.flatnonzero(whole)
+        for i, x in zip(rest.tolist(), self._each(texts.take(pa.array(rest)).to_pylist()), strict=True):
+            out[i] = x
+        return out
+
+    def _carefully(self, texts: pa.Array) -> list[np.ndarray]:
+        cut = [self.CUT.split(x) for x in texts.to_pylist()]
+        coded = pa.array([p for x in cut for p in x], pa.string()).dictionary_encode()
+        return self._ids(coded.dictionary, coded.indices.to_numpy(), np.concatenate([[0], np.cumsum([len(x) for x in cut])]))
 
 
 @cache
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str) -> Encoder:
     """One per worker process."""
-    return PieceEncoder(path)
+    return Encoder(path)
 
 
 def _encode_shard(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     shard = TaskContext.get().partitionId()
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     docs: list = []
-    ids: list[bytes] = []
+    ids: list[np.ndarray] = []
     held = block = start = 0
 
     def flush() -> pa.RecordBatch:
         nonlocal docs, ids, held, block, start
-        ends = np.cumsum([len(x) // 4 for x in ids])
-        row = [shard, block, start, int(ends[-1]), width, docs[0], docs, ends, pack(np.frombuffer(b"".join(ids), "<u4"), width)]
+        ends = np.cumsum([len(x) + 1 for x in ids])
+        row = [shard, block, start, int(ends[-1]), width, docs[0], docs, ends, pack(np.concatenate([y for x in ids for y in (x, end)]), width)]
         docs, ids, held, block, start = [], [], 0, block + 1, start + int(ends[-1])
         return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, (_, kind) in zip(row, FIELDS, strict=True)], [name for name, _ in FIELDS])
 
     for batch in batches:
-        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        for key, found in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text")), strict=True):
             docs.append(key)
-            ids.append(encoder(path).encode(text.as_py() or "") + end)
-            held += len(ids[-1]) // 4
+            ids.append(found)
+            held += len(found) + 1
             if held >= BLOCK_TOKENS:
                 yield flush()
     if docs:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from flowquery.llm import decontaminate, hash_forest, near_duplicates, packing, quality, secret_scan, substring_dedup, token_files, toxicity
@@ -34,11 +35,24 @@ def test_matches_sql(spark, sf_dir, name):
 # Token files
 
 
+TEXT = st.text(st.sampled_from("ab Z'sdtrem  \n\t\r!9²½éñß×÷Ⅷ中\x1c.,_-<|>日ا1\u00a0 "), max_size=30)
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("ab Z'sdtrem  \n\t\r!9²½éñß×÷Ⅷ中\x1c.,_-<|>日ا1  "), max_size=30))
-def test_pieces_encode_as_the_library_does(text):
+@given(st.lists(st.one_of(TEXT, st.none(), st.just("a <|endoftext|> b"), st.just("<|endoftext|>")), max_size=8))
+def test_texts_encode_as_the_library_does(texts):
     own = token_files.encoder(BPE)
-    assert own.encode(text) == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    found = own.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in found] == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_forgotten_and_long_texts_encode_alike(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_PIECES", 50)
+    monkeypatch.setattr(token_files, "PIECES_A_CALL", 7)
+    own = token_files.Encoder(BPE)
+    texts = [" ".join(f"w{i * k % 977}" for i in range(30_000)) + "x" * k for k in (1, 2, 3)]
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("width", [1, 3, 8, 13, 16, 17, 20, 31, 32])

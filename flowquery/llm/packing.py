@@ -1,33 +1,40 @@
-"""Best-fit packing into sequences of several permitted lengths.
-
-Documents are cut into pieces of the longest permitted length at most (nothing is dropped) and dealt by a hash
-to groups of about ``GROUP_PIECES`` pieces; each group is packed by itself, so no task grows with the corpus.
-In a group, pieces go in order of falling length to the open bin that they fill best. Where none has
-room, the bin opened is that of the least cost for each token it can be expected to hold, given
-what is left to pack. That is done once for every choice of the longest length in use, the cheapest packing
-is taken, and at last every bin is given the shortest permitted length that holds its contents.
-
-Defined results: a null or empty text is one piece of its end token; repeated rows are packed each for itself;
-an empty table gives no rows; other columns are ignored.
+"""Best-fit packing of token ids into sequences of several permitted lengths.
+
+Whole texts are encoded and an end id is appended to each. Documents are cut into pieces of the longest permitted
+length at most (nothing is dropped) and dealt by a hash to groups of about ``GROUP_TOKENS`` ids; each group is
+packed by itself, so no task grows with the corpus. In a group, pieces go in order of falling length to the open
+bin that they fill best. Where none has room, the bin opened is that of the least cost for each token it can be
+expected to hold, given what is left to pack. That is done once for every choice of the longest length in use, the
+cheapest packing is taken, and at last every bin is given the shortest permitted length that holds its contents.
+Each bin comes out as a sequence: its ids, packed in the vocabulary's bits, and which pieces they are.
+
+Defined results: a null or empty text is one piece of its end id; pieces of one length go in order of ``doc_id``
+(null first), then of a hash of the text, then of their place in it, and of bins that fit equally well the first
+opened is taken; repeated rows are packed each for itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowquery.llm.common import BLANKS, words_by
+from flowquery.llm.common import materialize
+from flowquery.llm.token_files import bits_for, encoder
+from flowquery.llm.token_files import pack as pack_bits
+from flowquery.llm.token_files import unpack as unpack_bits
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: A sequence costs its length and this much more.
 OVERHEAD = 16
-GROUP_PIECES = 16_384
+GROUP_TOKENS = 4_000_000
 
 
 def default_cost(capacity: int) -> float:
@@ -70,34 +77,67 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost: C
     return best[1], best[2]
 
 
-def word_count(text: Column) -> Column:
-    """Words between blanks, and one for the end of the document."""
-    return F.size(words_by(text, BLANKS)) + 1
+PIECES = "doc_id long, digest long, copy int, piece int, start long, length int, ids binary"
+SEQUENCES = "bin_id string, capacity int, n_tokens int, doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<int>, width int, payload binary"
 
 
-PACKED = "doc_id long, piece int, start long, length int, bin_id string, bin_offset int, capacity int"
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int, most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, seen = [], Counter()
+        for key, digest, ids in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), encoder(path).encode(batch.column("text")), strict=True):
+            ids = np.append(ids, np.uint32(end_id))
+            for n, at in enumerate(range(0, len(ids), most)):
+                part = ids[at : at + most]
+                found.append((key, digest, seen[key, digest], n, at, len(part), pack_bits(part, width)))
+            seen[key, digest] += 1
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        columns = zip(*found, strict=True) if found else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
 
-def _pack_group(rows: pd.DataFrame, capacities: Sequence[int]) -> pd.DataFrame:
-    rows = rows.sort_values(["length", "doc_id", "digest", "piece"], ascending=[False, True, True, True], kind="stable", na_position="first").reset_index(drop=True)
-    bins, caps = pack(rows["length"].tolist(), capacities)
-    rows["bin"] = bins
-    rows["bin_offset"] = rows.groupby("bin")["length"].cumsum() - rows["length"]
-    rows["capacity"] = np.array(caps)[bins]
-    rows["bin_id"] = rows["grp"].astype(str) + ":" + rows["bin"].astype(str)
-    return rows[[c.split()[0] for c in PACKED.split(", ")]]
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, most: int = max(CAPACITIES)) -> DataFrame:
+    """The token ids of each text in pieces of ``most`` at most. ``copy`` tells equal rows of a batch apart."""
+    width = id_width(tokenizer_path, end_id)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: _pieces(batches, tokenizer_path, end_id, width, most), PIECES)
 
 
-def pack_documents(docs: DataFrame, length: Callable[[Column], Column] = word_count, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
-    """(doc_id, piece, start, length, bin_id, bin_offset, capacity): where each piece of each document goes.
+def id_width(tokenizer_path: str, end_id: int = 0) -> int:
+    return bits_for(max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1))
 
-    ``start``: the piece's first token in its document; ``bin_offset``: in its bin.
+
+def _pack_group(rows: pd.DataFrame, capacities: Sequence[int], width: int) -> pd.DataFrame:
+    rows = rows.sort_values(["length", "doc_id", "digest", "piece"], ascending=[False, True, True, True], kind="stable", na_position="first").reset_index(drop=True)
+    bins, caps = pack(rows["length"].tolist(), capacities)
+    ids = [None if pd.isna(d) else int(d) for d in rows["doc_id"]]
+    held: list[list[int]] = [[] for _ in caps]
+    for i, b in enumerate(bins):
+        held[b].append(i)
+    out = []
+    for b, inside in enumerate(held):
+        lengths = rows["length"].iloc[inside].tolist()
+        payload = pack_bits(np.concatenate([unpack_bits(x, width, 0, n) for x, n in zip(rows["ids"].iloc[inside], lengths, strict=True)]), width)
+        out.append((f"{rows['grp'].iloc[0]}:{b}", caps[b], sum(lengths), [ids[i] for i in inside], rows["piece"].iloc[inside].tolist(), rows["start"].iloc[inside].tolist(), lengths, width, payload))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in SEQUENCES.split(", ")])
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
+    """The packed sequences, as SEQUENCES: ``payload`` holds ``n_tokens`` ids at ``width`` bits, piece by piece.
+
+    ``starts``: each piece's first token in its document. What is shuffled are the packed ids.
     """
-    most = max(capacities)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), length(F.col("text")).alias("n"))
-    pieces = rows.select("doc_id", "digest", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most).cast("int"))).alias("piece"))
-    start = F.col("piece").cast("long") * most
-    groups = max(1, math.ceil(docs.count() / GROUP_PIECES))
-    grp = F.pmod(F.xxhash64("doc_id", "digest", "piece"), F.lit(groups)).cast("int")
-    pieces = pieces.select("doc_id", "digest", "piece", start.alias("start"), F.least(F.lit(most), F.col("n") - start).cast("int").alias("length"), grp.alias("grp"))
-    return pieces.groupBy("grp").applyInPandas(lambda x: _pack_group(x, capacities), PACKED)
+    width = id_width(tokenizer_path, end_id)
+    cut = materialize(pieces(docs, tokenizer_path, end_id, max(capacities)), "pieces")
+    groups = max(1, math.ceil((cut.agg(F.sum("length")).first()[0] or 0) / GROUP_TOKENS))
+    cut = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "digest", "copy", "piece"), F.lit(groups)).cast("int"))
+    return cut.groupBy("grp").applyInPandas(lambda x: _pack_group(x, capacities, width), SEQUENCES)
+
+
+def placements(sequences: DataFrame) -> DataFrame:
+    """(doc_id, piece, start, length, bin_id, bin_offset, capacity, bin_crc32) of each piece, from the sequences; ``bin_crc32``: of its sequence's payload."""
+    before = F.aggregate(F.slice("lengths", 1, F.col("at")), F.lit(0), lambda a, x: a + x)
+    rows = sequences.select("*", F.posexplode("lengths").alias("at", "length"))
+    return rows.select(
+        F.get("doc_ids", "at").alias("doc_id"), F.get("pieces", "at").alias("piece"), F.get("starts", "at").alias("start"), "length",
+        "bin_id", before.alias("bin_offset"), "capacity", F.crc32("payload").alias("bin_crc32"),
+    )

@@ -11,18 +11,23 @@ from flowquery.llm.labelled import held_out
 from flowquery.llm.oracles import ORACLE_SQL
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "table"]
+__all__ = ["ORACLE_SQL", "QUERIES", "table", "tokenizer_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_path() -> str:
+    """The vocabulary file that the contracts name."""
     import public_tokenizers
 
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "token_files")
-    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return token_files.read_documents(spark, path)
 
 
@@ -31,7 +36,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.placements(packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,19 +140,60 @@ def test_packing_fits(lengths):
     assert sum(c + 2 for c in caps) <= sum(min(x for x in (8, 16, 32, 64) if x >= n) + 2 for n in lengths)
 
 
-def test_packing_keeps_every_token(spark, docs, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP_PIECES", 20)
-    found = packing.pack_documents(docs, capacities=(64, 256)).collect()
-    expected = sorted((d if d is not None else -1, len((t or "").encode().split()) + 1) for d, t in rows_of(docs))
-    whole: dict = {}
-    for r in found:
-        whole.setdefault((r.doc_id if r.doc_id is not None else -1), []).append(r.length)
-    assert sum(map(sum, whole.values())) == sum(n for _, n in expected)
-    for name in {r.bin_id for r in found}:
-        inside = sorted((r.bin_offset, r.length, r.capacity) for r in found if r.bin_id == name)
-        assert [o for o, _, _ in inside] == [sum(n for _, n, _ in inside[:i]) for i in range(len(inside))]
-        assert sum(n for _, n, _ in inside) <= inside[0][2]
-    assert packing.pack_documents(docs.limit(0)).count() == 0
+def plain_packing(lengths, capacities, cost):
+    """The operator's rules by looking at every bin for every piece."""
+    best = None
+    for top in capacities:
+        bins, left = [], sum(lengths)
+        for i, n in enumerate(lengths):
+            fits = [b for b in bins if b["cap"] - b["held"] >= n]
+            if fits:
+                chosen = min(fits, key=lambda b: (b["cap"] - b["held"], bins.index(b)))
+            else:
+                allowed = [c for c in capacities if c >= n and c <= top] or [min(c for c in capacities if c >= n)]
+                chosen = {"cap": min(allowed, key=lambda c: (cost(c) / min(c, left), c)), "held": 0, "in": []}
+                bins.append(chosen)
+            chosen["held"] += n
+            chosen["in"].append(i)
+            left -= n
+        total = sum(cost(min(c for c in capacities if c >= b["held"])) for b in bins)
+        if best is None or total < best[0]:
+            best = total, [(b["in"], min(c for c in capacities if c >= b["held"])) for b in bins]
+    return best[1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=60))
+def test_packing_is_best_fit(lengths):
+    lengths.sort(reverse=True)
+    bins, caps = packing.pack(lengths, (8, 16, 32, 64), lambda c: c + 2)
+    assert [([i for i, x in enumerate(bins) if x == b], c) for b, c in enumerate(caps)] == plain_packing(lengths, (8, 16, 32, 64), lambda c: c + 2)
+
+
+def test_sequences_hold_every_token(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 2000)
+    tokenizer = token_files.encoder(BPE).tokenizer
+    sequences = packing.pack_documents(docs, BPE, capacities=(64, 256))
+    expected = sorted(((d, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for d, t in rows_of(docs)), key=lambda r: (key(r[:1]), r[1]))
+    parts: dict = {}
+    for r in sequences.collect():
+        assert r.n_tokens == sum(r.lengths) <= r.capacity and r.capacity == min(c for c in (64, 256) if c >= r.n_tokens)
+        ids, at = token_files.unpack(r.payload, r.width, 0, r.n_tokens).tolist(), 0
+        for d, n, s, size in zip(r.doc_ids, r.pieces, r.starts, r.lengths, strict=True):
+            assert s == 256 * n
+            parts.setdefault(d, []).append((n, ids[at : at + size]))
+            at += size
+    assert sum(len(x) for found in parts.values() for _, x in found) == sum(len(x) for _, x in expected)
+    for d, ids in expected:  # each row's pieces are there
+        for n in range(0, len(ids), 256):
+            parts[d].remove((n // 256, ids[n : n + 256]))
+    assert not any(parts.values())
+    placed = packing.placements(sequences).collect()
+    by_bin: dict = {}
+    for r in placed:
+        by_bin.setdefault(r.bin_id, []).append((r.bin_offset, r.length))
+    assert all(o == sum(n for _, n in inside[:i]) for inside in map(sorted, by_bin.values()) for i, (o, _) in enumerate(inside))
+    assert packing.pack_documents(docs.limit(0), BPE).count() == 0
 
 
 # Near-duplicates

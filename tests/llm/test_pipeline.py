@@ -4,8 +4,8 @@ import re
 
 import corpus_pipeline
 import pytest
-from flowquery.llm import near_duplicates, packing, quality, secret_scan
-from flowquery.llm.queries import QUERIES, table
+from flowquery.llm import near_duplicates, packing, quality, secret_scan, token_files
+from flowquery.llm.queries import QUERIES, table, tokenizer_path
 
 
 @pytest.fixture(scope="module")
@@ -67,9 +67,16 @@ def test_secrets(stages):
 
 def test_packing(stages):
     before, after = stages["packing"]
-    assert after.groupBy().sum("length").first()[0] == sum(len(r.text.encode().split()) + 1 for r in before.collect())
-    assert all(r["sum(length)"] <= r["max(capacity)"] for r in after.groupBy("bin_id").agg({"length": "sum", "capacity": "max"}).collect())
-    assert max(packing.CAPACITIES) >= after.agg({"length": "max"}).first()[0]
+    tokenizer = token_files.encoder(tokenizer_path()).tokenizer
+    expected = {r.doc_id: [*tokenizer.encode(r.text, add_special_tokens=False).ids, 0] for r in before.collect()}
+    found: dict = {}
+    for r in after.collect():
+        assert r.n_tokens <= r.capacity <= max(packing.CAPACITIES)
+        ids, at = token_files.unpack(r.payload, r.width, 0, r.n_tokens).tolist(), 0
+        for d, s, n in zip(r.doc_ids, r.starts, r.lengths, strict=True):
+            found.setdefault(d, []).append((s, ids[at : at + n]))
+            at += n
+    assert {d: [i for _, x in sorted(parts) for i in x] for d, parts in found.items()} == expected
 
 
 def test_run_is_registered(spark, sf_dir, stages):

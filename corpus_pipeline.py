@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowquery.llm import decontaminate, near_duplicates, packing, quality, secret_scan
 from flowquery.llm.common import materialize
-from flowquery.llm.queries import table
+from flowquery.llm.queries import table, tokenizer_path
 
 LEAST_QUALITY = 0.3
 
@@ -41,8 +41,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
-    return packing.pack_documents(docs)
+    """The packed token sequences, each with the documents in it."""
+    return packing.pack_documents(docs, tokenizer_path())
 
 
 STAGES = [

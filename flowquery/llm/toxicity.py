@@ -1,16 +1,17 @@
 """Toxicity: Levenshtein automata over a lexicon trie, and context windows.
 
 The lexicon is learnt: words that labelled toxic texts hold far more often than others, of ``LABELLED`` rows of
-either label at most, near copies among them counted once. It is kept as a trie, and a word of a text is matched by running the automaton of
-all words within one edit (insertion, deletion, replacement or swap of neighbours) of it over the trie,
-state set by state set, so misspelled terms are found without listing their variants. Terms under
-``FUZZY_FROM`` letters match exactly; a near form that clean labelled texts use is no misspelling.
+either label at most, near copies among them counted once; every word that passes the test of its odds is in. It is kept as a
+trie, and a word of a text is matched by running the automaton of all words within one edit (insertion, deletion,
+replacement or swap of neighbours) of it over the trie, state set by state set, so misspelled terms are found without
+listing their variants. Words are runs of letters, and also two such runs with one other mark between ("st*pid"). Terms
+under ``FUZZY_FROM`` letters match exactly; a near form that clean labelled texts use is no misspelling.
 
 Each hit is seen in its window of ``NEAR`` words on either side: whether it stands inside quotation marks,
 and how many other hits are near. A logistic model of these figures gives the score: quoted single hits weigh
 what the labelled rows say they weigh, clusters of plain hits more.
 
-Words are counted over the whole corpus pass; texts are read whole, in one pass without a shuffle.
+Words are counted over the labelled rows; texts are read whole, in one pass without a shuffle.
 
 Defined results: a null or empty text has no hits; without labelled rows of both labels every score is 0; repeated rows
 each give their row; other columns are ignored.
@@ -34,7 +35,6 @@ from flowquery.llm.common import materialize
 from flowquery.llm.labelled import sample
 
 LABELLED = 8_192
-LEXICON = 2_000
 #: A term's share of toxic texts is at least so many times its share of others.
 ODDS = 12.0
 FUZZY_FROM = 5
@@ -42,6 +42,8 @@ NEAR = 8
 MEMO_ENTRIES = 300_000
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Two words with one mark between.
+MARKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[^\sa-z][^\W\d_]+")
 #: Marks that open and close quotations.
 QUOTES = re.compile("[\"«»“”„]")
 
@@ -152,12 +154,16 @@ class Lexicon:
     def features(self, text: str | None) -> np.ndarray:
         low = (text or "").lower()
         words = WORD.findall(low)
-        kinds = list(map(self.kind, words))
-        if not any(kinds):
+        kinds = np.array(list(map(self.kind, words)))
+        marked = [(m.start(), kind) for m in MARKED.finditer(low) if (kind := self.kind(m.group()))]
+        if not marked and not kinds.any():
             return np.zeros(8)
+        places = np.array([m.start() for m in WORD.finditer(low)])
+        for start, kind in marked:
+            k = np.searchsorted(places, start)
+            kinds[k] = max(kinds[k], kind)
         at = np.flatnonzero(kinds)
-        kind = np.array(kinds)[at]
-        places = np.array([m.start() for m in WORD.finditer(low)])[at]
+        kind, places = kinds[at], places[at]
         marks = np.array([m.start() for m in QUOTES.finditer(low)])
         before = np.searchsorted(marks, places)
         quoted = (before % 2 == 1) & (before < len(marks))
@@ -188,8 +194,9 @@ def _sketch(texts: pd.Series) -> pd.Series:
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, label in zip(batch["text"], batch["label"], strict=True):
-            words = sorted(set(WORD.findall((text or "").lower())))
-            yield pd.DataFrame({"word": words, "label": label})
+            low = (text or "").lower()
+            words = sorted({*WORD.findall(low), *MARKED.findall(low)})
+            yield pd.DataFrame({"word": np.array(words, object), "label": label})
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -207,7 +214,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def fit(labelled: DataFrame) -> Lexicon:
-    """From (text, label, share). Words are counted in Spark; LEXICON terms and 8 figures a labelled row come to the driver."""
+    """From (text, label, share). Words are counted in Spark; the terms and 8 figures a labelled row come to the driver, bounded by the labelled rows."""
     alike = Window.partitionBy("sketch").orderBy(F.desc("label"), "doc_id")
     single = labelled.withColumn("sketch", F.pandas_udf(_sketch, "long")(F.col("text"))).withColumn("n", F.row_number().over(alike)).where("n = 1")
     single = materialize(single.select("text", "label"), "labelled")  # 2 * LABELLED rows at most
@@ -218,12 +225,12 @@ def fit(labelled: DataFrame) -> Lexicon:
     counts = materialize(counts, "word_counts")
     odds = (F.col("toxic") + 0.1) / sizes[1] / ((F.col("all") - F.col("toxic") + 0.1) / sizes[0])
     common = counts.where((F.col("toxic") >= max(2, round(sizes[1] ** 0.5 / 4))) & (F.length("word") >= 3) & (odds >= ODDS))
-    terms = tuple(r.word for r in common.orderBy(F.desc("toxic"), "word").limit(LEXICON).collect())
+    terms = tuple(r.word for r in common.orderBy("word").collect())
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(terms)
         for batch in batches:
-            yield batch[[trie.near(w) is not None for w in batch["word"]]]
+            yield pd.DataFrame({"word": [w for w in batch["word"] if trie.near(w) is not None]}, dtype=object)
 
     others = counts.where((F.col("all") > F.col("toxic")) & (odds < 3)).select("word")
     clean = frozenset(r.word for r in others.mapInPandas(near, "word string").collect())

@@ -1,17 +1,18 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are its frequent words, the shapes of its words ("Aa", "a,", "A!!"), pairs of adjacent
-shapes, and how much it repeats words and lines. Terms are weighted by the root of their share in
-the text and their rarity, and a truncated singular value decomposition of ``LABELLED`` labelled rows of
-either label at most turns them into vectors of ``RANK`` numbers. These labelled vectors (some 1 MB, whatever
-the corpus) are broadcast; each batch of documents is multiplied with all of them, and a document's score
-is the share of label 1 among its ``NEIGHBOURS`` nearest, each weighted by its cosine to the power
+A text's terms are its words, the shapes of its words ("Aa", "a,", "A!!"), pairs of adjacent
+shapes, and how much it repeats words and lines. Terms that two labelled rows hold are weighted by the root of their
+share in the text and their rarity, and a truncated singular value decomposition of ``LABELLED`` labelled rows of
+either label at most turns them into vectors of ``RANK`` numbers. These labelled vectors and the terms' projections (bounded
+by the labelled rows, whatever the corpus) are broadcast; each batch of documents is multiplied with all vectors, and
+a document's score is the share of label 1 among its ``NEIGHBOURS`` nearest, each weighted by its cosine to the power
 ``SHARPNESS`` and by how many labelled rows it stands for.
 
 Texts are read whole, in one pass without a shuffle.
 
-Defined results: a null text counts as empty; a text without terms, as an empty one, scores the labelled rows' share of
-label 1, or 0.5 without labelled rows; repeated rows each give their row; other columns are ignored.
+Defined results: a null text counts as empty; a text without known terms, as an empty one, scores the labelled rows' share of
+label 1, or 0.5 without labelled rows; of equally near labelled rows at the last place the first vote, in the order of
+label, terms and shares; repeated rows each give their row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql.types import DoubleType
 from flowquery.llm.labelled import sample
 
 LABELLED = 2_048
-TERMS, RANK = 4_096, 48
+RANK = 48
 NEIGHBOURS, SHARPNESS = 15, 4
 SEED = 3
 
@@ -41,42 +43,50 @@ SHAPES = bytes(
 
 
 def shapes(text: bytes) -> list[bytes]:
-    """The words' shapes: runs of one class count once, runs of a mark thrice at most."""
+    """The words' shapes: runs of letters, capitals or digits count once."""
     s = text.translate(SHAPES)
     for c in (b"a", b"A", b"9"):
-        for k in (32, 8, 3, 2, 2):
+        for k in (32, 8, 3, 2):
             s = s.replace(c * k, c)
-    return [x[:8] for x in s.split()]
+        while c * 2 in s:
+            s = s.replace(c * 2, c)
+    return s.split()
 
 
-def terms(text: bytes | None) -> dict[str, float]:
-    """Each term's share in ``text`` (shares of a kind sum to 1)."""
-    text = text or b""
+def counted(text: bytes) -> tuple[int, list[Counter], dict[str, float]]:
+    """The number of words, how often each word, shape and pair of shapes occurs, and by what share words, lines and runs of them are repeated."""
     words = text.split()
-    if not words:
-        return {}
     n = len(words)
     counts = Counter(words)
     form = shapes(text)
-    out = {f"w:{w[:24].decode('utf-8', 'replace')}": c / n for w, c in counts.items() if c > 1 or n < 200}
-    out |= {f"s:{s.decode()}": c / n for s, c in Counter(form).items()}
-    out |= {f"p:{a.decode()} {b.decode()}": c / n for (a, b), c in Counter(pairwise(form)).items()}
     lines = text.split(b"\n")
     repeated = {
         "words": 1 - len(counts) / n,
-        "runs": sum(a == b for a, b in pairwise(words)) / n,
+        "runs": sum(map(eq, words, words[1:])) / n,
         "top": max(counts.values()) / n,
         "lines": 1 - len(set(lines)) / len(lines),
         "trigrams": 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / max(1, n - 2),
     }
-    return out | {f"r:{k}:{min(9, int(10 * v))}": 0.1 for k, v in repeated.items()}
+    return n, [counts, Counter(form), Counter(pairwise(form))], repeated
+
+
+def terms(text: bytes | None) -> dict[tuple, float]:
+    """Each term (kind, value) and its share in ``text``; shares of a kind sum to 1."""
+    if not (text or b"").split():
+        return {}
+    n, kinds, repeated = counted(text)
+    return {(kind, t): c / n for kind, counts in enumerate(kinds) for t, c in counts.items()} | {(len(kinds), bin_of(k, v)): 0.1 for k, v in repeated.items()}
+
+
+def bin_of(name: str, share: float) -> bytes:
+    return f"{name}:{min(9, int(10 * share))}".encode()
 
 
 @dataclass
 class Neighbours:
-    """What is broadcast: the terms' numbers and projections, and the labelled vectors."""
+    """What is broadcast: the terms' numbers (a dictionary for each kind) and projections, and the labelled vectors."""
 
-    index: dict[str, int]
+    index: list[dict]
     project: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
@@ -86,59 +96,94 @@ class Neighbours:
     def prior(self) -> float:
         return float(self.labels @ self.weights / self.weights.sum()) if len(self.labels) else 0.5
 
-    def vector(self, found: dict[str, float]) -> np.ndarray:
-        pairs = [(self.index[t], v) for t, v in found.items() if t in self.index]
-        if not pairs:
-            return np.zeros(self.project.shape[1], np.float32)
-        at, value = zip(*pairs, strict=True)
-        return np.sqrt(np.array(value, np.float32)) @ self.project[list(at)]
+    def vector(self, text: bytes | None) -> np.ndarray:
+        """As the sum over ``terms``, without a look at those that are not known."""
+        if not (text or b"").split():
+            return np.zeros(self.project.shape[1])
+        n, kinds, repeated = counted(text)
+        at, count = [], []
+        for numbers, counts in zip(self.index, kinds, strict=False):
+            known = counts.keys() & numbers.keys() if len(counts) > len(numbers) else [t for t in counts if t in numbers]
+            at += [numbers[t] for t in known]
+            count += [counts[t] for t in known]
+        share = np.array(count, float) / n
+        bins = [self.index[-1][b] for k, v in repeated.items() if (b := bin_of(k, v)) in self.index[-1]]
+        order = np.array(at + bins, np.int64)
+        return np.sqrt(np.concatenate([share, np.full(len(bins), 0.1)])) @ self.project[order]
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(texts), 0.5)
-        x = np.stack([self.vector(terms(t)) for t in texts])
+        x = np.stack([self.vector(t) for t in texts])
         length = np.linalg.norm(x, axis=1)
         near = (x / np.maximum(length, 1e-12)[:, None]) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        votes = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** SHARPNESS * self.weights[top]
+        least = np.partition(near, -k, axis=1)[:, -k][:, None]
+        tied = near == least
+        chosen = near > least
+        chosen |= tied & (np.cumsum(tied, axis=1) <= k - chosen.sum(axis=1)[:, None])  # the first of equally near ones
+        top = np.nonzero(chosen)[1].reshape(-1, k)
+        votes = np.maximum(np.take_along_axis(near, top, 1), 0) ** SHARPNESS * self.weights[top]
         total = votes.sum(axis=1)
         score = np.where(total > 0, (votes * self.labels[top]).sum(axis=1) / np.maximum(total, 1e-300), self.prior)
         return np.clip(np.where(length > 0, score, self.prior), 0, 1)
 
 
+def _named(term: tuple) -> bytes:
+    """A term as bytes: its kind, and its value, of a pair both with a blank between."""
+    kind, value = term
+    return b"%d:" % kind + (b" ".join(value) if isinstance(value, tuple) else value)
+
+
 def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [terms(t) for t in batch["text"]]
-        yield pd.DataFrame({"label": batch["label"], "share": batch["share"], "terms": [list(f) for f in found], "shares": [list(f.values()) for f in found]})
+        yield pd.DataFrame({"label": batch["label"], "share": batch["share"], "terms": [list(map(_named, f)) for f in found], "shares": [list(f.values()) for f in found]})
 
 
 def fit(labelled: DataFrame) -> Neighbours:
     """From (text, label, share); 2 * LABELLED rows at most come to the driver, as terms."""
-    rows = labelled.select(F.col("text").cast("binary").alias("text"), "label", "share").mapInPandas(_terms, "label int, share double, terms array<string>, shares array<float>").collect()
+    rows = labelled.select(F.col("text").cast("binary").alias("text"), "label", "share").mapInPandas(_terms, "label int, share double, terms array<binary>, shares array<double>").collect()
     rows.sort(key=lambda r: (r.label, r.terms, r.shares))
     counts = Counter(t for r in rows for t in r.terms)
-    kept = sorted((t for t, n in counts.items() if n > 1), key=lambda t: (-counts[t], t))[:TERMS]
-    index = {t: i for i, t in enumerate(kept)}
-    x = np.zeros((len(rows), len(kept)), np.float32)
-    for i, r in enumerate(rows):
-        for t, v in zip(r.terms, r.shares, strict=True):
-            if t in index:
-                x[i, index[t]] = v**0.5
-    rarity = np.log(1 + len(rows) / np.array([counts[t] for t in kept], np.float32)) if kept else np.zeros(0, np.float32)
-    x *= rarity
+    numbers = {t: i for i, t in enumerate(sorted(t for t, n in counts.items() if n > 1))}
+    held = [[(numbers[t], v) for t, v in zip(r.terms, r.shares, strict=True) if t in numbers] for r in rows]
+    rarity = np.log(1 + len(rows) / np.array([counts[t] for t in numbers], float))
+    x = Sparse(held, rarity)
     # A randomised range finder, then the small decomposition.
-    draw = np.random.default_rng(SEED).standard_normal((len(rows), min(RANK + 16, len(rows)))).astype(np.float32)
-    basis = x.T @ draw
+    draw = np.random.default_rng(SEED).standard_normal((len(rows), min(RANK + 16, len(rows))))
+    basis = x.transposed_times(draw)
     for _ in range(3):
         basis, _ = np.linalg.qr(basis)
-        basis = x.T @ (x @ basis)
+        basis = x.transposed_times(x.times(basis))
     basis, _ = np.linalg.qr(basis)
-    _, _, small = np.linalg.svd(x @ basis, full_matrices=False)
+    _, _, small = np.linalg.svd(x.times(basis), full_matrices=False)
     project = basis @ small[:RANK].T
-    vectors = x @ project
+    vectors = x.times(project)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return Neighbours(index, (rarity[:, None] * project).astype(np.float32), vectors.astype(np.float32), np.array([r.label for r in rows], np.float64), np.array([r.share for r in rows], np.float64))
+    index: list[dict] = [{}, {}, {}, {}]
+    for t, i in numbers.items():
+        kind, value = int(t[:1]), bytes(t[2:])
+        index[kind][tuple(value.split(b" ")) if kind == 2 else value] = i
+    return Neighbours(index, rarity[:, None] * project, vectors, np.array([r.label for r in rows], float), np.array([r.share for r in rows], float))
+
+
+class Sparse:
+    """The labelled rows' terms: roots of shares times rarity."""
+
+    def __init__(self, held: list[list[tuple[int, float]]], rarity: np.ndarray):
+        self.width = len(rarity)
+        self.rows = [(np.array([i for i, _ in h], np.int64), np.sqrt(np.array([v for _, v in h], float))) for h in held]
+        self.rows = [(at, v * rarity[at]) for at, v in self.rows]
+
+    def times(self, y: np.ndarray) -> np.ndarray:
+        return np.stack([v @ y[at] for at, v in self.rows]) if self.rows else np.zeros((0, y.shape[1]))
+
+    def transposed_times(self, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.width, y.shape[1]))
+        for (at, v), own in zip(self.rows, y, strict=True):
+            out[at] += v[:, None] * own  # a row holds each term once
+        return out
 
 
 def scorer(docs: DataFrame, labels: DataFrame) -> Column:

@@ -454,21 +454,97 @@ def test_classifiers_without_labels_or_rows(spark, docs, module):
     assert docs.limit(0).select(module.scorer(docs, some)).count() == 0
 
 
-def test_trie_finds_words_within_one_edit():
-    def within(a, b):
-        letters = set(a + b)
-        for i in range(len(a) + 1):
-            made = [a[:i] + a[i + 1 :], a[:i] + a[i + 1 : i + 2] + a[i : i + 1] + a[i + 2 :], *(a[:i] + c + a[i:] for c in letters), *(a[:i] + c + a[i + 1 :] for c in letters)]
-            if b in made:
-                return True
-        return a == b
+def labelled_texts():
+    """(doc_id, text, good, toxic): toxic ones hold rude words, also misspelled and quoted; bad ones are junk."""
+    rng = random.Random(4)
+    plain = "the house stands near river and road while people walk home slowly every evening under tall trees".split()
+    rude = ["scoundrel", "blockhead", "scum"]
+    rows = []
+    for i in range(240):
+        w = [rng.choice(plain) for _ in range(rng.randrange(5, 40))]
+        if i % 3 == 0:
+            w[rng.randrange(len(w)) : 0] = [rng.choice(rude), rng.choice(rude), rng.choice(["scoundrle", "block_head", "bl0ckhead", "said"])]
+        if i % 7 == 0:
+            w = [x.upper() + "!!" for x in w[:3]] * 5
+        rows.append((i, " ".join(w), int(i % 7 != 0), int(i % 3 == 0)))
+    return [*rows, (300, None, 0, 0), (301, "", 1, 1), (302, " ".join(plain * 6_000), 1, 0), (302, " ".join(plain * 6_000), 1, 0)]
+
+
+def test_quality_is_a_plain_vote_of_neighbours(spark):
+    rows = labelled_texts()
+    model = quality.fit(spark.createDataFrame([(t, g, 1.0 + 3 * g) for _, t, g, _ in rows], "text string, label int, share double"))
+    texts = [(t or "").encode() for _, t, _, _ in rows] + [b"never seen", "été été".encode()]
+    found = model.scores(texts)
+    for text, score in zip(texts, found, strict=True):
+        vector = [0.0] * model.project.shape[1]
+        for (kind, value), share in quality.terms(text).items():
+            if value in model.index[kind]:
+                vector = [a + share**0.5 * b for a, b in zip(vector, model.project[model.index[kind][value]].tolist(), strict=True)]
+        length = sum(a * a for a in vector) ** 0.5
+        if not length:
+            assert score == pytest.approx(model.prior)
+            continue
+        near = sorted(((round(sum(a * b for a, b in zip(vector, own, strict=True)) / length, 12), -i) for i, own in enumerate(model.vectors.tolist())), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(c, 0.0) ** quality.SHARPNESS * model.weights[-i], model.labels[-i]) for c, i in near]
+        expected = sum(v for v, y in votes if y) / sum(v for v, _ in votes)
+        assert score == pytest.approx(expected, abs=1e-6)
+    assert found[0] < 0.5 < found[1] and found[-4] == found[-3]
+
+
+def test_quality_terms_are_whole():
+    long, many = b"x1" * 500, b" ".join(b"w%d" % i for i in range(5_000))
+    assert (0, long) in quality.terms(long) and sum(k == 0 for k, _ in quality.terms(many)) == 5_000
+    assert quality.shapes(b"a" * 1_000 + b"B" * 77 + b"!!!!! 12,345") == [b"aA!!!!!", b"9,9"]
+
+
+def within_one_edit(a, b):
+    if a == b:
+        return True
+    letters = set(a + b)
+    return any(
+        b in {a[:i] + a[i + 1 :], a[:i] + a[i + 1 : i + 2] + a[i : i + 1] + a[i + 2 :], *(a[:i] + c + a[i:] for c in letters), *(a[:i] + c + a[i + 1 :] for c in letters)}
+        for i in range(len(a) + 1)
+    )
+
+
+def test_toxicity_is_a_plain_search_for_terms(spark):
+    """Every word against every term, and the figures of the hits by loops."""
+    rows = labelled_texts()
+    model = toxicity.fit(spark.createDataFrame([(i, t, x, 1.0) for i, t, _, x in rows], "doc_id long, text string, label int, share double"))
+    assert {"scoundrel", "blockhead", "scum"} <= set(model.terms)
+
+    def kind(word):
+        if word in model.terms:
+            return 2
+        return int(word not in model.clean and any(len(t) >= toxicity.FUZZY_FROM and within_one_edit(word, t) for t in model.terms))
+
+    extra = ['he said "you scoundrel" and left', "sc*undrel and bl0ckhead, scumm", 'scum scum " scoundrel', "Blockhaed! " * 20 + "«scum» " * 3]
+    for text in [t for _, t, _, _ in rows[:60]] + [None, "", *extra]:
+        low = (text or "").lower()
+        words = [[m.start(), kind(m.group()), m.group()] for m in re.finditer(r"[^\W\d_]+", low)]
+        for m in re.finditer(r"(?<![^\W\d_])[^\W\d_]+[^\sa-z][^\W\d_]+", low):
+            k = next(i for i, w in enumerate(words) if w[0] == m.start())
+            words[k][1] = max(words[k][1], kind(m.group()))
+        hits = [i for i, w in enumerate(words) if w[1]]
+        marks = [m.start() for m in re.finditer("[\"«»“”„]", low)]
+        quoted = {i for i in hits if sum(m < words[i][0] for m in marks) % 2 == 1 and any(m > words[i][0] for m in marks)}
+        plain = [i for i in hits if words[i][1] == 2 and i not in quoted]
+        near = [sum(abs(i - j) <= toxicity.NEAR for j in hits) - 1 for i in plain]
+        expected = np.array([1.0, np.log1p(len(plain)), np.log1p(sum(words[i][1] == 1 and i not in quoted for i in hits)), np.log1p(len(quoted)), np.log1p(max(near, default=0)),
+                             float(bool(plain)), 20 * len(plain) / (20 + len(words)), float(len({words[i][2] for i in hits if words[i][1] == 2}) > 1)]) if hits else np.zeros(8)
+        assert np.allclose(model.features(text), expected), text
+    assert model.score(["sc*undrel", "bl0ckhead scum", "the house"])[2] < 0.5 < model.score(["scum scoundrel blockhead"])[0]
+    assert model.features("sc*undrel")[0] == 1 and model.features("the house of don't")[0] == 0
+    assert model.score(["the river " * 60_000 + "scum scoundrel scum"])[0] > 0  # very long texts are read to the end
 
+
+def test_trie_finds_words_within_one_edit():
     random.seed(1)
     terms = ["".join(random.choice("abc") for _ in range(random.randint(3, 9))) for _ in range(40)]
     trie = toxicity.Trie(terms)
     for _ in range(3000):
         word = "".join(random.choice("abc") for _ in range(random.randint(2, 10)))
-        assert (trie.near(word) is not None) == any(len(t) >= toxicity.FUZZY_FROM and within(word, t) for t in terms)
+        assert (trie.near(word) is not None) == any(len(t) >= toxicity.FUZZY_FROM and within_one_edit(word, t) for t in terms)
 
 
 def test_quotations_are_told_from_abuse():

@@ -1,11 +1,10 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
-Each rule's regex comes with the Boolean trigram query that any text it matches must satisfy: a
-disjunction of words, each the conjunction of its trigrams. ``trigram_index`` holds, per shard of
-documents and trigram, the list of documents with it; only trigrams that some rule asks for are
-kept. ``candidates`` intersects the postings of each conjunction and unites the disjuncts.
-``find_secrets`` verifies the candidates with the regexes themselves; rules without a mandatory
-trigram scan every text.
+``trigram_query`` derives from each rule's regex the Boolean trigram query that any text it matches must satisfy: a
+disjunction of clauses, each a conjunction of trigrams. ``trigram_index`` holds, per shard of documents and
+trigram, the list of documents with it, for the trigrams of a set of rules; it is written once and serves all rules
+whose trigrams it has. ``candidates`` intersects the postings of each clause and unites the clauses. ``find_secrets``
+verifies the candidates with the regexes themselves; rules without a mandatory trigram scan every text.
 
 Postings are split by a hash of ``doc_id`` into shards of about ``SHARD_DOCS`` documents, so no list
 grows with the corpus or with a common trigram. Candidates are broadcast only where their counted
@@ -18,8 +17,10 @@ are verified for every rule; repeated rows each give their own row; other column
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 from functools import reduce
+from re import _parser  # the only part of Python that gives a regex's structure
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,22 +32,138 @@ SHARD_DOCS = 4096
 BROADCAST_ROWS = 1_000_000
 
 
+#: Strings of one part of a regex, clauses of a query and characters of a class that are told apart; more count as anything.
+MOST_STRINGS, MOST_CLAUSES, MOST_CHARACTERS = 128, 128, 10
+
+Clauses = frozenset[frozenset[str]]
+ANY: Clauses = frozenset((frozenset(),))
+
+
+def _least(clauses) -> Clauses:
+    """Without clauses that another one implies."""
+    return frozenset(c for c in clauses if not any(d < c for d in clauses))
+
+
+def _both(a: Clauses, b: Clauses) -> Clauses:
+    """And. Where that makes too many clauses, the shorter side alone, which asks for less."""
+    if len(a) * len(b) > MOST_CLAUSES:
+        return min(a, b, key=len) if ANY not in (a, b) else max(a, b, key=len)
+    return _least({x | y for x in a for y in b})
+
+
 @dataclass(frozen=True)
-class Rule:
-    """``words``: any match holds one of them, in either case (none: no mandatory trigram).
+class Part:
+    """What a part of a regex matches: all its strings (``exact``), or how they begin and end and what they must hold."""
+
+    exact: frozenset[str] | None
+    begins: frozenset[str] = frozenset(("",))
+    ends: frozenset[str] = frozenset(("",))
+    query: Clauses = ANY
+
+
+ANYTHING = Part(None)
+
+
+def _holding(strings: frozenset[str]) -> Clauses:
+    """What a text that holds one of ``strings`` must hold."""
+    return _least({frozenset(x[i : i + 3] for i in range(len(x) - 2)) for x in strings})
+
+
+def _loose(part: Part) -> Part:
+    """The same without the whole strings."""
+    if part.exact is None:
+        return part
+    return Part(None, frozenset(x[:2] for x in part.exact), frozenset(x[-2:] for x in part.exact), _holding(part.exact))
+
+
+def _joined(a: Part, b: Part) -> Part:
+    if a.exact is not None and b.exact is not None and len(a.exact) * len(b.exact) <= MOST_STRINGS:
+        return Part(frozenset(x + y for x in a.exact for y in b.exact))
+    ends = a.exact if a.exact is not None else a.ends
+    begins = b.exact if b.exact is not None else b.begins
+    query = _both(_loose(a).query, _loose(b).query)
+    across = frozenset(x + y for x in ends for y in begins) if len(ends) * len(begins) <= MOST_STRINGS else frozenset(("",))
+    query = _both(query, _holding(across))
+    first = across if a.exact is not None else a.begins
+    last = across if b.exact is not None else b.ends
+    return Part(None, frozenset(x[:2] for x in first), frozenset(x[-2:] for x in last), query)
+
+
+def _either(parts: list[Part]) -> Part:
+    if all(p.exact is not None for p in parts) and sum(len(p.exact) for p in parts) <= MOST_STRINGS:
+        return Part(frozenset().union(*(p.exact for p in parts)))
+    loose = [_loose(p) for p in parts]
+    clauses = frozenset().union(*(p.query for p in loose))
+    return Part(None, frozenset().union(*(p.begins for p in loose)), frozenset().union(*(p.ends for p in loose)), _least(clauses) if len(clauses) <= MOST_CLAUSES else ANY)
+
+
+def _letters(characters: set[int]) -> Part:
+    """One of ``characters``; those beyond ASCII may fold in other ways and count as anything."""
+    folded = {chr(c).lower() for c in characters}
+    return Part(frozenset(folded)) if characters and len(folded) <= MOST_CHARACTERS and max(characters) < 128 else ANYTHING
+
+
+def _class(items: list) -> Part:
+    found: set[int] = set()
+    for kind, value in items:
+        if str(kind) == "LITERAL":
+            found.add(value)
+        elif str(kind) == "RANGE":
+            found |= set(range(value[0], min(value[1], value[0] + 256) + 1))
+        else:  # negated, or a category
+            return ANYTHING
+    return _letters(found)
+
+
+def _sequence(parsed) -> Part:
+    out = Part(frozenset(("",)))
+    for kind, value in parsed:
+        out = _joined(out, _part(str(kind), value))
+    return out
+
+
+def _part(kind: str, value) -> Part:
+    if kind == "LITERAL":
+        return _letters({value})
+    if kind == "IN":
+        return _class(value)
+    if kind == "BRANCH":
+        return _either([_sequence(x) for x in value[1]])
+    if kind == "SUBPATTERN":
+        return _sequence(value[-1])
+    if kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+        least, most, inner = value
+        once = _sequence(inner)
+        if least == 0:
+            return _either([Part(frozenset(("",))), once]) if most == 1 else ANYTHING
+        out = once
+        for _ in range(min(least, 3) - 1):
+            out = _joined(out, once)
+        if most == least <= 3:
+            return out
+        last = _loose(once)  # what follows the copies looked at is anything, but ends as the last copy
+        return Part(None, _loose(out).begins, last.ends, _loose(out).query)
+    return Part(frozenset(("",))) if kind == "AT" else ANYTHING
+
+
+def trigram_query(regex: str) -> Clauses:
+    """Clauses of trigrams, in lower case, one of which all matches of ``regex`` satisfy in full (ANY: no mandatory trigram)."""
+    return _loose(_sequence(_parser.parse(regex))).query
 
-    ``group`` must have ``least`` characters, else the match is dropped.
-    """
+
+@dataclass(frozen=True)
+class Rule:
+    """``group`` must have ``least`` characters, else the match is dropped."""
 
     kind: str
     regex: str
-    words: tuple[str, ...] = ()
     group: int = 0
     least: int = 0
 
     def clauses(self) -> list[tuple[str, ...]]:
-        """The trigrams of each word; all of one word's must be there."""
-        return [tuple(sorted({w[i : i + 3] for i in range(len(w) - 2)})) for w in self.words]
+        """The derived query; none where it asks for nothing."""
+        query = trigram_query(self.regex)
+        return [] if frozenset() in query else sorted(tuple(sorted(c)) for c in query)
 
 
 ASSIGN = (
@@ -54,18 +171,18 @@ ASSIGN = (
     "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
 BASE_RULES = (
-    Rule("assign", ASSIGN, ("password", "passwd", "secret", "token", "apikey", "api_key"), 2, 8),
-    Rule("access", "AKIA[A-Z0-9]+", ("akia",), 0, 16),
-    Rule("hex", "[0-9a-f]+", (), 0, 32),
+    Rule("assign", ASSIGN, 2, 8),
+    Rule("access", "AKIA[A-Z0-9]+", 0, 16),
+    Rule("hex", "[0-9a-f]+", 0, 32),
 )
 #: Kinds of credentials with a published prefix.
 PREFIX_RULES = (
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", ("-----begin ",)),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("google", "AIza[A-Za-z0-9_-]{35}", ("aiza",)),
-    Rule("stripe", "[sr]k_live_[A-Za-z0-9]{16,}", ("sk_live_", "rk_live_")),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]+", (".eyj",)),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", "AIza[A-Za-z0-9_-]{35}"),
+    Rule("stripe", "[sr]k_live_[A-Za-z0-9]{16,}"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE_RULES + PREFIX_RULES
 
@@ -75,27 +192,13 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def leads(rules: tuple[Rule, ...]) -> list[str]:
-    """A few trigrams of which every clause holds one: a text without any of them satisfies no query."""
-    left, found = [set(c) for r in rules for c in r.clauses()], []
-    while left:
-        best = max(sorted({g for c in left for g in c}), key=lambda g: sum(g in c for c in left))
-        found.append(best)
-        left = [c for c in left if best not in c]
-    return found
-
-
 def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(shard, gram, postings): the documents of a shard whose folded text holds ``gram``.
-
-    Kept are the trigrams of the rules' queries, and documents that hold some lead.
-    """
+    """(shard, gram, postings): the documents of a shard whose folded text holds ``gram``, for every trigram of the rules' queries."""
     grams = sorted({g for r in rules for c in r.clauses() for g in c})
     shards = max(1, math.ceil(docs.count() / SHARD_DOCS))
     low = F.lower(F.coalesce("text", F.lit("")))  # folds more than A-Z: no match is missed
-    some = reduce(lambda a, b: a | b, (F.contains(F.col("low"), F.lit(g)) for g in leads(rules)))
-    held = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in grams)))
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", low.alias("low")).where(some).select("doc_id", F.explode(held).alias("gram"))
+    held = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in grams))) if grams else F.array().cast("array<string>")
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", low.alias("low")).select("doc_id", F.explode(held).alias("gram"))
     return rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "gram").agg(F.collect_set("doc_id").alias("postings"))
 
 
@@ -151,23 +254,28 @@ def no_spans() -> Column:
 
 def scan_filter(rule: Rule) -> str:
     """A regex that finds whether a text holds the rule at all."""
-    return rule.regex.removesuffix("+") + f"{{{rule.least}}}" if rule.regex.endswith("]+") and not rule.words and rule.least else rule.regex
+    return rule.regex.removesuffix("+") + f"{{{rule.least}}}" if re.fullmatch(r"\[[^\]]*\]\+", rule.regex) and not rule.group and rule.least else rule.regex
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``spans``: by start, then by the order of ``rules``. A null text becomes an empty one."""
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``spans``: by start, then by the order of ``rules``. A null text becomes an empty one.
+
+    ``index``: a ``trigram_index`` of the same documents, for rules that hold these; without it one is made.
+    """
     docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).drop("spans")
-    cands = materialize(candidates(trigram_index(docs, rules), rules), "secret_candidates")
+    index = trigram_index(docs, rules) if index is None else index
+    cands = materialize(candidates(index, rules), "secret_candidates")
     small = cands.count() <= BROADCAST_ROWS
     cands = cands.select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
     text = F.col("text")
     found = []
     for rule in rules:
-        if rule.words:
+        indexed = bool(rule.clauses())
+        if indexed:
             may = F.col("doc_id").isNull() | F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
         else:
             may = text.rlike(scan_filter(rule))
-        holds = may & text.rlike(rule.regex) if rule.words else may
+        holds = may & text.rlike(rule.regex) if indexed else may
         found.append(F.when(holds, spans_of(rule, text)).otherwise(no_spans()))
     marked = docs.join(F.broadcast(cands) if small else cands, F.col("doc_id") == F.col("__id"), "left")
     return marked.select(*docs.columns, F.array_sort(reduce(F.concat, found)).alias("spans"))

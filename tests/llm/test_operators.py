@@ -113,6 +113,54 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(table.limit(0)).count() == 0
 
 
+#: Words of which a match holds one, in lower case, by hand.
+BY_HAND = {
+    "assign": ["password", "passwd", "secret", "token", "apikey", "api_key"], "access": ["akia"], "hex": [],
+    "github": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], "slack": ["xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"], "google": ["aiza"], "stripe": ["sk_live_", "rk_live_"],
+}
+
+
+def grams(word):
+    return tuple(sorted({word[i : i + 3] for i in range(len(word) - 2)}))
+
+
+def test_trigram_queries_by_hand():
+    derived = {r.kind: r.clauses() for r in secret_scan.RULES}
+    for kind, words in BY_HAND.items():
+        assert derived[kind] == sorted(map(grams, words)), kind
+    assert derived["pem"] == [tuple(sorted({*grams("-----begin "), *grams("private key-----")}))]
+    assert derived["jwt"] == [tuple(sorted({*grams("eyj"), *grams(".eyj")}))]
+    query = lambda regex: secret_scan.Rule("x", regex).clauses()
+    assert query("ab(c|d)e") == [("abc", "bce"), ("abd", "bde")] and query("(abc)+d?") == [("abc",)] and query("(abc)*|xyz") == [] and query("ab.cd") == []
+    assert query("abc.*def") == [("abc", "def")] and query("(?:abc){2}") == [("abc", "bca", "cab")] and query("abc{2,}d") == [("abc", "bcc")] and query("äbcd") == [("bcd",)]
+
+
+PIECES = st.sampled_from(["abc", "De", "[xy]", "[0-9]", "[^a]", ".", "q?", "(r|st)", "(uvw|xyz)+", "(ab){2}", "k{2,3}", "z*", "(m|no|)", "\\b", "x+?", "Éa"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, min_size=1, max_size=6), st.data())
+def test_derived_queries_never_miss_a_match(pieces, data):
+    regex = "".join(pieces)
+    text = data.draw(st.from_regex(regex))
+    clauses = secret_scan.trigram_query(regex)
+    assert any(all(g in text.lower() for g in c) for c in clauses)
+
+
+def test_an_index_serves_further_rules(spark):
+    table = spark.createDataFrame(SECRETS, "doc_id long, text string")
+    index = secret_scan.trigram_index(table)
+    some = secret_scan.RULES[3:6] + secret_scan.RULES[:1]
+    rows = lambda **kept: sorted(str(r) for r in secret_scan.find_secrets(table, some, **kept).collect())
+    assert rows(index=index) == rows()
+
+
+def test_secrets_in_a_very_long_text(spark):
+    text = ("plain words here " * 20_000 + "token=abcdefgh%d ") * 3 % (1, 2, 3)
+    [row] = secret_scan.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [tuple(s) for s in row.spans] == plain_spans(text) and len(row.spans) == 3
+
+
 def test_index_finds_what_the_regexes_need(spark):
     table = spark.createDataFrame(SECRETS, "doc_id long, text string")
     kinds = {(r.doc_id, k) for r in secret_scan.candidates(secret_scan.trigram_index(table)).collect() for k in r.kinds}

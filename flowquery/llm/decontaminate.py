@@ -4,17 +4,19 @@ A window is ``n`` consecutive words of a benchmark item (an item of fewer is one
 is looked up by its rarest terms:
 
 1. ``term_counts``: how often each benchmark term occurs in the corpus;
-2. the ``ANCHORS`` rarest terms of each window, with their offsets in it;
+2. ``anchors``: the ``ANCHORS`` rarest terms of each window, and the ``SIDE_ANCHORS`` rarest of each of its halves, with their
+   offsets in it;
 3. ``postings``: (term, document, position) of the anchor terms in the corpus, with the words around
    the position; other terms are not stored;
-4. ``matches``: offset-adjusted postings (position - offset) are intersected over a window's anchors;
-   what agrees is compared with the window's words in full. Anchors that disagree by ``slop``
-   positions at most are proximity matches.
+4. ``intersect``: offset-adjusted postings (position - offset) are intersected over a window's anchors;
+   what agrees is compared with the window's words in full: exact matches;
+5. ``near``: places where every side anchor stands within ``SLOP`` words of where the rarest one has it, although the window
+   does not: proximity matches, which see words that were inserted, left out or replaced in either half.
 
-A posting of the rarest term carries the 2n-1 words around it, so exact matches need no second read
-of the texts. The benchmark side goes to all tasks in blocks of ``BLOCK_ROWS`` rows at most, whatever
-its size; a corpus row meets only the windows that share a rare term with it, and what is shuffled
-are agreeing postings and one row per document.
+A posting of a window's rarest term carries the words around it, so no match needs a second read of the texts. A corpus
+row meets only the windows that share a rare term with it, and what is shuffled are agreeing postings and one row per
+document. Terms go to all tasks in blocks of ``TERM_ROWS`` at most; windows do so up to ``BLOCK_ROWS`` rows, and beyond that are
+joined with the postings by a shuffle of both.
 
 Defined results: a null or empty text has no words and is clean; repeated rows each give their row;
 a null ``item_id`` counts as an item without a name (in ``n_items``, not in the digest's names);
@@ -32,10 +34,10 @@ from pyspark.sql import functions as F
 from flowquery.llm.common import fold_ascii, materialize
 
 N = 10
-ANCHORS = 2
+ANCHORS, SIDE_ANCHORS = 2, 2
 SLOP = 3
-#: Benchmark rows (terms or windows, under 1 kB each) that go to all tasks at once.
-BLOCK_ROWS = 20_000
+#: Rows of anchors (under 1 kB each) and terms (some 50 bytes) that go to all tasks at once.
+BLOCK_ROWS, TERM_ROWS = 20_000, 500_000
 #: As the words' separators, but A-Z, which are folded word by word.
 CASED_NON_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: Tells rows apart, with ``doc_id``: equal ones hold equal texts.
@@ -65,8 +67,8 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, count: int, key: str) -> list[DataFrame]:
-    """``rows`` in parts of about ``BLOCK_ROWS``, whole by ``key``."""
-    parts = max(1, math.ceil(count / BLOCK_ROWS))
+    """``rows`` in parts of about ``TERM_ROWS``, whole by ``key``."""
+    parts = max(1, math.ceil(count / TERM_ROWS))
     return [rows] if parts == 1 else [rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
@@ -77,34 +79,39 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def anchors(windows: DataFrame, counts: DataFrame, k: int = ANCHORS) -> DataFrame:
-    """(term, win, size, rank, offset, of, second, words): the ``k`` rarest distinct terms of each window, rank 0 the rarest, of ``of``; ``second``: the offset of the last of them.
+    """(term, win, size, rank, offset, of, second, sides, words): the ``k`` rarest distinct terms of each window, rank 0 the rarest, of ``of``; ``second``: the offset of the last of them; ``sides``: (offset, term) of the rarest of each half.
 
-    The offset is that of the term's first occurrence. Every anchor of a window must agree, so
+    The offset is that of the term's first occurrence (in ``sides``: in its half). Every anchor of a window must agree, so
     terms that the corpus lacks rule their windows out without any posting.
     """
     contents = windows.dropDuplicates(["win", "words"]).select("win", "size", "words")
-    terms = contents.select("win", "size", "words", F.posexplode("words").alias("offset", "term")).groupBy("win", "size", "words", "term").agg(F.min("offset").alias("offset"))
+    places = contents.select("win", "size", "words", F.posexplode("words").alias("offset", "term")).join(counts, "term")
+    terms = places.groupBy("win", "size", "words", "term", "n").agg(F.min("offset").alias("offset"))
     by = Window.partitionBy("win", "words").orderBy("n", "term")
-    ranked = terms.join(counts, "term").withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < k)
+    ranked = terms.withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < k)
+    half = (2 * F.col("offset") >= F.col("size")).alias("half")
+    sides = places.groupBy("win", "words", half, "term", "n").agg(F.min("offset").alias("offset"))
+    sides = sides.withColumn("rank", F.row_number().over(Window.partitionBy("win", "words", "half").orderBy("n", "term"))).where(F.col("rank") <= SIDE_ANCHORS)
+    sides = sides.groupBy("win", "words").agg(F.sort_array(F.collect_list(F.struct("offset", "term"))).alias("sides"))
     whole = Window.partitionBy("win", "words")
-    return ranked.withColumn("of", F.count("*").over(whole)).withColumn("second", F.max_by("offset", "rank").over(whole))
+    return ranked.withColumn("of", F.count("*").over(whole)).withColumn("second", F.max_by("offset", "rank").over(whole)).join(sides, ["win", "words"])
 
 
-def postings(docs: DataFrame, anchors_: DataFrame, n: int = N) -> DataFrame:
-    """(term, doc_id, digest, pos, before, around): occurrences of anchor terms.
+def postings(docs: DataFrame, terms: DataFrame, n: int = N) -> DataFrame:
+    """(term, doc_id, digest, pos, before, around): occurrences of ``terms`` (term, rarest).
 
-    ``around``: the words from ``before`` places ahead to n-1 behind, unfolded, kept for terms that are the rarest of some window.
+    ``around``: the words from ``before`` places ahead to as many behind, unfolded, as a window and its slop may reach, kept for terms that are the rarest of some window.
     """
-    terms = anchors_.groupBy("term").agg(F.bool_or(F.col("rank") == 0).alias("rarest"))
-    before = F.least(F.col("pos"), F.lit(n - 1))
-    around = F.when(F.col("rarest"), F.slice("words", F.col("pos") - before + 1, before + n))
+    reach = n - 1 + SLOP
+    before = F.least(F.col("pos"), F.lit(reach))
+    around = F.when(F.col("rarest"), F.slice("words", F.col("pos") - before + 1, before + reach + 1))
     hits = tokens(docs).join(F.broadcast(terms), "term")
     return hits.select("term", *KEY, "pos", before.alias("before"), around.alias("around"))
 
 
 def intersect(posts: DataFrame, anchors_: DataFrame) -> DataFrame:
     """(win, words, size, doc_id, digest, at, exact): where all anchors of a window agree on its start ``at``."""
-    moved = posts.join(F.broadcast(anchors_), "term").select("win", "size", "words", "rank", "of", *KEY, (F.col("pos") - F.col("offset")).alias("at"), "before", "around", "offset", "second")
+    moved = posts.join(anchors_, "term").select("win", "size", "words", "rank", "of", *KEY, (F.col("pos") - F.col("offset")).alias("at"), "before", "around", "offset", "second")
     moved = moved.where(F.col("at") >= 0)
     # The rarest term's context is compared first where the other anchor should be, then in full; what differs is not shuffled.
     begin = F.col("before") - F.col("offset") + 1
@@ -118,17 +125,27 @@ def intersect(posts: DataFrame, anchors_: DataFrame) -> DataFrame:
 
 
 def near(posts: DataFrame, anchors_: DataFrame, slop: int = SLOP) -> DataFrame:
-    """(win, doc_id, digest, at, gap): the rarest term's postings whose next anchor stands within ``slop`` places of where the window has it, but not there.
+    """(win, words, doc_id, digest, at): the rarest term's postings around which every side anchor stands within ``slop`` places of where the window has it, the window itself or not.
 
-    One sorted pass over a document's postings of a window: each looks at the other anchor's nearest on either side.
+    Looks at the posting's own context, so nothing is shuffled before it holds. Windows with a single anchor have no neighbours.
     """
-    moved = posts.join(F.broadcast(anchors_), "term").select("win", "rank", *KEY, (F.col("pos") - F.col("offset")).alias("at"))
-    order = Window.partitionBy("win", *KEY).orderBy("at", "rank")
-    other = F.when(F.col("rank") == 1, F.col("at"))
-    back = F.last(other, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.first(other, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    gap = F.least(F.col("at") - back, ahead - F.col("at"))
-    return moved.withColumn("gap", gap).where((F.col("rank") == 0) & F.col("gap").between(1, slop)).drop("rank").distinct()
+    rarest = anchors_.where((F.col("rank") == 0) & (F.size("sides") > 1)).select("term", "win", "words", "sides", "offset")
+    moved = posts.where(F.col("around").isNotNull()).join(rarest, "term")
+
+    def stands(side: Column) -> Column:
+        here = side["offset"] - F.col("offset") + F.col("before") + 1
+        first = F.greatest(here - slop, F.lit(1))
+        some = F.slice("around", first, F.greatest(here + slop - first + 1, F.lit(0)))
+        return F.exists(some, lambda w: fold_word(w) == side["term"])
+
+    return moved.where(F.forall("sides", stands)).select("win", "words", *KEY, (F.col("pos") - F.col("offset")).alias("at")).distinct()
+
+
+def only_near(close: DataFrame, exact: DataFrame, slop: int = SLOP) -> DataFrame:
+    """The proximity matches without an exact match of their window within ``slop`` places."""
+    exact = exact.select(F.col("win").alias("__win"), *(F.col(k).alias(f"__{k}") for k in KEY), F.col("at").alias("__at"))
+    on = [close["win"] == exact["__win"], *(close[k].eqNullSafe(exact[f"__{k}"]) for k in KEY), F.abs(close["at"] - exact["__at"]) <= slop]
+    return close.join(exact, reduce(lambda a, b: a & b, on), "left_anti")
 
 
 def covered(matches: DataFrame) -> DataFrame:
@@ -147,17 +164,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     terms = windows.select(F.explode("words").alias("term")).distinct()
     counts = materialize(term_counts(docs, terms), "term_counts")
     picked = materialize(anchors(windows, counts), "anchors")
-    exact, close = [], []
-    for part in blocks(picked, picked.count(), "win"):
-        posts = materialize(postings(docs, part, n), "postings")
-        exact.append(intersect(posts, part))
-        close.append(near(posts, part))
-    found = materialize(reduce(DataFrame.union, exact), "matches")
+    wanted = materialize(picked.groupBy("term").agg(F.bool_or(F.col("rank") == 0).alias("rarest")), "anchor_terms")
+    posts = materialize(reduce(DataFrame.union, [postings(docs, part, n) for part in blocks(wanted, wanted.count(), "term")]), "postings")
+    picked = F.broadcast(picked) if picked.count() <= BLOCK_ROWS else picked
+    found = materialize(intersect(posts, picked), "matches")
     hits = covered(found)
     items = found.select("win", *KEY).distinct().join(windows.select("win", "item_id"), "win").select(*KEY, "item_id").distinct()
     names = F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",")
     by_doc = items.groupBy(*KEY).agg(F.count("*").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"))
-    nearby = reduce(DataFrame.union, close).groupBy(*KEY).agg(F.count("*").alias("n_near"))
+    nearby = only_near(near(posts, picked), found).groupBy(*KEY).agg(F.count("*").alias("n_near"))
     flagged = _null_safe(_null_safe(hits, by_doc, "inner"), nearby, "full")
     rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.size(raw_words(F.col("text"))).cast("long").alias("n_words"))
     out = _null_safe(rows, flagged, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from flowquery.llm.decontaminate import SIDE_ANCHORS, SLOP
 from flowquery.llm.secret_scan import BASE_RULES, RULES
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -25,10 +26,39 @@ pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i,
 its AS (
   SELECT rid, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256
   FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY rid
+),
+tok AS (SELECT rid, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS term FROM d),
+contents AS (
+  SELECT DISTINCT win, n, w FROM (
+    SELECT least(10, len(w)) AS n, w[i : i + least(10, len(w)) - 1] AS w, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
+    FROM (SELECT w, unnest(range(1, greatest(len(w) - 10 + 1, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+  )
+),
+places AS (SELECT win, n, unnest(range(0, n)) AS off, unnest(w) AS term FROM contents),
+freq AS (SELECT term, count(*) AS c FROM tok WHERE term IN (SELECT term FROM places) GROUP BY term),
+firsts AS (
+  SELECT win, n, off * 2 >= n AS half, term, coalesce(c, 0) AS c, min(off) AS off FROM places LEFT JOIN freq USING (term) GROUP BY ALL
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY win, half ORDER BY c, term) AS side, row_number() OVER (PARTITION BY win ORDER BY c, term, off) AS top FROM firsts
+),
+sides AS (SELECT win, off, term, top FROM ranked WHERE side <= {SIDE_ANCHORS}),
+many AS (SELECT win, count(*) AS k FROM sides GROUP BY win HAVING count(*) > 1),
+began AS (SELECT sides.win, k, rid, p - off AS s FROM sides JOIN many USING (win) JOIN tok USING (term) WHERE top = 1),
+stood AS (
+  SELECT began.win, began.k, began.rid, began.s, count(DISTINCT (sides.off, sides.term)) AS found
+  FROM began JOIN sides ON sides.win = began.win
+  JOIN tok ON tok.rid = began.rid AND tok.term = sides.term AND abs(tok.p - sides.off - began.s) <= {SLOP}
+  GROUP BY ALL
+),
+whole AS (SELECT DISTINCT rid, win, i - 1 AS s FROM dw WHERE win IN (SELECT win FROM iw)),
+nearby AS (
+  SELECT rid, count(*) AS n_near FROM stood
+  WHERE found = k AND NOT EXISTS (SELECT 1 FROM whole WHERE whole.rid = stood.rid AND whole.win = stood.win AND abs(whole.s - stood.s) <= {SLOP}) GROUP BY rid
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid) LEFT JOIN nearby USING (rid)
 """
 
 OP8 = f"""

@@ -425,16 +425,25 @@ def test_benchmarks_in_blocks_give_the_same(spark, sf_dir, monkeypatch):
     d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda: sorted(str(r) for r in decontaminate.contamination(d, b).collect())
     before = rows()
-    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 150)  # a shuffle join
+    monkeypatch.setattr(decontaminate, "TERM_ROWS", 100)
     assert rows() == before
 
 
 def test_proximity(spark):
-    words = SHARED.split()
-    table = spark.createDataFrame([(1, " ".join([*words[:10], "mu"])), (2, " ".join([words[0], "inserted", *words[1:10]])), (3, "nothing here")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(words[:10]))], "item_id long, text string")
+    """A word inserted, left out or replaced, in either half or between; not beyond the slop, and not beside an exact match."""
+    words = SHARED.lower().split()[:10]
+    texts = {
+        1: [*words, "mu"], 2: [words[0], "inserted", *words[1:]], 3: ["nothing", "here"], 4: [*words[:5], "inserted", *words[5:]], 5: [*words[:8], "x", "y", "z", *words[8:]],
+        6: [*words[:5], *"vwxyz", *words[5:]], 7: words[5:] + words[:5], 8: words[:9] + ["other"], 9: words[3:], 10: [*words[:4], "x", *words[5:]], 11: words[::-1],
+    }
+    filler = [(100 + i, " ".join(w for k, w in enumerate(words) if k not in (1, 3, 6, 7))) for i in range(3)]  # 1, 3, 6, 7 are the rarest of their halves
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()] + filler + [(4, " ".join(texts[4])), (12, "filler " * 90_000 + " ".join(texts[4]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     found = {r.doc_id: (r.contaminated, r.n_near) for r in decontaminate.contamination(table, bench).collect()}
-    assert found[1][0] and not found[2][0] and not found[3][0] and found[3][1] == 0
+    assert {d for d, (hit, _) in found.items() if hit} == {1}
+    assert {d for d, (_, n) in found.items() if n} == {2, 4, 5, 8, 10, 12} and found[4][1] == 1
+    assert found[9] == (False, 0) and found[1] == (True, 0)
 
 
 # Substring dedup

@@ -7,18 +7,19 @@ the non-overlapping ``BLOCK`` = 7-word blocks into which either document is cut
    rolling 7-word window as a probe, to the bucket of its hash; a bucket answers which probes meet a
    block of a document with a smaller id, and which blocks are met;
 2. ``extend``: windows around an answered place are extended word by word, as far as all 13-word windows on
-   the way are repeats of a document with a smaller id, decided by 64-bit hashes of whole windows in
+   the way are repeats of a document with a smaller id, decided by two independent 64-bit hashes of whole windows in
    a second exchange. The runs of repeated windows are the maximal repeats; their words go.
 
 Whole copies are settled before: a text that a smaller id has, too, loses all its words (if it has a window
-at all) and is no reference for others, as the smaller id is. So copies, however many, send nothing.
+at all) and is no reference for others, as the smaller id is. So copies, however many, send nothing; what is known of
+a text goes to each group that has it once.
 
 Documents are dealt to groups by a hash of ``doc_id`` (about ``GROUP_CHARS`` characters each), and that one
 shuffle of the texts serves all steps. What two documents of one group share is settled in it, and of a
 group only the smallest (or, as a probe, also the greatest) id with a block or window sends it: a passage that a third of all
 documents share reaches its bucket once a group. Exchanges carry packed arrays, a few bytes a probe: parts
 of a hash where a false alarm costs only an extension try, whole 64-bit hashes where windows are
-decided.
+decided, of both of two lanes.
 
 Defined results: a null text has no words; texts under 13 words keep all; a row with a null
 ``doc_id`` is after all others and keeps all its words, as no id is smaller than a null; rows with one id
@@ -30,12 +31,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from flowquery.llm.common import materialize
 
@@ -43,8 +46,6 @@ WINDOW, BLOCK = 13, 7
 #: Characters in a group of documents, and words whose windows a bucket gets, on average.
 GROUP_CHARS = 4_000_000
 BUCKET_WORDS = 2_000_000
-#: Bytes hashed at once.
-SLICE = 1 << 20
 U = np.uint64
 
 
@@ -55,57 +56,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-#: A number for each byte, and odd factors for positions in a word and in a window.
-BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-IN_WORD, IN_WINDOW = U(0x5851F42D4C957F2D), U(0xD6E8FEB86659FD93)
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-@lru_cache(maxsize=4)
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word (between blanks) of ``text``."""
-    if len(text) > SLICE:  # cut at blanks, so that long texts take no more memory at once
-        parts, at = [], 0
-        while at < len(text):
-            upto = min(len(text), at + SLICE)
-            while upto < len(text) and not BLANK[text[upto]]:
-                upto += 1
-            parts.append(word_hashes_of(text[at:upto]))
-            at = upto
-        return np.concatenate(parts)
-    return word_hashes_of(text)
-
-
-def word_hashes_of(text: bytes) -> np.ndarray:
-    codes = np.frombuffer(text, np.uint8)
-    inside = np.concatenate([[False], ~BLANK[codes], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    # A word's sum of number(byte) * factor^place is a difference of running sums, brought back to place 0.
-    n = len(codes)
-    room = max(2 * SLICE, n)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[codes] * powers(int(IN_WORD), room)[:n], dtype=np.uint64)])
-    inverse = powers(pow(int(IN_WORD), -1, 1 << 64), room)
-    return _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+#: Odd factors for positions in a window, one for each lane of hashes.
+IN_WINDOW = (U(0xD6E8FEB86659FD93), U(0x5851F42D4C957F2D))
+
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two lanes of 64-bit hashes of all words (between blanks) of ``texts``, each distinct word hashed once, and the number of words of each text."""
+    packed = pa.array(texts, pa.large_binary())
+    cut = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(packed), *packed.buffers()[1:]))
+    words, offsets = cut.flatten(), cut.offsets.to_numpy()
+    full = pc.not_equal(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    coded = words.filter(full).cast(pa.large_binary()).dictionary_encode()
+    distinct = np.frombuffer(b"".join(map(xxh3_128_digest, coded.dictionary.to_numpy(zero_copy_only=False).tolist())), "<u8").reshape(-1, 2)
+    return distinct[coded.indices.to_numpy()].T.copy(), np.diff(before[offsets])
 
-def windows(words: np.ndarray, size: int) -> np.ndarray:
+
+def windows(words: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of each run of ``size`` words."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out = out * IN_WINDOW + words[k : k + n]
+        out *= IN_WINDOW[lane]
+        out += words[k : k + n]
     return _mix(out)
 
 
@@ -119,22 +94,29 @@ class Group:
         rows = rows.assign(text=[x if isinstance(x, bytes) else b"" for x in rows["text"]])
         self.rows = rows.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
         self.ids = self.rows["doc_id"].to_numpy(np.int64)
-        self.words = [word_hashes(t) for t in self.rows["text"]]
+        self.words, self.counts = word_hashes(self.rows["text"].tolist())
+
+    def numbers(self, size: int) -> np.ndarray:
+        """How many windows of ``size`` each document has."""
+        return np.maximum(self.counts - size + 1, 0)
 
-    def rolling(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rolling(self, size: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """hash, row and first word of each window of ``size``."""
-        parts = [windows(w, size) for w in self.words]
-        counts = [len(p) for p in parts]
-        if not sum(counts):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(parts)), counts)
-        first = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.concatenate(parts), row, first
-
-    def ends(self, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per window: the id of its document, and the least and the greatest id of the group's documents with it."""
+        n = self.numbers(size)
+        row = np.repeat(np.arange(len(n)), n)
+        first = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        return windows(self.words[lane], size, lane)[(np.cumsum(self.counts) - self.counts)[row] + first], row, first
+
+    def ends(self, hashes: np.ndarray, row: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per window: the id of its document, and the least and the greatest id of the group's documents with it. ``second``: the other lane's hashes, which must be equal, too."""
         ids = self.ids[row]
         _, of = np.unique(hashes, return_inverse=True)
+        if second is not None and len(of):
+            one = np.zeros(of.max() + 1, np.uint64)
+            one[of] = second
+            if (one[of] != second).any():  # different windows with one hash
+                _, of = np.unique(np.stack([hashes, second]), axis=1, return_inverse=True)
+                of = of.ravel()
         low = np.full(of.max() + 1 if len(of) else 0, np.iinfo(np.int64).max)
         high = np.full(len(low), np.iinfo(np.int64).min)
         np.minimum.at(low, of, ids)
@@ -187,19 +169,23 @@ ANSWER = "grp int, bucket int, at binary"
 
 
 def copies(dealt: DataFrame) -> DataFrame:
-    """As ANSWER with bucket -1 and the key of a row (id and MD5): the rows whose whole text a smaller id has, too."""
+    """As ANSWER with bucket -1, the MD5 of a text that several ids have and their least id: a row for each group that has a greater one.
+
+    Ids are reduced to the least and greatest of a text in a group before anything meets, and both sides of the join are tables, so Spark can split a text that all groups have.
+    """
     marked = dealt.where(F.col("text").isNotNull()).select("doc_id", "grp", F.unhex(F.md5("text")).alias("digest"))
-    least = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
-    found = marked.join(least, "digest").where("doc_id > least")
-    return found.select("grp", F.lit(-1).alias("bucket"), F.concat(F.unhex(F.lpad(F.hex("doc_id"), 16, "0")), "digest").alias("at"))
+    pairs = materialize(marked.groupBy("digest", "grp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "copies_by_group")
+    first = materialize(pairs.groupBy("digest").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last").select("digest", "first"), "first_copies")
+    found = pairs.join(first, "digest").where("most > first")
+    return found.select("grp", F.lit(-1).alias("bucket"), F.concat("digest", F.unhex(F.lpad(F.hex("first"), 16, "0"))).alias("at"))
 
 
 def _split(rows: pd.DataFrame, answers: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, list[bytes]]:
     """The rows that are no copies, the copies, and the places answered."""
-    known = {a for b, a in zip(answers["bucket"], answers["at"], strict=True) if b < 0}
-    ids = {k[:8] for k in known}
-    keys = [int(d).to_bytes(8, signed=True) for d in rows["doc_id"]]
-    copy = np.array([k in ids and k + hashlib.md5(t or b"").digest() in known for k, t in zip(keys, rows["text"], strict=True)], bool)
+    first = {a[:16]: int.from_bytes(a[16:], signed=True) for b, a in zip(answers["bucket"], answers["at"], strict=True) if b < 0}
+    copy = np.zeros(len(rows), bool)
+    if first:
+        copy = np.array([isinstance(t, bytes) and first.get(hashlib.md5(t).digest(), d) < d for d, t in zip(rows["doc_id"].tolist(), rows["text"], strict=True)], bool)
     return rows[~copy], rows[copy], [a for b, a in zip(answers["bucket"], answers["at"], strict=True) if b >= 0]
 
 
@@ -266,21 +252,22 @@ def _extreme(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, better: np
     return out
 
 
-ASKED = "bucket int, grp int, hashes binary, ids binary, at binary"
+ASKED = "bucket int, grp int, hashes binary, seconds binary, ids binary, at binary"
 
 
 def _extend(rows: pd.DataFrame, met: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Step 2 in a group: the windows around met places, of each hash only the smallest document's, to be decided by whole hashes."""
+    """Step 2 in a group: the windows around met places, of equal ones only the smallest document's, to be decided by whole hashes of both lanes."""
     out = []
     rows, _, places_met = _split(rows, met)
     if len(rows):
         group = Group(rows)
         hashes, row, first = group.rolling(WINDOW)
-        ids, low, _ = group.ends(hashes, row)
+        second = group.rolling(WINDOW, 1)[0]
+        ids, low, _ = group.ends(hashes, row, second)
         for bucket, at in by_bucket(np.where((ids == low) & _near(group, places_met, row, first), bucket_of(hashes, buckets), -1)):
             if bucket >= 0:
-                out.append((bucket, rows["grp"].iloc[0], hashes[at].tobytes(), _runs(ids[at]), places(at)))
-    return pd.DataFrame(out, columns=["bucket", "grp", "hashes", "ids", "at"])
+                out.append((bucket, rows["grp"].iloc[0], hashes[at].tobytes(), second[at].tobytes(), _runs(ids[at]), places(at)))
+    return pd.DataFrame(out, columns=["bucket", "grp", "hashes", "seconds", "ids", "at"])
 
 
 def _near(group: Group, met: list[bytes], row: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -291,16 +278,20 @@ def _near(group: Group, met: list[bytes], row: np.ndarray, first: np.ndarray) ->
     for at in met:
         hit[numbers(at)] = True
     before = np.concatenate([[0], np.cumsum(hit)])
-    counts = np.array([max(0, len(w) - BLOCK + 1) for w in group.words])
+    counts = group.numbers(BLOCK)
     base = (np.cumsum(counts) - counts)[row] + first if len(row) else np.zeros(0, np.int64)
     return before[base + WINDOW - BLOCK + 1] > before[base]
 
 
 def _decide(asked: pd.DataFrame) -> pd.DataFrame:
     """Step 2 in a bucket: the windows that a smaller id has."""
-    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in asked["hashes"]])
+    hashes, second = (np.concatenate([np.frombuffer(x, np.uint64) for x in asked[c]]) for c in ("hashes", "seconds"))
     ids = np.concatenate([_unrun(x) for x in asked["ids"]])
-    repeated = _extreme(hashes, ids, hashes, np.minimum, np.iinfo(np.int64).max) < ids
+    order = np.lexsort((ids, second, hashes))
+    new = np.concatenate([[True], (np.diff(hashes[order]) != 0) | (np.diff(second[order]) != 0)])
+    least = ids[order][np.flatnonzero(new)[np.cumsum(new) - 1]]  # the first of each run of equal windows
+    repeated = np.zeros(len(ids), bool)
+    repeated[order] = least < ids[order]
     out, p = [], 0
     for r in asked.itertuples():
         n = len(r.hashes) // 8
@@ -324,11 +315,11 @@ def _remove(rows: pd.DataFrame, decided: pd.DataFrame) -> pd.DataFrame:
     if len(rows):
         group = Group(rows)
         hashes, row, first = group.rolling(WINDOW)
-        ids, low, _ = group.ends(hashes, row)
+        ids, low, _ = group.ends(hashes, row, group.rolling(WINDOW, 1)[0])
         gone = ids != low  # a smaller id of the same group has it
         for at in places_gone:
             gone[numbers(at)] = True
-        counts = np.bincount(row, minlength=len(group.words)) if len(row) else np.zeros(len(group.words), int)
+        counts = group.numbers(WINDOW)
         bases = np.cumsum(counts) - counts
         for k, (doc_id, text) in enumerate(zip(group.rows["doc_id"], group.rows["text"], strict=True)):
             words = text.split()

@@ -6,9 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import xxhash
 from flowquery.llm import decontaminate, hash_forest, near_duplicates, packing, quality, secret_scan, substring_dedup, token_files, toxicity
 from flowquery.llm.common import new_table_path
 from flowquery.llm.queries import ORACLE_SQL, QUERIES
@@ -247,8 +249,31 @@ def test_sequences_hold_every_token(spark, docs, monkeypatch):
 # Near-duplicates
 
 
+def plain_simhash(text):
+    """Bit by bit, by the words of the contract."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    runs = [words[k : k + 3] for k in range(len(words) - 2)] or [words] * bool(words)
+    hashes = [xxhash.xxh64(" ".join(r).encode(), seed=42).intdigest() for r in runs]
+    value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return value - (1 << 64) if value >> 63 else value
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "É", "ä", "word", "x-y", "\x1c", "\u00a0", "日本"]), max_size=12), st.sampled_from([" ", "\n", "\t ", "\x0b"]))
+def test_simhash_bit_by_bit(words, blank):
+    text = blank.join(words)
+    assert near_duplicates.simhash(text.encode()) == plain_simhash(text)
+
+
+def test_simhash_of_even_votes_and_long_texts():
+    even = next(t for k in range(99) for t in [f"a b c d{k}"] if any(sum(xxhash.xxh64(x.encode(), seed=42).intdigest() >> b & 1 for x in ("a b c", f"b c d{k}")) == 1 for b in range(64)))
+    assert near_duplicates.simhash(even.encode()) == plain_simhash(even)  # half the votes set no bit
+    long = " ".join(f"W{i % 997}" for i in range(70_000))
+    assert near_duplicates.simhash(long.encode()) == plain_simhash(long)
+
+
 def plain_components(rows):
-    marked = [(d, near_duplicates.simhash((t or "").encode())) for d, t in rows]
+    marked = [(d, plain_simhash(t)) for d, t in rows]
     fps = sorted({f for _, f in marked})
     parent = {f: f for f in fps}
 
@@ -469,11 +494,25 @@ def test_substring_dedup(spark, monkeypatch):
     assert substring_dedup.remove_repeats(table.limit(0)).count() == 0
 
 
-def test_word_hashes_of_long_texts(monkeypatch):
-    text = " ".join(f"w{i}" for i in range(5000)).encode()
-    whole = substring_dedup.word_hashes(text)
-    monkeypatch.setattr(substring_dedup, "SLICE", 777)
-    assert (substring_dedup.word_hashes(text) == whole).all() and len(set(whole.tolist())) == 5000
+def test_word_hashes():
+    words, counts = substring_dedup.word_hashes([b" a  b\x0b", b"", b"\n", b"b \xff a", " ".join(f"w{i}é" for i in range(5000)).encode()])
+    assert counts.tolist() == [2, 0, 0, 3, 5000] and words.shape == (2, 5005)
+    assert (words[:, 0] == words[:, 4]).all() and (words[:, 1] == words[:, 2]).all() and len(set(words[0].tolist())) == len(set(words[1].tolist())) == 5003
+
+
+def test_windows_with_one_hash_are_told_apart():
+    """Different windows that agree in the first lane are no repeats of each other."""
+    group = substring_dedup.Group(pd.DataFrame({"doc_id": [3, 1, 2], "text": [b"c", b"a", b"a"]}))
+    hashes, row = np.zeros(3, np.uint64), np.arange(3)
+    assert group.ends(hashes, row)[1].tolist() == [1, 1, 1] and group.ends(hashes, row, np.array([7, 7, 9], np.uint64))[1].tolist() == [1, 1, 3]
+    sent = [(0, g, np.zeros(2, np.uint64).tobytes(), np.array(second, np.uint64).tobytes(), substring_dedup._runs(np.array(ids)), substring_dedup.places(np.array([0, 1]))) for g, second, ids in ((1, [5, 6], [1, 1]), (2, [6, 7], [2, 2]))]
+    found = substring_dedup._decide(pd.DataFrame(sent, columns=["bucket", "grp", "hashes", "seconds", "ids", "at"]))
+    assert [(r.grp, substring_dedup.numbers(r.at).tolist()) for r in found.itertuples()] == [(2, [0])]
+
+
+def test_copies_reach_each_group_once(spark):
+    table = spark.createDataFrame([(i, "same text " * 20, i % 3) for i in range(50)] + [(99, "other", 1)], "doc_id long, text string, grp int").selectExpr("doc_id", "grp", "cast(text AS binary) AS text")
+    assert sorted((r.grp, int.from_bytes(r["at"][16:])) for r in substring_dedup.copies(table).collect()) == [(0, 0), (1, 0), (2, 0)]
 
 
 @settings(max_examples=80, deadline=None)

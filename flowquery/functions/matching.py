@@ -1,47 +1,40 @@
-"""Many patterns at once: an Aho-Corasick automaton over texts."""
+"""Many patterns at once, by built-in functions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterable
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MATCHES = "array<struct<start:int,stop:int,pattern:string>>"
 
 
-def automaton(patterns: Iterable[str]):
-    import ahocorasick
+def places(text: Column, pattern: str) -> Column:
+    """Where ``pattern`` starts in ``text``, also where matches overlap: the text is split before each."""
+    pieces = F.split(text, f"(?={re.escape(pattern)})", -1)
+    add = lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + F.char_length(x)))
+    starts = F.slice(F.reduce(pieces, F.array(F.lit(0)), add), 1, F.size(pieces))
+    return F.when(text.startswith(pattern), starts).otherwise(F.slice(starts, 2, F.size(starts)))
 
-    made = ahocorasick.Automaton()
-    for p in patterns:
-        if p:
-            made.add_word(p, p)
-    made.make_automaton()
-    return made
 
+def _spans(text: Column, pattern: str, longer: list[str]) -> Column:
+    """The matches of ``pattern`` that are not the end of a match of one of ``longer``."""
+    n = len(pattern)
+    spans = F.transform(places(text, pattern), lambda at: F.struct(at.alias("start"), (at + n - 1).alias("stop"), F.lit(pattern).alias("pattern")))
+    within = lambda s: reduce(lambda a, b: a | b, [(s["stop"] + 1 >= len(q)) & (F.substring(text, s["stop"] - len(q) + 2, F.lit(len(q))) == q) for q in longer])
+    return F.filter(spans, lambda s: ~within(s)) if longer else spans
 
-def longest(made, text: str | None) -> Iterator[tuple[int, int, str]]:
-    """Start, stop (inclusive) and pattern of the longest match that ends at each place."""
-    last: tuple[int, str] | None = None
-    for stop, p in made.iter(text) if text and len(made) else ():
-        if last and last[0] != stop:
-            yield last[0] - len(last[1]) + 1, *last
-            last = None
-        if last is None or len(p) > len(last[1]):
-            last = stop, p
-    if last:
-        yield last[0] - len(last[1]) + 1, *last
 
+def find_all(text: Column, patterns: Iterable[str]) -> Column:
+    """(start, stop, pattern) of all matches, by where they end; of those that end at one place the longest alone.
 
-def find_all(spark: SparkSession, text: Column, patterns: Iterable[str]) -> Column:
-    """All matches in each text, the longest for each place where one ends. The patterns are sent to each executor once; each text starts anew."""
-    shared = spark.sparkContext.broadcast(sorted(set(patterns)))
-
-    @F.pandas_udf(MATCHES)
-    def matches(texts: pd.Series) -> pd.Series:
-        made = automaton(shared.value)
-        return pd.Series([[{"start": b, "stop": e, "pattern": p} for b, e, p in longest(made, t)] for t in texts])
-
-    return matches(text)
+    A match is not the longest where a pattern that ends on it does, too; which patterns those are is known beforehand.
+    """
+    patterns = sorted({p for p in patterns if p})
+    found = [_spans(text, p, [q for q in patterns if q != p and q.endswith(p)]) for p in patterns]
+    all_spans = F.flatten(F.array(*found)) if found else F.array()
+    by_stop = lambda a, b: a["stop"] - b["stop"]
+    return F.when(F.char_length(text) > 0, F.array_sort(all_spans, by_stop)).otherwise(F.array()).cast(MATCHES)

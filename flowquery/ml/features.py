@@ -36,8 +36,9 @@ def assemble(df: DataFrame, parts: Sequence[str], width: int) -> DataFrame:
 
 
 def folds(df: DataFrame, k: int, *order: Column) -> DataFrame:
-    """``df`` with ``fold`` from 1 to k, evenly by a hash order; each row's fold follows from its own hash alone."""
-    return df.withColumn("fold", (F.pmod(F.xxhash64(*order), F.lit(k)) + 1).cast("int"))
+    """``df`` with ``fold`` from 1 to k, evenly by a hash; each row's fold follows from its own hash (of the values as text) alone."""
+    digest = F.md5(F.concat_ws(",", *(x.cast("string") for x in order)).cast("binary"))
+    return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % k + 1).cast("int"))
 
 
 def train(df: DataFrame, c: float = 1.0, standardize: bool = False) -> LogisticRegressionModel:

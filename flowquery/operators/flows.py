@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowquery.operators import windows
 from flowquery.operators.keys import FIVE, canonical
 
 IDLE, ACTIVE = 10_000_000, 30_000_000
@@ -12,31 +13,28 @@ PACKETS = 50
 
 
 def numbered(packets: DataFrame, idle: int = IDLE, active: int = ACTIVE, both: bool = True) -> DataFrame:
-    """``packets`` with ``_key`` and ``session``: the flow record that each belongs to.
+    """``packets`` with ``_key`` and ``session``: the flow record that each belongs to, by its start.
 
     A packet starts a new record when more than ``idle`` microseconds after the last or more than ``active`` after the
-    record's start. Idle gaps come from a window; only islands longer than ``active`` are folded.
+    record's start. Idle gaps come from a window; only islands longer than ``active`` are walked.
     """
     rows = packets.withColumn("_key", canonical() if both else F.struct(*FIVE))
     w = Window.partitionBy("_key").orderBy("ts_us", "seq")
     opens = F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w) > idle).cast("int"), F.lit(1))
     rows = rows.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(w)).drop("_opens")
-    spans = rows.groupBy("_key", "_island").agg(F.min("ts_us").alias("_from"), F.max("ts_us").alias("_to"))
-    long = spans.where(F.col("_to") - F.col("_from") > active).select("_key", "_island")
-    times = rows.join(long, ["_key", "_island"]).groupBy("_key", "_island").agg(F.array_sort(F.collect_set("ts_us")).alias("_t"))
-    starts = F.reduce(
-        "_t", F.array().cast("array<bigint>"),
-        lambda found, t: F.when((F.size(found) == 0) | (t - F.element_at(found, F.when(F.size(found) == 0, 1).otherwise(F.size(found))) > active), F.concat(found, F.array(t))).otherwise(found),
-    )
-    cut = times.select("_key", "_island", starts.alias("_starts"))
-    marked = rows.join(spans.select("_key", "_island", "_from"), ["_key", "_island"]).join(cut, ["_key", "_island"], "left")
-    begin = F.when(F.col("_starts").isNotNull(), F.array_max(F.filter("_starts", lambda s: s <= F.col("ts_us")))).otherwise(F.col("_from"))
-    return marked.withColumn("session", begin).drop("_starts", "_from", "_island")
+    island = ["_key", "_island"]
+    spans = rows.groupBy(*island).agg(F.min("ts_us").alias("_from"), F.max("ts_us").alias("_to"))
+    long = spans.where(F.col("_to") - F.col("_from") > active).select(*island)
+    cuts = windows.walked(rows.select(*island, "ts_us").join(long, island), island, "ts_us", active).select(*island, F.col("start").alias("ts_us"), F.col("start").alias("_start"))
+    marked = rows.join(spans.select(*island, "_from"), island).join(cuts, [*island, "ts_us"], "left")
+    begin = F.last("_start", ignorenulls=True).over(Window.partitionBy(*island).orderBy("ts_us", "seq"))
+    return marked.withColumn("session", F.coalesce(begin, F.col("_from"))).drop("_start", "_from", "_island")
 
 
 def retransmissions(packets: DataFrame, back: int = 10) -> DataFrame:
-    """TCP packets with ``retransmitted``: data whose sequence number is among the ``back`` packets before in its direction."""
-    w = Window.partitionBy(*FIVE).orderBy("ts_us", "seq").rowsBetween(-back, -1)
+    """TCP packets with ``retransmitted``: data whose sequence number is among the ``back`` packets before in its direction (and record, if ``packets`` are ``numbered``)."""
+    record = [*FIVE, *(["session"] if "session" in packets.columns else [])]
+    w = Window.partitionBy(*record).orderBy("ts_us", "seq").rowsBetween(-back, -1)
     again = F.array_contains(F.collect_list("tcp_seq").over(w), F.col("tcp_seq")) & (F.octet_length("payload") > 0)
     return packets.withColumn("retransmitted", F.coalesce(again, F.lit(False)))
 
@@ -46,7 +44,7 @@ def build(packets: DataFrame, both: bool = True, count: int = PACKETS, zeros: bo
 
     The side that sent the SYN, else the first packet, is the source. ``zeros``: packets without data are listed, too.
     """
-    rows = numbered(retransmissions(packets), idle, active, both).withColumn("size", F.octet_length("payload").cast("long"))
+    rows = retransmissions(numbered(packets, idle, active, both)).withColumn("size", F.octet_length("payload").cast("long"))
     order = F.struct("ts_us", "seq")
     src = F.struct(F.col("sa").alias("a"), F.col("sp").alias("p"))
     syn = F.when(F.col("flags") == 2, order)
@@ -61,7 +59,10 @@ def build(packets: DataFrame, both: bool = True, count: int = PACKETS, zeros: bo
 
     item = F.struct("ts_us", "seq", F.col("size").alias("b"), F.when(out, ">").otherwise("<").alias("dir"))
     shown = fresh if zeros else fresh & (F.col("size") > 0)
-    listed = F.slice(F.array_sort(F.collect_list(F.when(shown, item))), 1, count)
+    # Those that are listed are told before they are collected, so no list holds a whole flow.
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(~F.col("_shown"), "ts_us", "seq"))
+    rows = rows.withColumn("_shown", shown).withColumn("_place", place)
+    listed = F.array_sort(F.collect_list(F.when(F.col("_shown") & (F.col("_place") <= count), item)))
     first = F.when(F.col("size") > 0, order)
     grouped = rows.groupBy(*keys).agg(
         F.min_by(F.when(out, F.col("sa")).otherwise(F.col("da")), order).alias("sa"), F.min_by(F.when(out, F.col("da")).otherwise(F.col("sa")), order).alias("da"),
@@ -88,12 +89,19 @@ def build(packets: DataFrame, both: bool = True, count: int = PACKETS, zeros: bo
 
 
 def streams(packets: DataFrame, most: int = 16_384) -> DataFrame:
-    """(five-tuple, data): the first ``most`` bytes that each direction sent, in order, for the protocol decoders.
+    """(five-tuple, session, data): the first ``most`` bytes that each direction of a record sent, in order, for the protocol decoders.
 
-    Packets are put in order of sequence numbers (of arrival without them) and a repeated one counts once.
+    Packets are put in order of sequence numbers from the first one on, over a wrap, too (of arrival without them). Of a
+    repeated one the longest counts, and the earliest of these.
     """
-    rows = packets.where(F.octet_length("payload") > 0).withColumn("_at", F.coalesce(F.col("tcp_seq"), F.col("ts_us"))).dropDuplicates([*FIVE, "_at"])
-    w = Window.partitionBy(*FIVE).orderBy("_at", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    record = [*FIVE, "session"]
+    rows = numbered(packets).where(F.octet_length("payload") > 0)
+    first = F.first("tcp_seq", ignorenulls=True).over(Window.partitionBy(*record).orderBy("ts_us", "seq"))
+    apart = F.pmod(F.col("tcp_seq") - first + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+    rows = rows.withColumn("_at", F.coalesce(apart, F.col("ts_us")))
+    again = F.row_number().over(Window.partitionBy(*record, "_at").orderBy(F.desc(F.octet_length("payload")), "ts_us", "seq"))
+    rows = rows.withColumn("_again", again).where("_again = 1")
+    w = Window.partitionBy(*record).orderBy("_at", "seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum(F.octet_length("payload")).over(w), F.lit(0))).where(F.col("_before") < most)
     parts = F.array_sort(F.collect_list(F.struct("_at", "seq", F.hex("payload").alias("h"))))
-    return rows.groupBy(*FIVE).agg(F.substring(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")), 1, most).alias("data"))
+    return rows.groupBy(*record).agg(F.substring(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")), 1, most).alias("data"))

@@ -10,20 +10,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquery.operators.keys import FIVE
+from flowquery.storage import written
 
 
 def twins(flows: DataFrame, near: bool = False, overlap: bool = True) -> DataFrame:
     """(seq, twin) with seq < twin: pairs of flows of opposite directions, that overlap in time.
 
-    ``near``: one address may differ (it is translated on the way); ports and protocol must be swapped and equal.
+    ``near``: one address may differ (it is translated on the way); ports and protocol must be swapped and equal. Either
+    address that agrees is part of an equality join of its own, so flows meet only those of a host that they share.
     """
     a, b = flows.alias("a"), flows.alias("b")
-    on = (F.col("a.pr") == F.col("b.pr")) & F.col("a.sp").eqNullSafe(F.col("b.dp")) & F.col("a.dp").eqNullSafe(F.col("b.sp"))
-    there, back = F.col("a.sa") == F.col("b.da"), F.col("a.da") == F.col("b.sa")
-    on = on & ((there | back) if near else (there & back)) & (F.col("a.seq") < F.col("b.seq"))
+    on = (F.col("a.pr") == F.col("b.pr")) & F.col("a.sp").eqNullSafe(F.col("b.dp")) & F.col("a.dp").eqNullSafe(F.col("b.sp")) & (F.col("a.seq") < F.col("b.seq"))
     if overlap:
         on = on & (F.col("a.time_start") <= F.col("b.time_end")) & (F.col("b.time_start") <= F.col("a.time_end"))
-    return a.join(b, on).select(F.col("a.seq").alias("seq"), F.col("b.seq").alias("twin"))
+    there, back = F.col("a.sa") == F.col("b.da"), F.col("a.da") == F.col("b.sa")
+    pair = (F.col("a.seq").alias("seq"), F.col("b.seq").alias("twin"))
+    if not near:
+        return a.join(b, on & there & back).select(*pair)
+    return a.join(b, on & there).select(*pair).union(a.join(b, on & back & ~F.col("a.sa").eqNullSafe(F.col("b.da"))).select(*pair))
+
+
+def one_twin(pairs: DataFrame) -> DataFrame:
+    """The (seq, twin) of ``pairs`` that stand when flows come in order and each looks for its latest partner: a flow has one twin.
+
+    A flow takes its latest earlier partner if that one has no twin yet: if no flow in between took it, and it took none
+    itself. Flows that are first to ask form chains, and every other link of a chain stands; links are counted by doubling.
+    """
+    asked = pairs.groupBy("twin").agg(F.max("seq").alias("seq"))
+    links = asked.groupBy("seq").agg(F.min("twin").alias("twin"))
+    steps = written(links.select("twin", "seq", F.col("seq").alias("next"), F.lit(1).alias("steps")), "twin_links")
+    while True:
+        ahead = steps.select(F.col("twin").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"))
+        moved = steps.join(ahead, "next", "left")
+        steps = written(moved.select("twin", "seq", F.col("_next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")), "twin_links")
+        if steps.where("next IS NOT NULL").isEmpty():
+            return steps.where("steps % 2 = 1").select("seq", "twin")
 
 
 def with_process(flows: DataFrame, processes: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def sessions(df: DataFrame, key: str, micros: str, idle: int, cap: int | None =
     """(key, start, end, n): a row starts a session when more than ``idle`` after the one before or, with ``cap``, after its start.
 
     Idle gaps are found by a window and sessions no longer than the cap are done with; only longer ones, whose
-    cuts hang on one another, are folded in order, each island on its own.
+    cuts hang on one another, are walked in order.
     """
     w = Window.partitionBy(key).orderBy(micros)
     opens = F.coalesce((F.col(micros) - F.lag(micros).over(w) > idle).cast("int"), F.lit(1))
@@ -82,22 +83,44 @@ def sessions(df: DataFrame, key: str, micros: str, idle: int, cap: int | None =
         return runs.drop("_island")
     short = runs.where(F.col("end") - F.col("start") <= cap).drop("_island")
     long = runs.where(F.col("end") - F.col("start") > cap).select(key, "_island")
-    times = marked.join(long, [key, "_island"]).groupBy(key, "_island").agg(F.array_sort(F.collect_list(micros)).alias("_times"))
-
-    def step(done: Column, t: Column) -> Column:
-        """done: finished sessions and the open one."""
-        now = done["now"]
-        full = t - now["start"] > cap
-        fresh = F.struct(t.alias("start"), t.alias("end"), F.lit(1).cast("long").alias("n"))
-        longer = F.struct(now["start"].alias("start"), t.alias("end"), (now["n"] + 1).alias("n"))
-        return F.struct(F.when(full, F.concat(done["out"], F.array(now))).otherwise(done["out"]).alias("out"), F.when(full, fresh).otherwise(longer).alias("now"))
-
-    first = F.element_at("_times", 1)
-    start = F.struct(F.lit(None).cast("array<struct<start:bigint,end:bigint,n:bigint>>").alias("out"), F.struct(first.alias("start"), first.alias("end"), F.lit(1).cast("long").alias("n")).alias("now"))
-    start = start.withField("out", F.array().cast("array<struct<start:bigint,end:bigint,n:bigint>>"))
-    folded = F.reduce(F.slice("_times", 2, F.size("_times")), start, step, lambda d: F.concat(d["out"], F.array(d["now"])))
-    cut = times.select(key, F.explode(F.when(F.size("_times") > 0, folded)).alias("s")).select(key, "s.start", "s.end", "s.n")
-    return short.unionByName(cut)
+    return short.unionByName(walked(marked.join(long, [key, "_island"]), [key, "_island"], micros, cap).drop("_island"))
+
+
+def walked(rows: DataFrame, groups: Sequence[str], micros: str, cap: int) -> DataFrame:
+    """(groups, start, end, n): each group cut where a row comes more than ``cap`` after the start of its session.
+
+    Sorted rows stream through their task, which holds one batch and the open session, however long a group is.
+    """
+    schema = rows.select(*groups, F.col(micros).cast("long").alias("start"), F.col(micros).cast("long").alias("end"), F.lit(1).cast("long").alias("n")).schema
+    names = schema.names
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list | None = None
+        out: list[list] = []
+        kinds: list = []
+        for batch in batches:
+            kinds = batch.schema.types[:-1] + [pa.int64()] * 3
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True))
+            for group, t in zip(keys, batch.columns[-1].to_pylist(), strict=True):
+                if now is not None and now[0] == group and t - now[1] <= cap:
+                    now[2], now[3] = t, now[3] + 1
+                else:
+                    if now is not None:
+                        out.append(now)
+                    now = [group, t, t, 1]
+            if out:
+                yield _sessions(out, kinds, names)
+                out = []
+        if now is not None:
+            yield _sessions([now], kinds, names)
+
+    ordered = rows.select(*groups, F.col(micros).cast("long").alias(micros)).repartition(*groups).sortWithinPartitions(*groups, micros)
+    return ordered.mapInArrow(walk, schema)
+
+
+def _sessions(found: list[list], kinds: list, names: list[str]) -> pa.RecordBatch:
+    columns = [*zip(*(x[0] for x in found), strict=True), *zip(*(x[1:] for x in found), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def run_length_decoded(values: Column) -> Column:

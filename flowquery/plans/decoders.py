@@ -41,11 +41,17 @@ def ipfix_round_trip(spark, sf_dir):
     return exports.flow_fields(read).select("sa", "da", "sp", "dp", "pr", "start_ms", "end_ms")
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(url, 'feed|page|example')) AS BIGINT) AS n FROM pages")
+PATTERNS = ("feed", "page", "example", "ample", "e", "ee")
+
+
+@query(
+    f"WITH p AS (SELECT unnest({list(PATTERNS)}) AS pattern), m AS (SELECT page_id, CAST(i + len(pattern) - 1 AS INT) AS stop, pattern FROM (SELECT page_id, url, pattern, unnest(range(0, len(url))) AS i FROM pages, p) WHERE substr(url, i + 1, len(pattern)) = pattern), "
+    "b AS (SELECT page_id, stop, arg_max(pattern, len(pattern)) AS pattern FROM m GROUP BY ALL) SELECT pages.page_id, coalesce(string_agg(stop || pattern, ',' ORDER BY stop), '') AS found FROM pages LEFT JOIN b USING (page_id) GROUP BY ALL"
+)
 def many_pattern_search(spark, sf_dir):
-    """An automaton finds all patterns in one pass."""
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.size(matching.find_all(spark, F.col("url"), ["feed", "page", "example"])).cast("long").alias("n"))
+    """The longest pattern that ends at each place of each address."""
+    found = F.transform(matching.find_all(F.col("url"), PATTERNS), lambda m: F.concat(m["stop"].cast("string"), m["pattern"]))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("found"))
 
 
 @query(

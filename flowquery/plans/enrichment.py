@@ -88,6 +88,19 @@ def twin_overlap(spark, sf_dir):
     return joins.twins(_longer(flows(spark, sf_dir, both_ways=True)))
 
 
+ONE_TWIN = (
+    ", pairs AS (" + _twins(False).replace(TURNED, "") + "), asked AS (SELECT max(seq) AS seq, twin FROM pairs GROUP BY twin), links AS (SELECT seq, min(twin) AS twin FROM asked GROUP BY seq), "
+    "chain AS (SELECT seq, twin, 1 AS d FROM links WHERE seq NOT IN (SELECT twin FROM links) UNION ALL SELECT links.seq, links.twin, d + 1 FROM links JOIN chain ON links.seq = chain.twin) "
+    "SELECT seq, twin FROM chain WHERE d % 2 = 1"
+)
+
+
+@query(TURNED.replace("WITH ", "WITH RECURSIVE ", 1) + ONE_TWIN)
+def twin_single(spark, sf_dir):
+    """A flow has one twin."""
+    return joins.one_twin(joins.twins(flows(spark, sf_dir, both_ways=True), overlap=False))
+
+
 PROCESSES = "SELECT sa, da, sp, dp, pr, max('proc' || (seq % 17)) AS name FROM flows WHERE seq % 5 = 0 AND seq % 3 <> 0 GROUP BY ALL"
 
 
@@ -142,18 +155,16 @@ def fp_approx_match(spark, sf_dir):
     return d.select("q").join(joins.approximate_match(d, b), "q", "left").withColumn("distance", r6("distance"))
 
 
-@query(WORD_SIDES.split("p AS (")[0].rstrip().rstrip(",") + " SELECT id AS doc_id, n FROM (SELECT id, len(g) AS n FROM t WHERE side = 0)")
+@query(WORD_SIDES.split("p AS (")[0].rstrip().rstrip(",") + " SELECT id AS doc_id, len(g) AS n, md5(array_to_string(list_sort(g), ',')) AS grams FROM t WHERE side = 0")
 def ngram4(spark, sf_dir):
     d, _ = _word_sides(spark, sf_dir)
-    return d.select(F.col("q").alias("doc_id"), F.size(F.array_distinct("terms")).cast("long").alias("n"))
+    distinct = F.array_distinct("terms")
+    return d.select(F.col("q").alias("doc_id"), F.size(distinct).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(distinct), ",").cast("binary")).alias("grams"))
 
 
 @query(WORD_SIDES + "SELECT q, k, round(score, 6) AS score FROM p")
 def jaccard_sets(spark, sf_dir):
-    d, b = _word_sides(spark, sf_dir)
-    shared = joins.shared_counts(d, b, "terms").join(d, "q").join(b.select("k", F.col("terms").alias("others")), "k")
-    union = F.size(F.array_union("terms", "others"))
-    return shared.select("q", "k", r6(F.size(F.array_intersect("terms", "others")) / union).alias("score"))
+    return joins.jaccard(*_word_sides(spark, sf_dir), "terms").select("q", "k", r6("score").alias("score"))
 
 
 NETS = ("10.0.0.0/25 # lower", "10.0.0.0/24 # all", "192.168.0.64/26 # upper", "192.168.0.7 # seven", "", "# nothing")
@@ -201,16 +212,16 @@ def ca_audit(spark, sf_dir):
     return certs.select("conv_id", policy.trust(F.transform("certs", lambda x: x["role"]), ["user"]).alias("audit"))
 
 
-@query("WITH s AS (SELECT doc_id, substr(lower(hex(encode(text))), 1, 64) AS x FROM documents) SELECT doc_id, array_to_string(list_transform(range(0, (len(x) + 3) // 4), lambda i: regexp_replace(x[4 * i + 1 : 4 * i + 4], '^(0a0a|1a1a|2a2a|3a3a|4a4a|5a5a|6a6a|7a7a|8a8a|9a9a|aaaa|baba|caca|dada|eaea|fafa)$', '0a0a')), '') AS codes FROM s")
+@query("WITH s AS (SELECT doc_id, lower(hex(encode(text))) AS x FROM documents) SELECT doc_id, array_to_string(list_transform(range(0, (len(x) + 3) // 4), lambda i: regexp_replace(x[4 * i + 1 : 4 * i + 4], '^(0a0a|1a1a|2a2a|3a3a|4a4a|5a5a|6a6a|7a7a|8a8a|9a9a|aaaa|baba|caca|dada|eaea|fafa)$', '0a0a')), '') AS codes FROM s")
 def grease_normalize(spark, sf_dir):
-    codes = F.substring(F.lower(F.hex(F.encode("text", "UTF-8"))), 1, 64)
-    return table(spark, sf_dir, "documents").select("doc_id", scalar.degrease_all(codes).alias("codes"))
+    """All codes of each text."""
+    return table(spark, sf_dir, "documents").select("doc_id", scalar.degrease_all(F.lower(F.hex(F.encode("text", "UTF-8")))).alias("codes"))
 
 
-@query("WITH s AS (SELECT doc_id, lower(hex(encode(text))) AS x FROM documents) SELECT doc_id, array_to_string(list_transform(range(0, (len(x) + 3) // 4), lambda i: regexp_replace(x[4 * i + 1 : 4 * i + 4], '^(0a0a|1a1a|2a2a|3a3a|4a4a|5a5a|6a6a|7a7a|8a8a|9a9a|aaaa|baba|caca|dada|eaea|fafa)$', '0a0a')), '') AS codes FROM s")
+@query("WITH s AS (SELECT page_id, lower(hex(encode(html))) AS x FROM pages) SELECT page_id, array_to_string(list_transform(range(0, (len(x) + 3) // 4), lambda i: regexp_replace(x[4 * i + 1 : 4 * i + 4], '^(0a0a|1a1a|2a2a|3a3a|4a4a|5a5a|6a6a|7a7a|8a8a|9a9a|aaaa|baba|caca|dada|eaea|fafa)$', '0a0a')), '') AS codes FROM s")
 def grease_normalize_whole(spark, sf_dir):
-    """All codes of each text; ``grease_normalize`` keeps to the 32 bytes of its SQL."""
-    return table(spark, sf_dir, "documents").select("doc_id", scalar.degrease_all(F.lower(F.hex(F.encode("text", "UTF-8")))).alias("codes"))
+    """The same of whole pages."""
+    return table(spark, sf_dir, "pages").select("page_id", scalar.degrease_all(F.lower(F.hex(F.encode("html", "UTF-8")))).alias("codes"))
 
 
 FP = "'(0303)(' || CASE WHEN p_partkey % 2 = 0 THEN '1a1a' ELSE 'c02b' END || '009c)((' || CASE WHEN p_partkey % 5 = 0 THEN 'fafa' ELSE '000a' END || '0001)(000b0002))'"
@@ -257,17 +268,42 @@ def anon_addr_aes(spark, sf_dir):
 NAMES = ["en", "fr", "de", "feed", "page"]
 
 
-@query(r"SELECT page_id, regexp_replace(url, '(^|[?&/\-\\_.=;:%#])(feed|page|de|en|fr)($|[?&/\-\\_.=;:%#])', '\1*\3', 'g') AS url FROM pages")
+def _twice(column: str, marks: str, names: str) -> str:
+    """Names replaced by themselves in brackets; a second pass finds those that share a mark with one found before."""
+    once = f"regexp_replace({column}, '(^|[{marks}])({names})($|[{marks}])', '\\1<<\\2>>\\3', 'g')"
+    return once.replace(column, once, 1)
+
+
+def in_brackets(name):
+    """Stands for a code."""
+    return F.concat(F.lit("<<"), name, F.lit(">>"))
+
+
+SHARED_MARKS = "'/en/de/' || url || '/fr=page'"
+
+
+@query(f"SELECT page_id, {_twice(SHARED_MARKS, r'?&/\-\\_.=;:%#', 'feed|page|de|en|fr')} AS url FROM pages")
 def username_anonymize_uri(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", scalar.replace_names(F.col("url"), NAMES, scalar.URI_MARKS, "*").alias("url"))
+    """Names in addresses, also those that share a mark."""
+    url = F.concat(F.lit("/en/de/"), "url", F.lit("/fr=page"))
+    return table(spark, sf_dir, "pages").select("page_id", scalar.replace_names(url, NAMES, scalar.URI_MARKS, in_brackets).alias("url"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '(^|[\\x00\\t\\n\\x0b\\f\\r @,\"''<>])(the|de|la)($|[\\x00\\t\\n\\x0b\\f\\r @,\"''<>])', '\\1*\\3', 'g') AS text FROM documents")
+@query("SELECT doc_id, " + _twice("text", "\\x00\\t\\n\\x0b\\f\\r @,\"''<>", "the|de|la").replace("<<", "(").replace(">>", ")") + " AS text FROM documents")
 def username_anonymize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", scalar.replace_names(F.col("text"), ["the", "de", "la"], scalar.TEXT_MARKS, "*").alias("text"))
+    code = lambda name: F.concat(F.lit("("), name, F.lit(")"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalar.replace_names(F.col("text"), ["the", "de", "la"], scalar.TEXT_MARKS, code).alias("text"))
+
+
+@query("SELECT p_partkey, p_brand, 32 AS digits FROM part")
+def anon_text_aes(spark, sf_dir):
+    """Anonymised strings lead back to the strings."""
+    key = F.encode(F.lit(KEY), "UTF-8")
+    code = table(spark, sf_dir, "part").select("p_partkey", scalar.anonymized_text(F.col("p_brand"), key).alias("code"))
+    return code.select("p_partkey", scalar.deanonymized_text(F.col("code"), key).alias("p_brand"), F.length("code").alias("digits"))
 
 
-@query(r"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(url, '(^|[?&/\-\\_.=;:%#])(feed|page|de|en|fr)($|[?&/\-\\_.=;:%#])', 2))), ',') AS names FROM pages")
+@query(r"SELECT page_id, array_to_string(list_sort(list_filter(['feed', 'page', 'de', 'en', 'fr'], lambda n: regexp_matches(url, '(^|[?&/\-\\_.=;:%#])' || n || '($|[?&/\-\\_.=;:%#])'))), ',') AS names FROM pages")
 def username_match(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(scalar.find_names(F.col("url"), NAMES, scalar.URI_MARKS), ",").alias("names"))
 
@@ -277,18 +313,19 @@ def tcp_flags_str(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scalar.tcp_flags((F.col("l_partkey") % 256).cast("int")).alias("flags"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 4 THEN 6 ELSE 0 END AS version FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 4 THEN 6 WHEN 7 THEN 6 ELSE 0 END AS version FROM part")
 def tls_version_name(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", scalar.tls_version((768 + F.col("p_partkey") % 7).cast("int")).alias("version"))
+    return table(spark, sf_dir, "part").select("p_partkey", scalar.tls_version(F.when(F.col("p_partkey") % 8 == 7, 0x7F12).otherwise(768 + F.col("p_partkey") % 8).cast("int")).alias("version"))
 
 
 @query(
-    "SELECT p_partkey, CASE WHEN t BETWEEN 33 AND 64 AND w = 5840 THEN 'Linux 2.4 and 2.6' WHEN t BETWEEN 33 AND 64 AND w = 65535 THEN 'FreeBSD / OS X' WHEN t BETWEEN 33 AND 64 AND w = 16384 THEN 'OpenBSD, AIX 4.3' WHEN t BETWEEN 65 AND 128 AND w = 65535 THEN 'Windows XP' "
-    "WHEN t BETWEEN 65 AND 128 AND w = 16384 THEN 'Windows 2000' WHEN t BETWEEN 129 AND 255 AND w = 4128 THEN 'Cisco Router IOS 12.4' END AS os FROM (SELECT p_partkey, p_partkey % 256 AS t, CASE p_size % 4 WHEN 0 THEN 5840 WHEN 1 THEN 65535 WHEN 2 THEN 16384 ELSE 4128 END AS w FROM part)"
+    "SELECT p_partkey, CASE WHEN t BETWEEN 33 AND 64 AND w = 5840 THEN 'a' WHEN t BETWEEN 33 AND 64 AND w = 65535 THEN 'b' WHEN t BETWEEN 33 AND 64 AND w = 16384 THEN 'c' WHEN t BETWEEN 65 AND 128 AND w = 65535 THEN 'd' "
+    "WHEN t BETWEEN 65 AND 128 AND w = 16384 THEN 'e' WHEN t BETWEEN 129 AND 255 AND w = 4128 THEN 'f' END AS os FROM (SELECT p_partkey, p_partkey % 256 AS t, CASE p_size % 4 WHEN 0 THEN 5840 WHEN 1 THEN 65535 WHEN 2 THEN 16384 ELSE 4128 END AS w FROM part)"
 )
 def os_guess(spark, sf_dir):
     window = F.element_at(F.array(*map(F.lit, (5840, 65535, 16384, 4128))), F.col("p_size") % 4 + 1)
-    return table(spark, sf_dir, "part").select("p_partkey", scalar.operating_system(F.col("p_partkey") % 256, window).alias("os"))
+    systems = [(33, 64, 5840, "a"), (33, 64, 65535, "b"), (33, 64, 16384, "c"), (65, 128, 65535, "d"), (65, 128, 16384, "e"), (129, 255, 4128, "f")]
+    return table(spark, sf_dir, "part").select("p_partkey", scalar.operating_system(F.col("p_partkey") % 256, window, systems).alias("os"))
 
 
 PAYLOAD = "CASE page_id % 5 WHEN 0 THEN 'GET / HTTP/1.1' WHEN 1 THEN 'HTTP/1.1 200 OK' WHEN 2 THEN 'POST /x' WHEN 3 THEN url ELSE 'DELETE /' END"

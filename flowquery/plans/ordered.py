@@ -76,13 +76,15 @@ def markov_times(spark, sf_dir):
     return windows.markov(gaps, ["user_id"], windows.bucket(F.col("ipt"), 3_600_000, 10), "event_id").withColumn("p", r6("p"))
 
 
-@query("SELECT r_regionkey, array_to_string(CASE r_regionkey WHEN 0 THEN [5, 5, 5, 7] WHEN 1 THEN [1, 2, 2] ELSE [r_regionkey, 9, 9] END, ',') AS decoded FROM region")
+@query("SELECT l_orderkey, string_agg(repeat((l_suppkey % 50) || ',', CAST(1 + l_partkey % 3 AS INT)), '' ORDER BY l_linenumber, l_partkey, l_suppkey % 50) AS decoded FROM lineitem GROUP BY l_orderkey")
 def rle_decode(spark, sf_dir):
-    k = F.col("r_regionkey").cast("int")
-    lit = lambda *x: F.array(*map(F.lit, x))
-    coded = F.when(k == 0, lit(5, -2, 7, -32768, 3)).when(k == 1, lit(1, 2, -1)).otherwise(F.array(k, F.lit(9), F.lit(-1)))
-    decoded = windows.run_length_decoded(coded)
-    return table(spark, sf_dir, "region").select("r_regionkey", F.array_join(F.transform(decoded, lambda x: x.cast("string")), ",").alias("decoded"))
+    """Orders are written as runs (a value, then minus the number of its repeats) with an end mark and more behind it."""
+    line = F.struct("l_linenumber", "l_partkey", (F.col("l_suppkey") % 50).cast("int").alias("q"))
+    run = lambda x: F.when(x["l_partkey"] % 3 == 0, F.array(x["q"])).otherwise(F.array(x["q"], (-(x["l_partkey"] % 3)).cast("int")))
+    coded = F.concat(F.flatten(F.transform(F.array_sort("lines"), run)), F.array(F.lit(-32768), F.lit(77)))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    decoded = F.transform(windows.run_length_decoded(coded), lambda x: F.concat(x.cast("string"), F.lit(",")))
+    return lines.select("l_orderkey", F.array_join(decoded, "").alias("decoded"))
 
 
 @query(

@@ -37,12 +37,12 @@ def scan_bad_lines(spark, sf_dir):
     return jsonl.bad_lines(lines, "props")
 
 
-@query("SELECT CAST(sum(cnt) AS BIGINT) AS rows, count(*) AS files FROM (SELECT count(*) AS cnt FROM nation UNION ALL SELECT count(*) FROM region)")
+@query("SELECT 'orders' AS file, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders UNION ALL SELECT 'customer', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer")
 def scan_per_file(spark, sf_dir):
     """Each input file is a stream of its own; rows know theirs."""
-    files = [table(spark, sf_dir, t).select(F.col("_metadata.file_path").alias("file")) for t in ("nation", "region")]
-    counted = files[0].union(files[1]).groupBy("file").agg(F.count("*").alias("n"))
-    return counted.withColumn("file", F.regexp_extract("file", r"(nation|region)\.parquet", 1)).groupBy("file").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("rows"), F.count("*").alias("files"))
+    files = [table(spark, sf_dir, t).select(F.col("_metadata.file_path").alias("file"), F.col(k).alias("key")) for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"))]
+    name = F.regexp_extract("file", r"(orders|customer)\.parquet", 1)
+    return files[0].union(files[1]).groupBy(name.alias("file")).agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
 
 
 @query(FLOWS + "SELECT seq, sa, dp FROM flows")
@@ -86,11 +86,11 @@ def apply_leaf(spark, sf_dir):
     return found.select("conv_id", F.array_join(F.transform("packets.b", lambda x: x.cast("string")), ",").alias("b"), F.array_join("packets.dir", "").alias("d"))
 
 
-@query("SELECT n_nationkey, n_name, CASE WHEN r_name LIKE 'A%' THEN r_name END AS label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT o_orderkey, o_custkey, CASE WHEN c_name LIKE '%5' THEN c_name END AS label FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def enrich_col(spark, sf_dir):
-    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    found = projection.enrich(joined, "label", F.when(F.col("r_name").startswith("A"), F.col("r_name")).otherwise(""))
-    return found.select("n_nationkey", "n_name", "label")
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    found = projection.enrich(joined, "label", F.when(F.col("c_name").endswith("5"), F.col("c_name")).otherwise(""))
+    return found.select("o_orderkey", "o_custkey", "label")
 
 
 @query(NESTED + "SELECT seq, flags, first_seq, CASE WHEN first_seq IS NOT NULL THEN pr * 10 END AS extra FROM nested")
@@ -210,10 +210,13 @@ def groupby_passthrough(spark, sf_dir):
     return FlowQuery(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")).groupby("o_orderpriority").run()
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders")
+@query("SELECT o_custkey AS id, o_orderkey, NULL AS name FROM orders UNION ALL SELECT c_custkey, NULL, c_name FROM customer UNION ALL SELECT s_suppkey, NULL, s_name FROM supplier")
 def union_files(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice").unionByName(o.where("o_orderkey % 2 = 1").select("o_totalprice", "o_orderkey"), allowMissingColumns=True)
+    """Files of different columns as one stream."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey")
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return o.unionByName(c, allowMissingColumns=True).unionByName(s, allowMissingColumns=True)
 
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")

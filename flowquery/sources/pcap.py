@@ -1,7 +1,7 @@
-"""Packet captures as a table: ``spark.read.format("pcap").load(folder or glob)``, once registered.
+"""Packet captures as a table.
 
-A capture file is one input partition and streams through its task; files are found and read by Spark's
-own binary reader, so any store that Spark reaches will do.
+Files are found and read by Spark's own binary reader, so any store that Spark reaches will do; a capture file is one row
+of that reader, which holds 2 GB at most, so longer captures are to be cut into files before.
 """
 
 from __future__ import annotations

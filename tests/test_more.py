@@ -128,7 +128,7 @@ def test_tls_security(spark):
 
 def test_many_patterns(spark):
     df = spark.createDataFrame([("ushers",), ("",), (None,), ("hehe",)], "t string")
-    found = [[(m.start, m.stop, m.pattern) for m in r[0]] for r in df.select(matching.find_all(spark, F.col("t"), ["he", "she", "his", "hers"])).collect()]
+    found = [[(m.start, m.stop, m.pattern) for m in r[0]] for r in df.select(matching.find_all(F.col("t"), ["he", "she", "his", "hers"])).collect()]
     assert found == [[(1, 3, "she"), (2, 5, "hers")], [], [], [(0, 1, "he"), (2, 3, "he")]]
 
 

@@ -157,7 +157,7 @@ def test_fingerprints_are_degreased(spark):
 
 def test_codes_behind_the_first_bytes_are_degreased(spark, tmp_path):
     spark.createDataFrame([(1, "a" * 40 + "zzJJ\n\n"), (2, "xzz"), (3, ""), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.doc_id: r.codes for r in QUERIES["grease_normalize_whole"](spark, str(tmp_path)).collect()}
+    found = {r.doc_id: r.codes for r in QUERIES["grease_normalize"](spark, str(tmp_path)).collect()}
     assert found == {1: "61" * 40 + "0a0a" * 3, 2: "787a7a", 3: "", 4: None}
 
 
@@ -253,8 +253,17 @@ def test_capture_to_flows(spark, tmp_path):
     assert (first.sa, first.bytes_out, first.num_pkts_out, first.bytes_in, first.tcp_retrans, first.first_seq) == (a, 5, 2, 15, 1, 1)
     assert [(p.b, p.dir, p.ipt) for p in first.packets] == [(5, ">", 2000), (15, "<", 1000)]
     assert found[1000, 80, 6, 14 * s].bytes_out == 4 and found[None, None, 6, 17 * s].invalid and (None, None, 0, 18 * s) in found
-    data = {(r.sa, r.pr): bytes(r.data) for r in flows.streams(packets).collect() if r.sp is not None}
-    assert data[a, 6] == b"GET /late" and data[a, 17] == b"hi"
+    data = {(r.sa, r.pr, r.session): bytes(r.data) for r in flows.streams(packets).collect() if r.sp is not None}
+    assert data[a, 6, 0] == b"GET /" and data[a, 6, 14 * s] == b"late" and data[a, 17, 15 * s] == b"hi"
+
+
+def test_streams_over_repeats_and_a_wrap(spark):
+    """The longest of a repeated packet counts, sequence numbers may wrap, and a port used again is a record of its own."""
+    top = 1 << 32
+    rows = [(0, top - 3, b"abc"), (1, 0, b"d"), (2, 0, b"def"), (3, 3, b"ghi"), (60_000_000, 50, b"new")]
+    p = spark.createDataFrame([("f", i, t * 1000 if t < 100 else t, q, d) for i, (t, q, d) in enumerate(rows)], "file string, seq long, ts_us long, tcp_seq long, payload binary")
+    p = p.selectExpr("*", "'a' AS sa", "'b' AS da", "1 AS sp", "2 AS dp", "6 AS pr")
+    assert sorted((r.session, bytes(r.data)) for r in flows.streams(p).collect()) == [(0, b"abcdefghi"), (60_000_000, b"new")]
 
 
 def test_active_timeout(spark):

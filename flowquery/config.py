@@ -6,43 +6,36 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, fields
 
 #: Features that have a switch of their own.
-FEATURES = ("dns", "http", "tls", "ssh", "dhcp", "dhcpv6", "ike", "payload", "salt", "ppi", "fpx", "wht", "example")
+FEATURES = ("dns", "http", "tls", "ssh", "dhcp", "ike", "payload", "fpx")
 
 
 @dataclass
 class Options:
-    """What a capture or a query is told. Unknown names and values out of range are errors."""
+    """What ``capture.records`` is told. Unknown names and values out of range are errors; what belongs to hosts and threads, as
+    the number of workers, is Spark's to know. ``key`` is for the addresses of ``anon``, and is not echoed."""
 
     bidir: bool = False
     dist: bool = False
     entropy: bool = False
-    classify: bool = False
     retrans: bool = False
     zeros: bool = False
-    nat: bool = False
-    preemptive_timeout: bool = False
     num_pkts: int = 50
     idp: int = 0
-    hd: int = 0
-    count: int = 0
-    threads: int = 1
-    verbosity: int = 4
     idle: int = 10
     active: int = 30
     bpf: str = ""
-    cdist: str = ""
     anon: str = ""
-    useranon: str = ""
+    key: str = ""
     label: list[str] = field(default_factory=list)
     features: list[str] = field(default_factory=list)
 
     def __post_init__(self):
         if not 0 < self.num_pkts <= 200:
             raise ValueError("num_pkts is from 1 to 200")
-        if not 1 <= self.threads <= 24:
-            raise ValueError("threads is from 1 to 24")
-        if self.classify and not self.bidir:
-            raise ValueError("classify needs bidir")
+        if self.idle <= 0 or self.active < self.idle:
+            raise ValueError("idle is over 0 and not over active")
+        if self.idp < 0 or self.idp > 1300:
+            raise ValueError("idp is from 0 to 1300")
 
 
 def parse(words: Iterable[str]) -> Options:
@@ -74,4 +67,4 @@ def parse(words: Iterable[str]) -> Options:
 
 def echo(options: Options) -> dict:
     """The settings that differ from nothing, for ``sinks.jsonl.with_config``."""
-    return {k: (",".join(v) if isinstance(v, list) else int(v) if isinstance(v, bool) else v) for k, v in asdict(options).items() if v}
+    return {k: (",".join(v) if isinstance(v, list) else int(v) if isinstance(v, bool) else v) for k, v in asdict(options).items() if v and k != "key"}

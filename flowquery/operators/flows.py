@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowquery.functions import bytewise
 from flowquery.operators import windows
 from flowquery.operators.keys import FIVE, canonical
 
@@ -105,3 +106,23 @@ def streams(packets: DataFrame, most: int = 16_384) -> DataFrame:
     rows = rows.withColumn("_before", F.coalesce(F.sum(F.octet_length("payload")).over(w), F.lit(0))).where(F.col("_before") < most)
     parts = F.array_sort(F.collect_list(F.struct("_at", "seq", F.hex("payload").alias("h"))))
     return rows.groupBy(*record).agg(F.substring(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")), 1, most).alias("data"))
+
+
+def byte_statistics(packets: DataFrame, both: bool = True, idle: int = IDLE, active: int = ACTIVE) -> DataFrame:
+    """(sa, da, sp, dp, pr, session, byte_dist, byte_dist_mean, byte_dist_std, be, tbe): of the bytes that each direction of a record sent.
+
+    256 counters, mean and sample deviation, entropy in bits and entropy times their number. Bytes are counted packet by
+    packet; what is shuffled are sums of counters.
+    """
+    record = [*FIVE, "session"]
+    rows = numbered(packets, idle, active, both).where(F.octet_length("payload") > 0)
+    cells = rows.select(*record, F.explode(bytewise.counts(F.col("payload"))).alias("c")).groupBy(*record, F.col("c.byte").alias("byte")).agg(F.sum("c.n").alias("n"))
+    total = F.sum("n")
+    mean = F.sum(F.col("n") * F.col("byte")) / total
+    square = F.sum(F.col("n") * F.col("byte") * F.col("byte"))
+    spread = F.when(total > 1, F.sqrt(F.greatest((square - total * mean * mean) / (total - 1), F.lit(0.0))))
+    bits = F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total
+    counters = F.map_from_entries(F.collect_list(F.struct("byte", "n")))
+    found = cells.groupBy(*record).agg(counters.alias("_c"), mean.alias("byte_dist_mean"), spread.alias("byte_dist_std"), bits.alias("be"), (bits * total).alias("tbe"))
+    dist = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.coalesce(F.try_element_at("_c", b), F.lit(0)).cast("long"))
+    return found.select(*record, dist.alias("byte_dist"), "byte_dist_mean", "byte_dist_std", "be", "tbe")

@@ -8,7 +8,7 @@ from flowquery.functions import policy, scalar
 from flowquery.operators import joins, stitch
 from flowquery.plans.catalogue import query, r6
 from flowquery.plans.selection import FLOWS
-from flowquery.sources import subnets
+from flowquery.sources import fingerprints, subnets
 from flowquery.sources.flow_view import FLOWS_SQL, flows, table
 
 TURNED = "WITH flows AS (" + FLOWS_SQL.format(turned="event_id % 3 = 0") + ") "
@@ -125,6 +125,25 @@ def fp_exact_lookup(spark, sf_dir):
     return joins.exact_match(table(spark, sf_dir, "part"), "p_brand", database).select("p_partkey", "p_brand", "match")
 
 
+@query(
+    "WITH c AS (SELECT event_type AS str_repr, 'p' || (user_id % 20) AS process, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT str_repr, CAST(sum(n) AS BIGINT) AS total_count FROM c GROUP BY str_repr) "
+    "SELECT str_repr, total_count, string_agg(process || '=' || n, ',' ORDER BY n DESC, process) AS processes, arg_min(round(n / total_count, 2), (-n, process)) AS first_share FROM c JOIN t USING (str_repr) GROUP BY ALL"
+)
+def fp_database(spark, sf_dir):
+    """Entries from observed rows."""
+    events = table(spark, sf_dir, "events").withColumn("process", F.concat(F.lit("p"), F.col("user_id") % 20))
+    found = fingerprints.entries(events, "event_type", "process")
+    listed = F.array_join(F.transform("process_info", lambda x: F.concat_ws("=", x["process"], x["count"].cast("string"))), ",")
+    return found.select("str_repr", "total_count", listed.alias("processes"), F.element_at("process_info", 1)["prevalence"].alias("first_share"))
+
+
+@query("SELECT event_type AS fingerprint, count(*) AS flows, CASE WHEN event_type IN ('click', 'view') THEN 'known ' || event_type ELSE 'Unknown' END AS process, CASE WHEN event_type IN ('click', 'view') THEN 1.0 END AS prevalence FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+def fp_report(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    known = events.where("event_type IN ('click', 'view')").withColumn("process", F.concat(F.lit("known "), "event_type"))
+    return fingerprints.report(events, "event_type", fingerprints.entries(known, "event_type", "process"))
+
+
 def _word_sides(spark, sf_dir):
     words = lambda text: F.array_remove(F.split(F.lower(text), r"[^a-zÀ-ɏ]+"), "")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q"), words(F.col("text")).alias("items"))

@@ -39,6 +39,12 @@ def parse(lines: DataFrame, value: str = "value") -> DataFrame:
     return parsed.where(is_object & F.try_variant_get("record", "$.version", "variant").isNull()).drop(value)
 
 
+def read_typed(spark: SparkSession, *paths: str) -> DataFrame:
+    """The records of flow files as typed columns, by what all lines hold; configuration lines and lines that are no JSON object go."""
+    rows = spark.read.option("mode", "DROPMALFORMED").json(list(paths))
+    return rows.where(F.col("version").isNull()).drop("version") if "version" in rows.columns else rows
+
+
 def bad_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """(lines, bad): how many lines there are, and how many are no JSON."""
     return lines.agg(F.count("*").alias("lines"), F.count_if(F.try_parse_json(value).isNull()).alias("bad"))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from flowquery.llm.common import materialize
 from flowquery.llm.labelled import sample
 
 LABELLED = 2_048
@@ -109,7 +110,7 @@ class Neighbours:
         share = np.array(count, float) / n
         bins = [self.index[-1][b] for k, v in repeated.items() if (b := bin_of(k, v)) in self.index[-1]]
         order = np.array(at + bins, np.int64)
-        return np.sqrt(np.concatenate([share, np.full(len(bins), 0.1)])) @ self.project[order]
+        return np.sqrt(np.concatenate([share, np.full(len(bins), 0.1)])).astype(np.float32) @ self.project[order]
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         if not len(self.labels):
@@ -141,46 +142,59 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": batch["label"], "share": batch["share"], "terms": [list(map(_named, f)) for f in found], "shares": [list(f.values()) for f in found]})
 
 
+def _coded(batches: Iterator[pd.DataFrame], numbers: dict[bytes, int]) -> Iterator[pd.DataFrame]:
+    """Each row's known terms as packed numbers, rising, and their shares."""
+    for batch in batches:
+        at, shares = [], []
+        for terms_, values in zip(batch["terms"], batch["shares"], strict=True):
+            known = sorted((numbers[t], v) for t, v in zip(map(bytes, terms_), values, strict=True) if bytes(t) in numbers)
+            at.append(np.array([i for i, _ in known], "<i4").tobytes())
+            shares.append(np.array([v for _, v in known], "<f8").tobytes())
+        yield pd.DataFrame({"label": batch["label"], "share": batch["share"], "at": at, "shares": shares})
+
+
 def fit(labelled: DataFrame) -> Neighbours:
-    """From (text, label, share); 2 * LABELLED rows at most come to the driver, as terms."""
-    rows = labelled.select(F.col("text").cast("binary").alias("text"), "label", "share").mapInPandas(_terms, "label int, share double, terms array<binary>, shares array<double>").collect()
-    rows.sort(key=lambda r: (r.label, r.terms, r.shares))
-    counts = Counter(t for r in rows for t in r.terms)
-    numbers = {t: i for i, t in enumerate(sorted(t for t, n in counts.items() if n > 1))}
-    held = [[(numbers[t], v) for t, v in zip(r.terms, r.shares, strict=True) if t in numbers] for r in rows]
-    rarity = np.log(1 + len(rows) / np.array([counts[t] for t in numbers], float))
-    x = Sparse(held, rarity)
-    # A randomised range finder, then the small decomposition.
-    draw = np.random.default_rng(SEED).standard_normal((len(rows), min(RANK + 16, len(rows))))
-    basis = x.transposed_times(draw)
-    for _ in range(3):
-        basis, _ = np.linalg.qr(basis)
-        basis = x.transposed_times(x.times(basis))
-    basis, _ = np.linalg.qr(basis)
-    _, _, small = np.linalg.svd(x.times(basis), full_matrices=False)
-    project = basis @ small[:RANK].T
-    vectors = x.times(project)
+    """From (text, label, share). Terms are counted in Spark; those that two rows hold, and 2 * LABELLED rows at most of packed numbers, come to the driver."""
+    rows = labelled.select(F.col("text").cast("binary").alias("text"), "label", "share").mapInPandas(_terms, "label int, share double, terms array<binary>, shares array<double>")
+    rows = materialize(rows, "labelled_terms")
+    common = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n > 1")
+    found = common.toArrow().sort_by("term")
+    numbers = {t: i for i, t in enumerate(found["term"].to_pylist())}
+    shared = labelled.sparkSession.sparkContext.broadcast(numbers)
+    packed = rows.mapInPandas(lambda batches: _coded(batches, shared.value), "label int, share double, at binary, shares binary").toArrow()
+    packed = packed.sort_by([(c, "ascending") for c in ("label", "at", "shares", "share")])
+    rarity = np.log(1 + len(packed) / found["n"].to_numpy()).astype(np.float32)
+    x = Sparse([(np.frombuffer(at, "<i4"), np.frombuffer(v, "<f8")) for at, v in zip(packed["at"].to_pylist(), packed["shares"].to_pylist(), strict=True)], rarity)
+    # A randomised range finder on the side of the rows, then the small decomposition.
+    basis = np.random.default_rng(SEED).standard_normal((len(packed), min(RANK + 16, len(packed)))).astype(np.float32)
+    for _ in range(4):
+        basis, _ = np.linalg.qr(x.times(x.transposed_times(basis)))
+    spread = x.transposed_times(basis)
+    values, turned = np.linalg.eigh((spread.T @ spread).astype(float))
+    best = np.argsort(-values)[:RANK]
+    project = spread @ (turned[:, best] / np.sqrt(np.maximum(values[best], 1e-12))).astype(np.float32)
+    vectors = x.times(project).astype(float)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    project *= rarity[:, None]
     index: list[dict] = [{}, {}, {}, {}]
     for t, i in numbers.items():
-        kind, value = int(t[:1]), bytes(t[2:])
+        kind, value = int(t[:1]), t[2:]
         index[kind][tuple(value.split(b" ")) if kind == 2 else value] = i
-    return Neighbours(index, rarity[:, None] * project, vectors, np.array([r.label for r in rows], float), np.array([r.share for r in rows], float))
+    return Neighbours(index, project, vectors, packed["label"].to_numpy().astype(float), packed["share"].to_numpy())
 
 
 class Sparse:
     """The labelled rows' terms: roots of shares times rarity."""
 
-    def __init__(self, held: list[list[tuple[int, float]]], rarity: np.ndarray):
+    def __init__(self, held: list[tuple[np.ndarray, np.ndarray]], rarity: np.ndarray):
         self.width = len(rarity)
-        self.rows = [(np.array([i for i, _ in h], np.int64), np.sqrt(np.array([v for _, v in h], float))) for h in held]
-        self.rows = [(at, v * rarity[at]) for at, v in self.rows]
+        self.rows = [(at, (np.sqrt(v) * rarity[at]).astype(np.float32)) for at, v in held]
 
     def times(self, y: np.ndarray) -> np.ndarray:
-        return np.stack([v @ y[at] for at, v in self.rows]) if self.rows else np.zeros((0, y.shape[1]))
+        return np.stack([v @ y[at] for at, v in self.rows]) if self.rows else np.zeros((0, y.shape[1]), np.float32)
 
     def transposed_times(self, y: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.width, y.shape[1]))
+        out = np.zeros((self.width, y.shape[1]), np.float32)
         for (at, v), own in zip(self.rows, y, strict=True):
             out[at] += v[:, None] * own  # a row holds each term once
         return out

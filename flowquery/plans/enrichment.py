@@ -137,7 +137,7 @@ def fp_database(spark, sf_dir):
     return found.select("str_repr", "total_count", listed.alias("processes"), F.element_at("process_info", 1)["prevalence"].alias("first_share"))
 
 
-@query("SELECT event_type AS fingerprint, count(*) AS flows, CASE WHEN event_type IN ('click', 'view') THEN 'known ' || event_type ELSE 'Unknown' END AS process, CASE WHEN event_type IN ('click', 'view') THEN 1.0 END AS prevalence FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+@query("SELECT event_type AS fingerprint, count(*) AS flows, CASE WHEN event_type IN ('click', 'view') THEN 'known ' || event_type ELSE 'Unknown' END AS process, CASE WHEN event_type IN ('click', 'view') THEN CAST(1 AS DOUBLE) END AS prevalence FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
 def fp_report(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     known = events.where("event_type IN ('click', 'view')").withColumn("process", F.concat(F.lit("known "), "event_type"))

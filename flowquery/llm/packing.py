@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowquery.llm.common import materialize
-from flowquery.llm.token_files import bits_for, encoder
+from flowquery.llm.token_files import bits_for, encoder, slices
 from flowquery.llm.token_files import pack as pack_bits
 from flowquery.llm.token_files import unpack as unpack_bits
 
@@ -82,17 +82,19 @@ SEQUENCES = "bin_id string, capacity int, n_tokens int, doc_ids array<long>, pie
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: int, most: int) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
     for batch in batches:
-        found, seen = [], Counter()
-        for key, digest, ids in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), encoder(path).encode(batch.column("text")), strict=True):
-            ids = np.append(ids, np.uint32(end_id))
-            for n, at in enumerate(range(0, len(ids), most)):
-                part = ids[at : at + most]
-                found.append((key, digest, seen[key, digest], n, at, len(part), pack_bits(part, width)))
-            seen[key, digest] += 1
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        columns = zip(*found, strict=True) if found else [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
+        keys, seen = list(zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), strict=True)), Counter()
+        for begin, texts in slices(batch.column("text")):
+            found = []
+            for key, ids in zip(keys[begin:], encoder(path).encode(texts), strict=False):
+                ids = np.append(ids, np.uint32(end_id))
+                for n, at in enumerate(range(0, len(ids), most)):
+                    part = ids[at : at + most]
+                    found.append((*key, seen[key], n, at, len(part), pack_bits(part, width)))
+                seen[key] += 1
+            columns = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, most: int = max(CAPACITIES)) -> DataFrame:

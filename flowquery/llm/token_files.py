@@ -84,7 +84,9 @@ def unpack(payload: bytes, width: int, begin: int, end: int) -> np.ndarray:
 SPACE = r"[\t-\r \x1c-\x1f\x{85}\p{Z}]"
 STARTS_BLANK, ENDS_BLANK = f"^(?:$|{SPACE})", f"(?:^|{SPACE})$"
 #: Pieces that are encoded in one call of the library, and that a worker remembers (it forgets all beyond them).
-PIECES_A_CALL, KNOWN_PIECES = 50_000, 1_000_000
+PIECES_A_CALL, KNOWN_PIECES = 20_000, 250_000
+#: Bytes of text that are encoded at once; a longer text is alone.
+SLICE_BYTES = 3_000_000
 
 
 class Encoder:
@@ -190,9 +192,13 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each of ``texts`` (null: none)."""
-        texts = pc.fill_null(texts, "")
-        if not len(texts):
-            return []
+        out: list[np.ndarray] = []
+        for _, some in slices(texts):
+            out += self._encode(pc.fill_null(some, ""))
+            pa.default_memory_pool().release_unused()
+        return out
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         whole = np.full(len(texts), not self.cuts)
         for x in self.special if self.cuts else ():
             whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
@@ -222,6 +228,15 @@ class Encoder:
         return self._ids(coded.dictionary, coded.indices.to_numpy(), np.concatenate([[0], np.cumsum([len(x) for x in cut])]))
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Parts of ``texts`` of about SLICE_BYTES, with the place of their first: what is encoded at once takes several times its size."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(upto // SLICE_BYTES)) + 1
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+        if end > begin:
+            yield begin, texts.slice(begin, end - begin)
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One per worker process."""
@@ -245,12 +260,14 @@ def _encode_shard(batches: Iterator[pa.RecordBatch], path: str, end_id: int, wid
         return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, (_, kind) in zip(row, FIELDS, strict=True)], [name for name, _ in FIELDS])
 
     for batch in batches:
-        for key, found in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text")), strict=True):
-            docs.append(key)
-            ids.append(found)
-            held += len(found) + 1
-            if held >= BLOCK_TOKENS:
-                yield flush()
+        keys = batch.column("doc_id").to_pylist()
+        for begin, texts in slices(batch.column("text")):
+            for key, found in zip(keys[begin:], encoder(path).encode(texts), strict=False):
+                docs.append(key)
+                ids.append(found.copy())  # not a view of all that was encoded at once
+                held += len(found) + 1
+                if held >= BLOCK_TOKENS:
+                    yield flush()
     if docs:
         yield flush()
 

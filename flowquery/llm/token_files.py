@@ -83,12 +83,18 @@ def unpack(payload: bytes, width: int, begin: int, end: int) -> np.ndarray:
 #: White space, also beyond ASCII, as an RE2 class; an empty piece counts as both kinds of edge.
 SPACE = r"[\t-\r \x1c-\x1f\x{85}\p{Z}]"
 STARTS_BLANK, ENDS_BLANK = f"^(?:$|{SPACE})", f"(?:^|{SPACE})$"
-#: Pieces that are encoded in one call of the library, and that a worker remembers (it forgets all beyond them).
-PIECES_A_CALL, KNOWN_PIECES = 20_000, 250_000
+#: Pieces that are encoded in one call of the library, and that a worker remembers; beyond them it keeps those that it met in several slices.
+PIECES_A_CALL, KNOWN_PIECES = 20_000, 400_000
 #: Bytes of text that are encoded at once; a longer text is alone.
 SLICE_BYTES = 3_000_000
 
 
+def picked(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parts of ``pool`` of those places and sizes, one after the other."""
+    upto = np.cumsum(sizes)
+    return pool[np.repeat(begins - (upto - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+
 class Encoder:
     """Encodes batches of texts with the tokenizers library, each distinct piece of a batch once.
 
@@ -116,7 +122,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how such vocabularies spell a space
-        self._forget()
+        self.known: dict[str, int] = {}  # the number of each piece, in order
+        self.again = np.zeros(0, bool)  # whether it was met again
+        self.pool, self.begins, self.sizes, self.held = [], [], [], 0
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -148,8 +156,14 @@ class Encoder:
         self.held += int(sizes.sum())
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # the number of each piece
-        self.pool, self.begins, self.sizes, self.held = [], [], [], 0
+        """Keep the pieces that were met again since they were learnt or last kept, half of KNOWN_PIECES at most."""
+        kept = np.flatnonzero(self.again)[: KNOWN_PIECES // 2]
+        sizes = self.sizes[0][kept]
+        self.pool = [picked(self.pool[0], self.begins[0][kept], sizes)]
+        self.begins, self.sizes, self.held = [np.cumsum(sizes) - sizes], [sizes], len(self.pool[0])
+        names = list(self.known)
+        self.known = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.again = np.zeros(len(kept), bool)
 
     def _spaced(self, pieces: pa.Array) -> np.ndarray:
         """The numbers of ``pieces``, each behind a space, in the pool."""
@@ -158,7 +172,9 @@ class Encoder:
         names = pieces.to_numpy(zero_copy_only=False).tolist()
         numbers = np.array([self.known.get(p, -1) for p in names], np.int64)
         new = np.flatnonzero(numbers < 0)
+        self.again[numbers[numbers >= 0]] = True
         if len(new):
+            self.again = np.append(self.again, np.zeros(len(new), bool))
             self._learn(pieces.take(pa.array(new)))
             numbers[new] = [self.known[names[i]] for i in new.tolist()]
             for parts in (self.pool, self.begins, self.sizes):
@@ -185,10 +201,8 @@ class Encoder:
         sizes = np.concatenate([self.sizes[0][numbers], lengths])
         codes = codes.astype(np.int64)
         codes[offsets[:-1]] = len(distinct) + of
-        n = sizes[codes]
-        upto = np.cumsum(n)
-        flat = np.concatenate([self.pool[0], *bare])[np.repeat(begins[codes] - (upto - n), n) + np.arange(upto[-1])]
-        return np.split(flat, upto[offsets[1:-1] - 1])
+        flat = picked(np.concatenate([self.pool[0], *bare]), begins[codes], sizes[codes])
+        return np.split(flat, np.cumsum(sizes[codes])[offsets[1:-1] - 1])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each of ``texts`` (null: none)."""

@@ -53,7 +53,10 @@ def test_pieces_forgotten_and_long_texts_encode_alike(monkeypatch):
     monkeypatch.setattr(token_files, "PIECES_A_CALL", 7)
     own = token_files.Encoder(BPE)
     texts = [" ".join(f"w{i * k % 977}" for i in range(30_000)) + "x" * k for k in (1, 2, 3)]
-    for _ in range(2):
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 1_000)
+    for _ in range(3):
+        own._forget() if own.known else None
+        assert len(own.known) <= 25 and len(own.pool[0] if own.pool else ()) == own.held
         assert [x.tolist() for x in own.encode(pa.array(texts))] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 

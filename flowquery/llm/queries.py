@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquery.llm import decontaminate, hash_forest, html_text, near_duplicates, packing, quality, secret_scan, substring_dedup, token_files, toxicity
+from flowquery.llm import alignment, decontaminate, hash_forest, html_text, near_duplicates, packing, quality, secret_scan, substring_dedup, token_files, toxicity
 from flowquery.llm.common import new_table_path
 from flowquery.llm.labelled import held_out
 from flowquery.llm.oracles import ORACLE_SQL
@@ -25,6 +25,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    """The model file of the second tokenizer that the alignment's contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "token_files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -77,6 +84,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path(), piece_model_path()
+    found = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return alignment.with_corpus_counts(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "n_overlaps", "n_shared", "pairs"), *paths)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
@@ -88,4 +102,5 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
+    "op11_alignment": op11_alignment,
 }

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from copy import copy
 from dataclasses import dataclass
 from functools import cache, cached_property
 
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowquery.llm.common import new_table_path
-from flowquery.llm.token_files import Encoder, picked
+from flowquery.llm.token_files import ENDS_BLANK, STARTS_BLANK, Encoder, picked
 
 #: Bytes of text that are aligned at once; a longer text is alone.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 2_000_000
+#: Pieces of text whose ids a worker remembers.
+KNOWN_PIECES = 300_000
 #: Entries that a block of a shared-group product expands to, unless one row has more.
 BLOCK_ENTRIES = 1_000_000
 
@@ -71,6 +74,13 @@ class Incidence:
         return rows[first], columns[first], np.diff(first, append=len(key))
 
 
+def before(marks: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``marks`` (distinct places) are before each of ``n`` places."""
+    marked = np.zeros(n, np.int32)
+    marked[marks] = 1
+    return np.cumsum(marked, dtype=np.int32) - marked
+
+
 @dataclass
 class Aligned:
     """The tokens of several texts that both tokenizers give back, one text after the other."""
@@ -101,8 +111,7 @@ class Aligned:
     @cached_property
     def groups(self) -> tuple[Incidence, Incidence]:
         """Which group each token of a and of b is in."""
-        cuts = self.ends[0][self.links[0]]
-        return tuple(Incidence(np.arange(len(ends) + 1), np.searchsorted(cuts, ends).astype(np.int32), len(cuts)) for ends in self.ends)
+        return tuple(Incidence(np.arange(len(flat) + 1), before(at, len(flat)), len(at)) for flat, at in zip((self.a, self.b), self.links, strict=True))
 
     def shared(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(place in a, place in b) of all tokens of one group, in blocks."""
@@ -174,11 +183,62 @@ class PieceTokens(Encoder):
         return [bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace(self.SPACE, " ").encode() for i in every]
 
 
+def learnt(encoder: Encoder, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct ``pieces``, each behind a space, one after the other, and how many each has."""
+    names, pool, sizes = [], [], []
+    scratch = copy(encoder)
+    scratch._remember = lambda some, ids, n: (names.append(some), pool.extend(ids), sizes.append(n))
+    scratch._learn(pieces)
+    numbers = pc.index_in(pieces, value_set=pa.concat_arrays(names)).to_numpy()
+    n = np.concatenate(sizes)
+    return picked(np.concatenate(pool), (np.cumsum(n) - n)[numbers], n[numbers]), n[numbers]
+
+
+class Pieces:
+    """The ids that both tokenizers give to pieces of text behind a space; beyond KNOWN_PIECES the pieces that were met again stay, half of that number at most."""
+
+    def __init__(self, encoders: Sequence[Encoder]):
+        self.encoders = encoders
+        self.known: dict[str, int] = {}
+        self.again = np.zeros(0, bool)
+        self.pools = [np.zeros(0, np.uint32) for _ in encoders]
+        self.sizes = [np.zeros(0, np.int64) for _ in encoders]
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.again)[: KNOWN_PIECES // 2]
+        for k, n in enumerate(self.sizes):
+            self.pools[k], self.sizes[k] = picked(self.pools[k], (np.cumsum(n) - n)[kept], n[kept]), n[kept]
+        names = list(self.known)
+        self.known = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.again = np.zeros(len(kept), bool)
+
+    def ids(self, pieces: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For either tokenizer the ids of ``pieces``, one after the other, and how many each piece has."""
+        if len(self.known) > KNOWN_PIECES:
+            self._forget()
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        numbers = np.array([self.known.get(p, -1) for p in names], np.int64)
+        self.again[numbers[numbers >= 0]] = True
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            fresh = coded.dictionary.take(pa.array(new))
+            numbers[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip([names[i] for i in new.tolist()], numbers[new].tolist(), strict=True))
+            self.again = np.append(self.again, np.zeros(len(new), bool))
+            for k, encoder in enumerate(self.encoders):
+                ids, sizes = learnt(encoder, fresh)
+                self.pools[k], self.sizes[k] = np.append(self.pools[k], ids), np.append(self.sizes[k], sizes)
+        numbers = numbers[coded.indices.to_numpy()]
+        return [(picked(pool, (np.cumsum(n) - n)[numbers], n[numbers]), n[numbers]) for pool, n in zip(self.pools, self.sizes, strict=True)]
+
+
 class Aligner:
     """Both tokenizers, their entries as bytes, and the pieces that groups are written with."""
 
     def __init__(self, path_a: str, path_b: str):
         self.encoders = ByteTokens(path_a), PieceTokens(path_b)
+        self.pieces = Pieces(self.encoders)
         entries = [e.entries() for e in self.encoders]
         self.sizes = [np.array([len(x) for x in held], np.int64) for held in entries]
         self.begins = [np.cumsum(n) - n for n in self.sizes]
@@ -187,23 +247,53 @@ class Aligner:
         self.pair_type = "<u4" if len(entries[0]) * self.n_b <= 1 << 32 else "<u8"
         self.spelt = pa.array([f"{i}{mark}" for held, last in zip(entries, "|;", strict=True) for i in range(len(held)) for mark in (",", last)])
 
+    def _encode(self, spaced: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of texts that start with a space, by either tokenizer, one text after the other, and how many each text has.
+
+        Both tokenizers cut a text before a space that has no other white space near, so most texts are split once and their pieces looked up for both.
+        """
+        cut = pc.split_pattern(spaced, " ")
+        pieces, offsets = cut.flatten(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        starts, ends = (pc.match_substring_regex(pieces, x).to_numpy(zero_copy_only=False) for x in (STARTS_BLANK, ENDS_BLANK))
+        near = ends[:-1] & starts[1:]
+        near[offsets[1:-1] - 1] = False  # pieces of two texts
+        empty = pc.equal(pieces, "").to_numpy(zero_copy_only=False)
+        first = np.zeros(len(pieces), bool)
+        first[offsets[:-1]] = True
+        whole = np.zeros(len(spaced), bool)
+        whole[np.searchsorted(offsets, np.flatnonzero(np.append(near, False) | (empty & ~first)), "right") - 1] = True
+        whole |= not all(e.cuts for e in self.encoders)
+        text = np.repeat(np.arange(len(spaced)), np.diff(offsets))
+        used = ~first & ~whole[text]
+        out = []
+        for encoder, (ids, sizes) in zip(self.encoders, self.pieces.ids(pieces.filter(pa.array(used))), strict=True):
+            counts = np.bincount(text[used], sizes, len(spaced)).astype(np.int64)
+            if whole.any():
+                others = encoder.encode(spaced.filter(pa.array(whole)))
+                parts = np.split(ids, np.cumsum(counts[~whole])[:-1])
+                at = np.argsort(np.concatenate([np.flatnonzero(~whole), np.flatnonzero(whole)]))
+                every = [*parts[: int((~whole).sum())], *others]
+                ids = np.concatenate([every[k] for k in at.tolist()])
+                counts[whole] = [len(x) for x in others]
+            out.append((ids.astype(np.int64), counts))
+        return out
+
     def tokens(self, texts: pa.Array) -> tuple[Aligned, np.ndarray, list[np.ndarray]]:
         """What is aligned, which texts it holds, and where each of them ends in a and in b."""
         todo = pc.and_(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.match_substring(texts, PieceTokens.SPACE)))
         at = np.flatnonzero(pc.fill_null(todo, False).to_numpy(zero_copy_only=False))
+        none = np.zeros(0, np.int64)
+        if not len(at):
+            return Aligned(none, none, none, none), at, [none, none]
         spaced = pc.binary_join_element_wise(pa.scalar(""), texts.take(pa.array(at)), pa.scalar(" "))
         wanted = spaced.cast(pa.binary()).to_pylist()
         kept = np.ones(len(at), bool)
-        found = []
-        for encoder, sizes, begins, held in zip(self.encoders, self.sizes, self.begins, self.bytes, strict=True):
-            ids = encoder.encode(spaced) if len(at) else []
-            flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+        found = self._encode(spaced)
+        for (flat, counts), sizes, begins, held in zip(found, self.sizes, self.begins, self.bytes, strict=True):
             joined = picked(held, begins[flat], sizes[flat]).tobytes()
-            counts = np.array([len(x) for x in ids], np.int64)
             upto = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
             kept &= np.array([joined[b:e] == w for b, e, w in zip(upto, upto[1:], wanted, strict=False)], bool)
-            found.append((flat, counts))
-        flats = [flat[np.repeat(kept, counts)] for flat, counts in found]
+        flats = [flat if kept.all() else flat[np.repeat(kept, counts)] for flat, counts in found]
         return Aligned(*flats, *(n[x] for n, x in zip(self.sizes, flats, strict=True))), at[kept], [np.cumsum(counts[kept]) for _, counts in found]
 
     def spell(self, found: Aligned, ends: Sequence[int]) -> list[str]:
@@ -242,9 +332,9 @@ def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Ite
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(begin, end - begin)} | _figures(own, texts.slice(begin, end - begin)))
 
 
-def per_text(places: np.ndarray, ends: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """How many of ``places`` each text holds that ends at ``ends``, or what their weights sum to."""
-    return np.bincount(np.searchsorted(ends, places, "right"), weights, len(ends)).astype(np.int64)
+def per_text(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of ``places``, in order, are in each text, given where texts end."""
+    return np.diff(np.searchsorted(places, ends), prepend=0)
 
 
 def _figures(own: Aligner, texts: pa.Array) -> dict[str, pa.Array]:
@@ -269,7 +359,7 @@ def _figures(own: Aligner, texts: pa.Array) -> dict[str, pa.Array]:
     cuts = [0, *ends.tolist()]
     return {
         "n_a": placed(np.diff(a_ends, prepend=0)), "n_b": placed(np.diff(b_ends, prepend=0)), "n_groups": placed(links), "n_links": placed(links),
-        "n_overlaps": placed(per_text(found.overlaps[0], a_ends)), "n_shared": placed(per_text(np.arange(len(i)), ends, sizes[0] * sizes[1])),
+        "n_overlaps": placed(per_text(found.overlaps[0], a_ends)), "n_shared": placed(np.diff(np.concatenate([[0], np.cumsum(sizes[0] * sizes[1])])[ends], prepend=0)),
         "groups": placed_list(own.spell(found, ends), ""), "pairs": placed_list([pairs[b:e].tobytes() for b, e in zip(cuts, cuts[1:], strict=False)], b""),
     }
 

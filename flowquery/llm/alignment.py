@@ -34,9 +34,11 @@ from flowquery.llm.common import new_table_path
 from flowquery.llm.token_files import ENDS_BLANK, STARTS_BLANK, Encoder, picked
 
 #: Bytes of text that are aligned at once; a longer text is alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_500_000
 #: Pieces of text whose ids a worker remembers.
 KNOWN_PIECES = 300_000
+#: Pairs that are counted or looked up at once, unless one row has more.
+PAIRS_AT_ONCE = 500_000
 #: Entries that a block of a shared-group product expands to, unless one row has more.
 BLOCK_ENTRIES = 1_000_000
 
@@ -390,15 +392,20 @@ def shared_group_links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return rows.mapInArrow(lambda batches: _shared(batches, path_a, path_b), SHARED)
 
 
-def _pairs(column: pa.Array, kind: str) -> np.ndarray:
-    """All pairs of a batch; ``column`` is binary."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _pairs(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of batches with about PAIRS_AT_ONCE pairs, all their pairs, and how many each row has."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column("pairs")).to_numpy(zero_copy_only=False).astype(np.int64)) // np.dtype(kind).itemsize
+        cuts = [0, *(np.flatnonzero(np.diff(upto // PAIRS_AT_ONCE)) + 1).tolist(), len(batch)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(begin, end - begin)
+            yield part, np.frombuffer(b"".join(part.column("pairs").to_pylist()), kind), np.diff(upto, prepend=0)[begin:end]
 
 
 def _counted(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        new, n = np.unique(_pairs(batch.column("pairs"), kind), return_counts=True)
+    for _, pairs, _ in _pairs(batches, kind):
+        new, n = np.unique(pairs, return_counts=True)
         keys, of = np.unique(np.concatenate([keys, new.astype(np.int64)]), return_inverse=True)
         counts = np.bincount(of, np.concatenate([counts, n]), len(keys)).astype(np.int64)
     yield pa.RecordBatch.from_pydict({"pair": pa.array(keys), "n": pa.array(counts)})
@@ -411,18 +418,12 @@ def pair_counts(aligned: DataFrame, kind: str) -> DataFrame:
 
 def _weighed(batches: Iterator[pa.RecordBatch], model, kind: str) -> Iterator[pa.RecordBatch]:
     keys, counts, best = model.value
-    for batch in batches:
-        held = batch.column("pairs")
-        ends = np.cumsum(pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64)) // np.dtype(kind).itemsize
-        flat = _pairs(held, kind)
-        distinct, of = np.unique(flat, return_inverse=True)
-        at = np.searchsorted(keys, distinct)[of]
-        text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        sums = np.zeros((2, len(ends)), np.int64)
-        for row, values in zip(sums, (best[at].astype(np.int64), counts[at]), strict=True):
-            np.add.at(row, text, values)
-        names = [c for c in batch.schema.names if c != "pairs"]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(sums[0]), pa.array(sums[1])], [*names, "n_best", "count_sum"])
+    for part, pairs, sizes in _pairs(batches, kind):
+        at = np.searchsorted(keys, pairs.astype(keys.dtype))
+        ends = np.cumsum(sizes)
+        sums = [np.diff(np.concatenate([[0], np.cumsum(values[at], dtype=np.int64)])[ends], prepend=0) for values in (best, counts)]
+        names = [c for c in part.schema.names if c != "pairs"]
+        yield pa.RecordBatch.from_arrays([*map(part.column, names), *map(pa.array, sums)], [*names, "n_best", "count_sum"])
 
 
 def with_corpus_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:

@@ -123,6 +123,7 @@ def test_query_against_brute_force(spark, libraries, tmp_path, monkeypatch):
     extra = spark.createDataFrame([(200, "a  b   c "), (201, "a▁b"), (202, "<|endoftext|> and <s>"), (203, " " * 300 + "x"), (204, "中文 字 😀"), (204, "中文 字 😀")], "doc_id long, text string")
     docs.unionByName(extra, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
     rows = rows_of(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    monkeypatch.setattr(alignment, "PAIRS_AT_ONCE", 100)
     found = QUERIES["op11_alignment"](spark, str(tmp_path))
     assert in_order(found_rows(found)) == in_order(plain_rows(rows, libraries))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquery.llm import alignment, decontaminate, hash_forest, html_text, near_duplicates, packing, quality, secret_scan, substring_dedup, token_files, toxicity
+from flowquery.llm import alignment, decontaminate, hash_forest, html_text, near_duplicates, packing, periodic_runs, quality, secret_scan, substring_dedup, token_files, toxicity
 from flowquery.llm.common import new_table_path
 from flowquery.llm.labelled import held_out
 from flowquery.llm.oracles import ORACLE_SQL
@@ -91,6 +91,18 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.with_corpus_counts(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "n_overlaps", "n_shared", "pairs"), *paths)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_tails(table(spark, sf_dir, "documents")))
+    runs = F.col("runs")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    spelt = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    rows = found.select("*", longest.alias("longest"), F.when(F.size(runs) > 0, F.concat(spelt, F.lit("\n"))).otherwise("").alias("spelt"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.expr("(1000 * longest.length) div (-longest.period)").alias("exponent_milli"), F.sha2("spelt", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
@@ -103,4 +115,5 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
     "op11_alignment": op11_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
 }

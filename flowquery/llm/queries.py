@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquery.llm import alignment, decontaminate, hash_forest, html_text, near_duplicates, packing, periodic_runs, quality, secret_scan, substring_dedup, token_files, toxicity
+from flowquery.llm import alignment, decontaminate, hash_forest, html_text, language_id, near_duplicates, packing, periodic_runs, quality, secret_scan, substring_dedup, token_files, toxicity
 from flowquery.llm.common import new_table_path
 from flowquery.llm.labelled import held_out
 from flowquery.llm.oracles import ORACLE_SQL
@@ -103,6 +103,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
@@ -116,4 +120,5 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_alignment": op11_alignment,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_language_id": op13_language_id,
 }

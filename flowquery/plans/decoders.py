@@ -66,3 +66,21 @@ def tls_client_fingerprint(spark, sf_dir):
     record = F.unhex(F.concat(F.lit("160301"), F.lpad(F.hex((F.length(message) / 2).cast("long")), 4, "0"), message))
     found = table(spark, sf_dir, "pages").select("page_id", fingerprints.describe(record).alias("d"))
     return found.select("page_id", "d.fingerprint", F.array_join(F.col("d.extensions")[1]["values"], ",").alias("groups"))
+
+
+@query(
+    "WITH m AS (SELECT o_custkey % 5 AS exporter, o_orderkey AS seq, o_orderkey * 10 AS told, o_custkey % 65536 AS a, o_orderkey % 65536 AS b, "
+    "CASE WHEN o_orderkey % 97 < 2 THEN {'told': o_orderkey * 10, 'swapped': substr(o_orderpriority, 1, 1) IN ('1', '2'), 'withdrawn': substr(o_orderpriority, 1, 1) = '5'} END AS t FROM orders), "
+    "n AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY exporter ORDER BY seq ROWS UNBOUNDED PRECEDING) AS latest FROM m) "
+    "SELECT exporter, seq, CASE WHEN latest.swapped THEN b ELSE a END AS sp, CASE WHEN latest.swapped THEN a ELSE b END AS dp FROM n WHERE latest IS NOT NULL AND NOT latest.withdrawn AND told - latest.told <= 1800"
+)
+def export_templates_as_of(spark, sf_dir):
+    """A message an order from five exporters; now and then one brings a template, of one of two layouts or a withdrawal, and templates expire."""
+    hexed = lambda c, n: F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+    kind = F.substring("o_orderpriority", 1, 1)
+    fields = F.when(kind == "5", "01000000").when(kind.isin("1", "2"), "01000002" + "000B0002" + "00070002").otherwise("01000002" + "00070002" + "000B0002")
+    template = F.when(F.col("o_orderkey") % 97 < 2, F.concat(F.lit("0002"), hexed(F.length(fields) / 2 + 4, 2), fields)).otherwise("")
+    body = F.concat(template, F.lit("01000008"), hexed(F.col("o_custkey") % 65536, 2), hexed(F.col("o_orderkey") % 65536, 2))
+    message = F.concat(F.lit("000A"), hexed(F.length(body) / 2 + 16, 2), hexed(F.col("o_orderkey") * 10, 4), F.lit("0" * 16), body)
+    sent = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).cast("string").alias("exporter"), F.col("o_orderkey").alias("seq"), F.unhex(message).alias("payload"))
+    return exports.flow_fields(exports.decode(sent)).select(F.col("exporter").cast("long").alias("exporter"), "seq", "sp", "dp")

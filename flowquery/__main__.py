@@ -17,8 +17,6 @@ from flowquery.pipeline import FlowQuery
 from flowquery.sinks import jsonl as sink
 from flowquery.sources import jsonl
 
-CAPTURES = (".pcap", ".cap", ".dmp", ".pcapng")
-
 
 def arguments(words: Sequence[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="flowquery", description="Query network-flow files and captures.")
@@ -37,10 +35,12 @@ def arguments(words: Sequence[str]) -> argparse.Namespace:
 
 
 def load(spark: SparkSession, paths: Sequence[str], options: config.Options) -> DataFrame:
-    """Flow records of flow files, or of captures, which their names or first bytes tell."""
-    if paths[0].endswith(CAPTURES) or capture.is_capture(spark, paths[0]):
-        return capture.records(spark, paths, options)
-    return jsonl.read_typed(spark, *paths)
+    """Flow records of flow files and of captures, which each file's first bytes tell."""
+    captures, others = capture.captures_among(spark, paths)
+    if not others:
+        return capture.records(spark, captures, options)
+    flows = jsonl.read_typed(spark, *others)
+    return capture.records(spark, captures, options).unionByName(flows, allowMissingColumns=True) if captures else flows
 
 
 def query(flows: DataFrame, args: argparse.Namespace) -> DataFrame:

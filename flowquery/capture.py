@@ -14,11 +14,15 @@ from flowquery.operators import flows, joins
 from flowquery.operators.keys import FIVE
 from flowquery.sources import pcap, subnets
 
+#: How captures of the next generation begin: they are told from flow files, and refused.
+PCAPNG = b"\x0a\x0d\x0d\x0a"
 
-def is_capture(spark: SparkSession, path: str) -> bool:
-    """Whether the first file of ``path`` begins as a capture does."""
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4).alias("m")).first()
-    return first is not None and bytes(first.m) in pcap.MAGIC
+
+def captures_among(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The files that ``paths`` name, by their first bytes: captures, and others."""
+    files = [path for path, _ in pcap.found_files(spark, *paths)]
+    told = {path: pcap.first_bytes(spark, path) in (*pcap.MAGIC, PCAPNG) for path in files}
+    return [p for p in files if told[p]], [p for p in files if not told[p]]
 
 
 def records(spark: SparkSession, paths: Sequence[str], options: Options) -> DataFrame:

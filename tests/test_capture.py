@@ -43,7 +43,7 @@ SETS = [
 
 @pytest.mark.parametrize(("words", "n", "added"), SETS)
 def test_option_sets(spark, file, words, n, added):
-    assert capture.is_capture(spark, file)
+    assert capture.captures_among(spark, [file]) == (["file:" + file], [])
     plain = set(capture.records(spark, [file], config.Options()).columns)
     found = capture.records(spark, [file], config.parse(words))
     assert set(found.columns) - plain == added

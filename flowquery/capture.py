@@ -13,6 +13,7 @@ from flowquery.functions import scalar
 from flowquery.operators import flows, joins
 from flowquery.operators.keys import FIVE
 from flowquery.sources import pcap, subnets
+from flowquery.storage import written
 
 #: How captures of the next generation begin: they are told from flow files, and refused.
 PCAPNG = b"\x0a\x0d\x0d\x0a"
@@ -34,13 +35,16 @@ def from_packets(packets: DataFrame, options: Options) -> DataFrame:
     if options.bpf:
         packets = packets.where(pcap.bpf(options.bpf))
     spark, timers = packets.sparkSession, {"idle": options.idle * 1_000_000, "active": options.active * 1_000_000}
+    features = [f for f in options.features if f in registry.REGISTRY]
+    if features or options.dist or options.entropy:  # packets are put into records once for all that needs them
+        packets = written(flows.numbered(packets, both=options.bidir, **timers), "packets")
     out = flows.build(packets, both=options.bidir, count=options.num_pkts, zeros=options.zeros, **timers)
     if not options.retrans:
         out = out.drop("tcp_retrans")
     out = out.withColumns({c: F.substring(c, 1, options.idp) for c in ("idp_out",)}) if options.idp else out.drop("idp_out")
     if options.dist or options.entropy:
         out = _with_bytes(out, flows.byte_statistics(packets, options.bidir, **timers), options)
-    out = registry.attach(out, packets, [f for f in options.features if f in registry.REGISTRY])
+    out = registry.attach(out, packets, features, most=options.stream_bytes, both=options.bidir, **timers)
     for entry in options.label:
         name, _, path = entry.partition(":")
         out = _labelled(out, subnets.read(spark, path, name))

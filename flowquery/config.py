@@ -12,7 +12,7 @@ FEATURES = ("dns", "http", "tls", "ssh", "dhcp", "ike", "payload", "fpx")
 @dataclass
 class Options:
     """What ``capture.records`` is told. Unknown names and values out of range are errors; what belongs to hosts and threads, as
-    the number of workers, is Spark's to know. ``key`` is for the addresses of ``anon``, and is not echoed."""
+    the number of workers, is Spark's to know. ``stream_bytes``: of a direction's bytes, how many the features see (0: all). ``key`` is for the addresses of ``anon``, and is not echoed."""
 
     bidir: bool = False
     dist: bool = False
@@ -21,6 +21,7 @@ class Options:
     zeros: bool = False
     num_pkts: int = 50
     idp: int = 0
+    stream_bytes: int = 16_384
     idle: int = 10
     active: int = 30
     bpf: str = ""
@@ -34,6 +35,8 @@ class Options:
             raise ValueError("num_pkts is from 1 to 200")
         if self.idle <= 0 or self.active < self.idle:
             raise ValueError("idle is over 0 and not over active")
+        if self.stream_bytes < 0:
+            raise ValueError("stream_bytes is 0 or more")
         if self.idp < 0 or self.idp > 1300:
             raise ValueError("idp is from 0 to 1300")
 

@@ -20,11 +20,15 @@ def on(protocol: int, *ports: int) -> Column:
 
 @dataclass(frozen=True)
 class Feature:
-    """``applies``: a condition on the five-tuple; ``decode``: a column function of the bytes that one direction sent."""
+    """``applies``: a condition on the five-tuple; ``decode``: a column function of the bytes that one direction sent.
+
+    ``merge``: a function of both directions' pieces (arrays of at, ts_us, seq, data) and the record's start, to a struct whose fields stand beside ``out`` and ``in``.
+    """
 
     name: str
     applies: Callable[[], Column]
     decode: Callable[[Column], Column]
+    merge: Callable[[Column, Column, Column], Column] | None = None
 
 
 REGISTRY: dict[str, Feature] = {}
@@ -37,7 +41,7 @@ def register(feature: Feature) -> None:
 
 for _feature in (
     Feature("http", lambda: on(6, 80, 8080), http.parse),
-    Feature("tls", lambda: on(6, 443), tls.parse),
+    Feature("tls", lambda: on(6, 443), tls.parse, tls.timeline),
     Feature("fpx", lambda: on(6, 443), fingerprints.payload),
     Feature("dns", lambda: on(17, 53), dns.parse),
     Feature("ssh", lambda: on(6, 22), ssh.parse),
@@ -48,23 +52,30 @@ for _feature in (
     register(_feature)
 
 
-def attach(records: DataFrame, packets: DataFrame, names: Iterable[str]) -> DataFrame:
+def attach(records: DataFrame, packets: DataFrame, names: Iterable[str], most: int = flows.STREAM_BYTES, idle: int = flows.IDLE, active: int = flows.ACTIVE, both: bool = True) -> DataFrame:
     """``records`` of ``flows.build`` with, for each named feature, a struct of what either direction's bytes gave: (out, in).
 
-    Bytes are put together once for all features; a decoder runs only where its feature applies.
+    The timers and ``both`` are those of ``records``; one-way records have nothing in ``in``. Bytes (``most`` of a direction, 0: all) are put together once for all features; a decoder
+    runs only where its feature applies.
     """
     wanted = [REGISTRY[n] for n in names]
     if not wanted:
         return records
-    sent = flows.streams(packets)
-    out = sent.select(*FIVE, F.col("session").alias("time_start"), F.col("data").alias("_out"))
+    sent = flows.streams(packets, most, idle, active, both)
     back = dict(zip(FIVE, ("da", "sa", "dp", "sp", "pr"), strict=True))
-    into = sent.select(*(F.col(c).alias(back[c]) for c in FIVE), F.col("session").alias("time_start"), F.col("data").alias("_in"))
-    for side in (out, into):
-        named = side.withColumnsRenamed({c: f"_{c}" for c in (*FIVE, "time_start")})
-        keys = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*FIVE, "time_start")]
-        records = records.join(named, keys, "left").drop(*(f"_{c}" for c in (*FIVE, "time_start")))
+    for side, names_of in (("out", {c: c for c in FIVE}), ("in", back)):
+        named = sent.select(*(F.col(c).alias(f"_{names_of[c]}") for c in FIVE), F.col("session").alias("_session"), F.col("data").alias(f"_{side}"), F.col("pieces").alias(f"_{side}_pieces"))
+        if side == "in" and not both:
+            named = named.limit(0)
+        keys = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FIVE] + [F.col("time_start") == F.col("_session")]
+        records = records.join(named, keys, "left").drop(*(f"_{c}" for c in FIVE), "_session")
     for f in wanted:
-        part = lambda data, f=f: f.decode(F.when(f.applies(), F.col(data)))
-        records = records.withColumn(f.name, F.struct(part("_out").alias("out"), part("_in").alias("in")))
-    return records.drop("_out", "_in")
+        part = lambda data, f=f: F.when(f.applies(), F.col(data))
+        sides = [f.decode(part("_out")).alias("out"), f.decode(part("_in")).alias("in")]
+        if f.merge is None:
+            records = records.withColumn(f.name, F.struct(*sides))
+            continue
+        records = records.withColumns({"_merged": f.merge(part("_out_pieces"), part("_in_pieces"), F.col("time_start")), f.name: F.struct(*sides)})
+        more = [F.col(f"_merged.{n}").alias(n) for n in records.schema["_merged"].dataType.names]
+        records = records.withColumn(f.name, F.struct(F.col(f"{f.name}.out").alias("out"), F.col(f"{f.name}.in").alias("in"), *more)).drop("_merged")
+    return records.drop("_out", "_in", "_out_pieces", "_in_pieces")

@@ -17,8 +17,11 @@ def numbered(packets: DataFrame, idle: int = IDLE, active: int = ACTIVE, both: b
     """``packets`` with ``_key`` and ``session``: the flow record that each belongs to, by its start.
 
     A packet starts a new record when more than ``idle`` microseconds after the last or more than ``active`` after the
-    record's start. Idle gaps come from a window; only islands longer than ``active`` are walked.
+    record's start. Idle gaps come from a window; only islands longer than ``active`` are walked. Packets that are numbered stay as they are,
+    so what needs their records several times can number them once.
     """
+    if {"_key", "session"} <= set(packets.columns):
+        return packets
     rows = packets.withColumn("_key", canonical() if both else F.struct(*FIVE))
     w = Window.partitionBy("_key").orderBy("ts_us", "seq")
     opens = F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w) > idle).cast("int"), F.lit(1))
@@ -89,23 +92,40 @@ def build(packets: DataFrame, both: bool = True, count: int = PACKETS, zeros: bo
     return grouped.withColumn("packets", F.when(F.size("_listed") > 0, gaps).otherwise(empty)).drop("_listed", "_key", "session")
 
 
-def streams(packets: DataFrame, most: int = 16_384) -> DataFrame:
-    """(five-tuple, session, data): the first ``most`` bytes that each direction of a record sent, in order, for the protocol decoders.
+STREAM_BYTES = 16_384
 
-    Packets are put in order of sequence numbers from the first one on, over a wrap, too (of arrival without them). Of a
-    repeated one the longest counts, and the earliest of these.
+
+def pieces(packets: DataFrame, most: int = STREAM_BYTES, idle: int = IDLE, active: int = ACTIVE, both: bool = True) -> DataFrame:
+    """(five-tuple, session, at, ts_us, data): what each packet adds to the bytes that a direction of a record sent.
+
+    ``at`` is the place of its first byte from the direction's first packet on, by sequence numbers, over a wrap, too; without them
+    packets follow one another. A packet adds what no packet before it in that order has (of those at one place the longest, and the
+    earliest of these, comes first), so overlaps count once; where the next ``at`` is beyond, bytes were lost. Pieces that begin after ``most`` bytes go (0: none).
     """
     record = [*FIVE, "session"]
-    rows = numbered(packets).where(F.octet_length("payload") > 0)
-    first = F.first("tcp_seq", ignorenulls=True).over(Window.partitionBy(*record).orderBy("ts_us", "seq"))
+    size = F.octet_length("payload").cast("long")
+    rows = numbered(packets, idle, active, both).where(F.octet_length("payload") > 0)
+    arrival = Window.partitionBy(*record).orderBy("ts_us", "seq")
+    first = F.first("tcp_seq", ignorenulls=True).over(arrival)
     apart = F.pmod(F.col("tcp_seq") - first + (1 << 31), F.lit(1 << 32)) - (1 << 31)
-    rows = rows.withColumn("_at", F.coalesce(apart, F.col("ts_us")))
-    again = F.row_number().over(Window.partitionBy(*record, "_at").orderBy(F.desc(F.octet_length("payload")), "ts_us", "seq"))
-    rows = rows.withColumn("_again", again).where("_again = 1")
-    w = Window.partitionBy(*record).orderBy("_at", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum(F.octet_length("payload")).over(w), F.lit(0))).where(F.col("_before") < most)
-    parts = F.array_sort(F.collect_list(F.struct("_at", "seq", F.hex("payload").alias("h"))))
-    return rows.groupBy(*record).agg(F.substring(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")), 1, most).alias("data"))
+    earlier = F.coalesce(F.sum(size).over(arrival.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.select(*record, "ts_us", "seq", "payload", F.coalesce(apart, earlier).alias("_at"), size.alias("_size"))
+    order = Window.partitionBy(*record).orderBy("_at", F.desc("_size"), "ts_us", "seq")
+    rows = rows.withColumn("_had", F.greatest(F.coalesce(F.max(F.col("_at") + F.col("_size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_at")), F.col("_at")))
+    new = rows.where(F.col("_had") < F.col("_at") + F.col("_size")).withColumn("_new", F.col("_at") + F.col("_size") - F.col("_had"))
+    if most:
+        before = F.coalesce(F.sum("_new").over(Window.partitionBy(*record).orderBy("_had").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        new = new.withColumn("_before", before).where(F.col("_before") < most)
+    data = F.expr("substring(payload, CAST(_had - _at + 1 AS INT))")
+    return new.select(*record, F.col("_had").alias("at"), "ts_us", "seq", data.alias("data"))
+
+
+def streams(packets: DataFrame, most: int = STREAM_BYTES, idle: int = IDLE, active: int = ACTIVE, both: bool = True) -> DataFrame:
+    """(five-tuple, session, data, pieces): the first ``most`` bytes (0: all) that each direction of a record sent, in order, for the protocol decoders; ``pieces`` says when which of them came, and where bytes were lost."""
+    held = F.array_sort(F.collect_list(F.struct("at", "ts_us", "seq", "data")))
+    rows = pieces(packets, most, idle, active, both).groupBy(*FIVE, "session").agg(held.alias("pieces"))
+    whole = F.unhex(F.array_join(F.transform("pieces", lambda x: F.hex(x["data"])), ""))
+    return rows.select(*FIVE, "session", (F.substring(whole, 1, most) if most else whole).alias("data"), "pieces")
 
 
 def byte_statistics(packets: DataFrame, both: bool = True, idle: int = IDLE, active: int = ACTIVE) -> DataFrame:

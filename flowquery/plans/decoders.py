@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowquery.features import dns, fingerprints, http
+from flowquery.features import certificates, dns, fingerprints, http, registry
 from flowquery.functions import matching
+from flowquery.operators import flows as flow_records
 from flowquery.plans.catalogue import query
 from flowquery.plans.selection import FLOWS
 from flowquery.sinks import ipfix
@@ -84,3 +86,61 @@ def export_templates_as_of(spark, sf_dir):
     message = F.concat(F.lit("000A"), hexed(F.length(body) / 2 + 16, 2), hexed(F.col("o_orderkey") * 10, 4), F.lit("0" * 16), body)
     sent = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).cast("string").alias("exporter"), F.col("o_orderkey").alias("seq"), F.unhex(message).alias("payload"))
     return exports.flow_fields(exports.decode(sent)).select(F.col("exporter").cast("long").alias("exporter"), "seq", "sp", "dp")
+
+
+@query(
+    "WITH p AS (SELECT l_orderkey, l_returnflag = 'N' AS sent, l_partkey % 90 AS b, l_linenumber * 10000000 + l_partkey AS place, l_linenumber * 1000000 + (l_suppkey % 1000) * 1000 AS t FROM lineitem), "
+    "q AS (SELECT *, first_value(sent) OVER w AS f, row_number() OVER w - 1 AS k, lag(t) OVER w AS before FROM p WINDOW w AS (PARTITION BY l_orderkey ORDER BY t, place)) "
+    "SELECT l_orderkey, k, b, CASE WHEN sent = f THEN '>' ELSE '<' END AS dir, coalesce(t - before, 0) // 1000 AS ipt, 23 AS tp FROM q"
+)
+def tls_record_times(spark, sf_dir):
+    """An order is a connection, an item a packet with a record, in one direction or the other, behind a repeat of the end of the packet before it."""
+    hexed = lambda c, n: F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+    ts = F.col("l_linenumber") * 1_000_000 + (F.col("l_suppkey") % 1000) * 1000
+    sent = F.col("l_returnflag") == "N"
+    body = F.concat(F.lit("170303"), hexed(F.col("l_partkey") % 90, 2), F.repeat(F.lit("00"), (F.col("l_partkey") % 90).cast("int")))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")).alias("seq"), ts.cast("long").alias("ts_us"), sent.alias("sent"), body.alias("body"))
+    w = Window.partitionBy("l_orderkey", "sent").orderBy("ts_us", "seq")
+    again = F.coalesce(F.right(F.lag("body").over(w), F.lit(8)), F.lit(""))
+    upto = F.coalesce(F.sum(F.length("body") / 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.length(again) / 2 + 1000
+    rows = rows.withColumns({"tcp_seq": upto.cast("long"), "payload": F.unhex(F.concat(again, "body"))})
+    ends = [F.concat(F.lit("c"), "l_orderkey"), F.concat(F.lit("s"), "l_orderkey")]
+    side = lambda a, b: F.when(F.col("sent"), a).otherwise(b)
+    packets = rows.select(
+        side(*ends).alias("sa"), side(*ends[::-1]).alias("da"), side(F.lit(50_000), F.lit(443)).alias("sp"), side(F.lit(443), F.lit(50_000)).alias("dp"), F.lit(6).alias("pr"), "ts_us", "seq",
+        "tcp_seq", "payload", F.col("payload").alias("packet"), F.lit(24).alias("flags"), F.lit(64).alias("ttl"), F.lit(8192).alias("win"), F.lit(False).alias("invalid"),
+    )
+    numbered = flow_records.numbered(packets)
+    found = registry.attach(flow_records.build(numbered), numbered, ["tls"]).select(F.substring(F.col("sa"), 2, 99).cast("long").alias("l_orderkey"), F.posexplode("tls.srlt").alias("k", "r"))
+    return found.select("l_orderkey", F.col("k").cast("long").alias("k"), F.col("r.b").cast("long").alias("b"), "r.dir", "r.ipt", "r.tp")
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 1 END AS version, c_name AS subject, c_mktsegment AS issuer, CASE WHEN c_custkey % 3 = 0 THEN 'ecPublicKey' ELSE 'rsaEncryption' END AS key_algo, "
+    "CASE WHEN c_custkey % 3 = 0 THEN 256 ELSE (c_custkey % 5 + 1) * 512 END AS key_bits, CASE WHEN c_custkey % 2 = 0 THEN 'dns:c' || c_custkey || '.example' END AS names, "
+    "CASE WHEN c_custkey % 2 = 0 AND c_custkey % 7 = 0 THEN 'beef' END AS unknown FROM customer"
+)
+def x509_certificates(spark, sf_dir):
+    """A certificate a customer, written as bytes: with and without version and extensions, of two kinds of key."""
+    key = F.col("c_custkey")
+    tlv = lambda tag, *parts: F.concat(F.lit(f"{tag}82"), F.lpad(F.hex((F.length(F.concat(*parts)) / 2).cast("long")), 4, "0"), *parts)
+    text = lambda c: tlv("0C", F.hex(F.encode(c, "UTF-8")))
+    name = lambda part, c: tlv("30", tlv("31", tlv("30", F.lit("06035504" + part), text(c))))
+    signature = F.lit("300A06082A8648CE3D040302")
+    ec = tlv("30", F.lit("301306072A8648CE3D020106082A8648CE3D030107"), tlv("03", F.lit("0004" + "00" * 64)))
+    modulus = F.repeat(F.lit("C1"), ((key % 5 + 1) * 64).cast("int"))
+    rsa = tlv("30", F.lit("300D06092A864886F70D0101010500"), tlv("03", F.lit("00"), tlv("30", tlv("02", F.lit("00"), modulus), F.lit("0203010001"))))
+    alternative = tlv("30", F.lit("0603551D11"), tlv("04", tlv("30", tlv("82", F.hex(F.encode(F.concat(F.lit("c"), key, F.lit(".example")), "UTF-8"))))))
+    own = F.when(key % 7 == 0, "300906032A03040402BEEF").otherwise("")
+    modern = lambda c: F.when(key % 2 == 0, c).otherwise("")
+    body = tlv(
+        "30", modern(F.lit("A003020102")), F.lit("02020099"), signature, name("0A", F.col("c_mktsegment")), F.lit("301E170D3230303130313030303030305A170D3330303130313030303030305A"), name("03", F.col("c_name")),
+        F.when(key % 3 == 0, ec).otherwise(rsa), modern(tlv("A3", tlv("30", alternative, own))),
+    )
+    whole = tlv("30", body, signature, F.lit("030900" + "00" * 8))
+    c = table(spark, sf_dir, "customer").select("c_custkey", certificates.parse(F.unhex(whole)).alias("c"))
+    told = lambda name: F.get(F.filter("c.extensions", lambda e: F.coalesce(e["name"], F.lit("")) == name), F.lit(0))["value"]
+    return c.select(
+        "c_custkey", F.col("c.version").alias("version"), F.col("c.subject")[0]["value"].alias("subject"), F.col("c.issuer")[0]["value"].alias("issuer"), F.col("c.key_algo").alias("key_algo"),
+        F.col("c.signature_key_size").alias("key_bits"), told("subjectAltName").alias("names"), told("").alias("unknown"),
+    )

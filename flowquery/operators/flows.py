@@ -44,10 +44,13 @@ def retransmissions(packets: DataFrame, back: int = 10) -> DataFrame:
 
 
 def build(packets: DataFrame, both: bool = True, count: int = PACKETS, zeros: bool = False, idle: int = IDLE, active: int = ACTIVE) -> DataFrame:
-    """Flow records from decoded packets: key, counters both ways, times, the first ``count`` packets, TCP and payload fields.
+    """Flow records from decoded packets: key, counters both ways, times, the first ``count`` packets, TCP and payload fields, how they ended.
 
-    The side that sent the SYN, else the first packet, is the source. ``zeros``: packets without data are listed, too.
+    The side that sent the SYN, else the first packet, is the source. ``zeros``: packets without data are listed, too. ``expire_type``:
+    "a" if a packet that came in time was cut off by the record's age, else "i". ``syn_opts_*``: the TCP options of a side's first SYN.
     """
+    if "opts" not in packets.columns:
+        packets = packets.withColumn("opts", F.lit(None).cast("binary"))
     rows = retransmissions(numbered(packets, idle, active, both)).withColumn("size", F.octet_length("payload").cast("long"))
     order = F.struct("ts_us", "seq")
     src = F.struct(F.col("sa").alias("a"), F.col("sp").alias("p"))
@@ -78,6 +81,7 @@ def build(packets: DataFrame, both: bool = True, count: int = PACKETS, zeros: bo
         F.count_if("retransmitted").alias("tcp_retrans"), F.bool_or("invalid").alias("invalid"),
         F.min_by(F.when(out, F.col("win")), F.when(out & F.col("flags").isin(2, 18), order)).alias("first_window_out"),
         F.min_by("tcp_seq", F.when(out & F.col("flags").isin(2, 18), order)).alias("first_seq"),
+        F.min_by("opts", F.when(out & F.col("flags").isin(2, 18), order)).alias("syn_opts_out"), F.min_by("opts", F.when(back & F.col("flags").isin(2, 18), order)).alias("syn_opts_in"),
         F.min_by(F.substring("packet", 1, 1300), F.when(out, first)).alias("idp_out"), F.min_by(F.substring("payload", 1, 32), F.when(out, first)).alias("payload_out"),
         F.min_by(F.substring("payload", 1, 32), F.when(back, first)).alias("payload_in"), listed.alias("_listed"),
     )
@@ -89,7 +93,9 @@ def build(packets: DataFrame, both: bool = True, count: int = PACKETS, zeros: bo
         ),
     )
     empty = F.array().cast("array<struct<b:bigint,dir:string,ipt:bigint>>")
-    return grouped.withColumn("packets", F.when(F.size("_listed") > 0, gaps).otherwise(empty)).drop("_listed", "_key", "session")
+    following = F.lead("time_start").over(Window.partitionBy("_key").orderBy("session"))
+    ended = F.when(following - F.col("time_end") <= idle, "a").otherwise("i")
+    return grouped.withColumns({"packets": F.when(F.size("_listed") > 0, gaps).otherwise(empty), "expire_type": ended}).drop("_listed", "_key", "session")
 
 
 STREAM_BYTES = 16_384

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquery import capture, config
+from flowquery import capture, config, extend
 from flowquery.pipeline import FlowQuery
 from flowquery.sinks import jsonl as sink
 from flowquery.sources import jsonl
@@ -23,6 +23,9 @@ def arguments(words: Sequence[str]) -> argparse.Namespace:
     p.add_argument("input", nargs="+", help="flow files (JSON lines, plain, .gz or .bz2) or captures")
     p.add_argument("--option", action="append", default=[], help="key=value of a capture (bidir=1, tls=1, bpf=...)")
     p.add_argument("--where", help="a predicate, as tcp=*,dp~80")
+    p.add_argument("--extension", action="append", default=[], help="a Python file that registers predicates, processors or features")
+    p.add_argument("--keep", action="append", default=[], help="a registered predicate, as name or name:text")
+    p.add_argument("--process", action="append", default=[], help="a registered processor")
     p.add_argument("--stitch", action="store_true", help="join both directions of a conversation")
     p.add_argument("--select", help="a template of the fields to keep")
     p.add_argument("--normalize", help="a template of the fields to blank")
@@ -48,6 +51,7 @@ def query(flows: DataFrame, args: argparse.Namespace) -> DataFrame:
     for name in ("where", "select", "normalize"):
         if value := getattr(args, name):
             q = getattr(q, name)(value)
+    q = q.keep(*args.keep).process(*args.process)
     q = q.stitch() if args.stitch else q
     q = q.groupby(*args.groupby.split(",")) if args.groupby else q
     q = q.dist() if args.dist else q
@@ -56,6 +60,8 @@ def query(flows: DataFrame, args: argparse.Namespace) -> DataFrame:
 
 def main(words: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = arguments(sys.argv[1:] if words is None else words)
+    for path in args.extension:
+        extend.load(path)
     spark = spark or SparkSession.builder.appName("flowquery").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     found = query(load(spark, args.input, config.parse(args.option)), args)
     if args.output:

@@ -23,12 +23,14 @@ class Feature:
     """``applies``: a condition on the five-tuple; ``decode``: a column function of the bytes that one direction sent.
 
     ``merge``: a function of both directions' pieces (arrays of at, ts_us, seq, data) and the record's start, to a struct whose fields stand beside ``out`` and ``in``.
+    ``relate``: the same of what was decoded from both directions.
     """
 
     name: str
     applies: Callable[[], Column]
     decode: Callable[[Column], Column]
     merge: Callable[[Column, Column, Column], Column] | None = None
+    relate: Callable[[Column, Column], Column] | None = None
 
 
 REGISTRY: dict[str, Feature] = {}
@@ -46,7 +48,7 @@ for _feature in (
     Feature("dns", lambda: on(17, 53), dns.parse),
     Feature("ssh", lambda: on(6, 22), ssh.parse),
     Feature("dhcp", lambda: on(17, 67, 68), dhcp.parse),
-    Feature("ike", lambda: on(17, 500, 4500), ike.parse),
+    Feature("ike", lambda: on(17, 500, 4500), ike.parse_all, relate=lambda a, b: F.struct(ike.agreed(a, b).alias("agreed"))),
     Feature("payload", lambda: F.lit(True), lambda data: F.lower(F.hex(F.substring(data, 1, 32)))),
 ):
     register(_feature)
@@ -72,10 +74,12 @@ def attach(records: DataFrame, packets: DataFrame, names: Iterable[str], most: i
     for f in wanted:
         part = lambda data, f=f: F.when(f.applies(), F.col(data))
         sides = [f.decode(part("_out")).alias("out"), f.decode(part("_in")).alias("in")]
-        if f.merge is None:
-            records = records.withColumn(f.name, F.struct(*sides))
-            continue
-        records = records.withColumns({"_merged": f.merge(part("_out_pieces"), part("_in_pieces"), F.col("time_start")), f.name: F.struct(*sides)})
-        more = [F.col(f"_merged.{n}").alias(n) for n in records.schema["_merged"].dataType.names]
-        records = records.withColumn(f.name, F.struct(F.col(f"{f.name}.out").alias("out"), F.col(f"{f.name}.in").alias("in"), *more)).drop("_merged")
+        records = records.withColumn(f.name, F.struct(*sides))
+        decoded = [F.col(f"{f.name}.{side}") for side in ("out", "in")]
+        beside = {"_merged": f.merge and f.merge(part("_out_pieces"), part("_in_pieces"), F.col("time_start")), "_related": f.relate and f.relate(*decoded)}
+        beside = {name: found for name, found in beside.items() if found is not None}
+        if beside:
+            records = records.withColumns(beside)
+            more = [F.col(f"{name}.{n}").alias(n) for name in beside for n in records.schema[name].dataType.names]
+            records = records.withColumn(f.name, F.struct(decoded[0].alias("out"), decoded[1].alias("in"), *more)).drop(*beside)
     return records.drop("_out", "_in", "_out_pieces", "_in_pieces")

@@ -1,4 +1,4 @@
-"""The query builder: where, stitch, select, normalize, group, then distribution or sum, in that order."""
+"""The query builder: where, own predicates, stitch, own processors, select, normalize, group, then distribution or sum, in that order."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 
 from flowquery import compile as c
+from flowquery import extend
 from flowquery.operators import aggregates, projection, stitch
 from flowquery.path import Item, parse_template
 
@@ -17,7 +18,9 @@ class FlowQuery:
 
     flows: DataFrame
     predicate: str | None = None
+    kept: tuple[str, ...] = ()
     stitched: bool = False
+    processed: tuple[str, ...] = ()
     selected: tuple[Item, ...] | None = None
     nulled: tuple[Item, ...] | None = None
     groups: tuple[str, ...] = ()
@@ -27,9 +30,17 @@ class FlowQuery:
     def where(self, text: str) -> FlowQuery:
         return replace(self, predicate=text)
 
+    def keep(self, *names: str) -> FlowQuery:
+        """Rows for which the user's predicates of these names (``extend.predicate``) hold."""
+        return replace(self, kept=self.kept + names)
+
     def stitch(self) -> FlowQuery:
         return replace(self, stitched=True)
 
+    def process(self, *names: str) -> FlowQuery:
+        """Rows made by the user's processors of these names (``extend.processor``)."""
+        return replace(self, processed=self.processed + names)
+
     def select(self, text: str) -> FlowQuery:
         return replace(self, selected=parse_template(text))
 
@@ -49,8 +60,10 @@ class FlowQuery:
         df = self.flows
         if self.predicate:
             df = df.where(c.where(df.schema, self.predicate))
+        df = extend.keep(df, self.kept)
         if self.stitched:
             df = stitch.stitch(df)
+        df = extend.process(df, self.processed)
         if self.selected:
             df = projection.select(df, self.selected)
         if self.nulled:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowquery.features import certificates, dns, fingerprints, http, registry
+from flowquery.features import certificates, dns, fingerprints, http, ike, registry
 from flowquery.functions import matching
 from flowquery.operators import flows as flow_records
 from flowquery.plans.catalogue import query
@@ -144,3 +144,29 @@ def x509_certificates(spark, sf_dir):
         "c_custkey", F.col("c.version").alias("version"), F.col("c.subject")[0]["value"].alias("subject"), F.col("c.issuer")[0]["value"].alias("issuer"), F.col("c.key_algo").alias("key_algo"),
         F.col("c.signature_key_size").alias("key_bits"), told("subjectAltName").alias("names"), told("").alias("unknown"),
     )
+
+
+@query(
+    "SELECT p_partkey, p_size % 3 < 2 AND p_partkey % 2 = 0 AS agreed, CASE p_size % 3 WHEN 0 THEN 128 WHEN 1 THEN 256 ELSE 192 END AS key_length, "
+    "CASE WHEN p_partkey % 2 = 0 THEN 'hmac_sha2_256' ELSE 'hmac_sha2_384' END AS prf FROM part"
+)
+def ike_agreement(spark, sf_dir):
+    """Two messages a part: what the responder chose is, or is not, among what the initiator offered."""
+    hexed = lambda c, n: F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+    size = F.col("p_size") % 3
+    key = F.when(size == 0, 128).when(size == 1, 256).otherwise(192)
+    prf = F.when(F.col("p_partkey") % 2 == 0, 5).otherwise(6)
+    one = lambda more, kind, ident, key=None: F.concat(F.lit(f"{more:02X}00" + ("0008" if key is None else "000C") + f"{kind:02X}00"), hexed(ident, 2), F.lit("") if key is None else F.concat(F.lit("800E"), hexed(key, 2)))
+    tail = [one(3, 3, F.lit(12)), one(0, 4, F.lit(14))]
+    offered = [one(3, 1, F.lit(12), F.lit(128)), one(3, 1, F.lit(12), F.lit(256)), one(3, 2, F.lit(5)), *tail]
+    chosen = [one(3, 1, F.lit(12), key), one(3, 2, prf), *tail]
+
+    def sent(transforms: list, flags: str):
+        held = F.concat(*transforms)
+        proposal = F.concat(F.lit("0000"), hexed(F.length(held) / 2 + 8, 2), F.lit(f"010100{len(transforms):02X}"), held)
+        body = F.concat(F.lit("0000"), hexed(F.length(proposal) / 2 + 4, 2), proposal)
+        return ike.parse_all(F.unhex(F.concat(F.lit("A1"), hexed(F.col("p_partkey"), 7), F.lit("A2"), hexed(F.col("p_partkey"), 7), F.lit(f"212022{flags}00000000"), hexed(F.length(body) / 2 + 28, 4), body)))
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", sent(offered, "08").alias("a"), sent(chosen, "20").alias("b"))
+    found = rows.select("p_partkey", ike.agreed(F.col("a"), F.col("b")).alias("agreed"), ike.last_association(F.col("b"))["proposals"][0]["transforms"].alias("t"))
+    return found.select("p_partkey", "agreed", F.col("t")[0]["key_length"].alias("key_length"), F.col("t")[1]["id_name"].alias("prf"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from flowquery import capture, config, extend
 from flowquery.pipeline import FlowQuery
+from flowquery.sinks import anonymous
 from flowquery.sinks import jsonl as sink
-from flowquery.sources import jsonl
+from flowquery.sources import jsonl, subnets
 
 
 def arguments(words: Sequence[str]) -> argparse.Namespace:
@@ -32,6 +33,9 @@ def arguments(words: Sequence[str]) -> argparse.Namespace:
     p.add_argument("--groupby", default="", help="fields, comma-separated")
     p.add_argument("--dist", action="store_true", help="distinct rows with their counts")
     p.add_argument("--sum", default="", help="fields to sum, comma-separated")
+    p.add_argument("--anon-leaves", default="sa,da", help="keys whose addresses are coded, with --anon-nets")
+    p.add_argument("--anon-nets", help="a subnet list: addresses inside are written as codes, at any depth")
+    p.add_argument("--anon-key", default="", help="16, 24 or 32 characters")
     p.add_argument("--pretty", action="store_true")
     p.add_argument("--output", help="a folder for the result; else it is printed")
     return p.parse_args(words)
@@ -64,10 +68,15 @@ def main(words: Sequence[str] | None = None, spark: SparkSession | None = None)
         extend.load(path)
     spark = spark or SparkSession.builder.appName("flowquery").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     found = query(load(spark, args.input, config.parse(args.option)), args)
+    coded = None
+    if args.anon_nets:
+        code = anonymous.address_code(subnets.read(spark, args.anon_nets), args.anon_key)
+        coded = lambda lines: anonymous.rewrite(lines, args.anon_leaves.split(","), code)
     if args.output:
-        sink.write(found, args.output)
+        sink.write(found, args.output, change=coded)
     else:
-        for row in sink.lines(_readable(found), args.pretty).toLocalIterator():  # a partition at a time
+        lines = sink.lines(_readable(found), args.pretty)
+        for row in (coded(lines) if coded else lines).toLocalIterator():  # a partition at a time
             print(row.value)
     return 0
 

@@ -10,7 +10,7 @@ from flowquery.functions import matching
 from flowquery.operators import flows as flow_records
 from flowquery.plans.catalogue import query
 from flowquery.plans.selection import FLOWS
-from flowquery.sinks import ipfix
+from flowquery.sinks import anonymous, ipfix
 from flowquery.sources import exports
 from flowquery.sources.flow_view import flows, table
 
@@ -170,3 +170,21 @@ def ike_agreement(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", sent(offered, "08").alias("a"), sent(chosen, "20").alias("b"))
     found = rows.select("p_partkey", ike.agreed(F.col("a"), F.col("b")).alias("agreed"), ike.last_association(F.col("b"))["proposals"][0]["transforms"].alias("t"))
     return found.select("p_partkey", "agreed", F.col("t")[0]["key_length"].alias("key_length"), F.col("t")[1]["id_name"].alias("prf"))
+
+
+HOSTS = "'10.' || (user_id // 65536) || '.' || (user_id // 256 % 256) || '.' || (user_id % 256)"
+
+
+@query(
+    f"SELECT event_id, '{{\"id\":' || event_id || ', \"sa\" : \"' || CASE WHEN user_id % 256 < 128 THEN '#' ELSE {HOSTS} END || '\",\"more\":[{{\"note\":\"' || {HOSTS} || '\",\"da\":[\"' || "
+    f"CASE WHEN user_id % 256 < 128 THEN '#' ELSE {HOSTS} END || '\",\"x\"]}}],\"kind\":\"' || event_type || '\"}}' AS line FROM events"
+)
+def anonymous_records(spark, sf_dir):
+    """Records whose addresses in the lower half of each last octet are coded at two depths; a code is shown as one mark."""
+    host = F.concat_ws(".", F.lit("10"), F.floor(F.col("user_id") / 65536), F.floor(F.col("user_id") / 256) % 256, F.col("user_id") % 256)
+    line = F.format_string('{"id":%d, "sa" : "%s","more":[{"note":"%s","da":["%s","x"]}],"kind":"%s"}', "event_id", host, host, host, "event_type")
+    rows = table(spark, sf_dir, "events").select("event_id", line.alias("line"))
+    high = table(spark, sf_dir, "events").agg(F.max("user_id").alias("m")).select(F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / 256))).alias("n"))
+    nets = high.select(F.concat_ws(".", F.lit("10"), F.floor(F.col("n") / 256), F.col("n") % 256, F.lit("0/25")).alias("cidr"))
+    coded = anonymous.rewrite(rows, ["sa", "da"], anonymous.address_code(nets, "0123456789abcdef"), "line")
+    return coded.select("event_id", F.regexp_replace("line", '"[0-9a-f]{32}"', '"#"').alias("line"))

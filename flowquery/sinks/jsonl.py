@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ def lines(df: DataFrame, pretty: bool = False) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"} if pretty else {}).alias("value"))
 
 
-def write(df: DataFrame, path: str, compression: str = "gzip", most_records: int | None = None, mode: str = "errorifexists") -> None:
-    """One file a task, a new one after ``most_records``."""
-    writer = lines(df).write.mode(mode).option("compression", compression)
+def write(df: DataFrame, path: str, compression: str = "gzip", most_records: int | None = None, mode: str = "errorifexists", change: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """One file a task, a new one after ``most_records``. ``change``: of the lines before they are written, as ``anonymous.rewrite``."""
+    out = lines(df)
+    writer = (change(out) if change else out).write.mode(mode).option("compression", compression)
     (writer.option("maxRecordsPerFile", most_records) if most_records else writer).text(path)
 
 

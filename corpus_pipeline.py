@@ -34,7 +34,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by the secrets' kinds."""
-    found = secret_scan.find_secrets(docs).withColumn("text", secret_scan.redact(F.col("text"), F.col("spans"))).drop("spans")
+    own = docs.withColumnRenamed("spans", "__own_spans")  # the caller's, if there is one
+    found = secret_scan.find_secrets(own).withColumn("text", secret_scan.redact(F.col("text"), F.col("spans"))).drop("spans").withColumnRenamed("__own_spans", "spans")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)

@@ -193,6 +193,20 @@ def let(value: Column, then) -> Column:
 
 
 def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """An index to keep: ``postings``, and a row without shard for each trigram that it covers, found in a text or not."""
+    grams = sorted({g for r in rules for c in r.clauses() for g in c})
+    covered = docs.sparkSession.createDataFrame([(g,) for g in grams], "gram string")
+    own = postings(docs, rules)
+    return own.union(covered.select(F.lit(None).cast(own.schema["shard"].dataType).alias("shard"), "gram", F.array().cast(own.schema["postings"].dataType).alias("postings")))
+
+
+def served(rule: Rule, grams: set[str]) -> list:
+    """The rule's clauses as far as an index of ``grams`` can answer them; none if one of them cannot be narrowed at all."""
+    left = [[g for g in clause if g in grams] for clause in rule.clauses()]
+    return left if all(left) else []
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(shard, gram, postings): the documents of a shard whose folded text holds ``gram``, for every trigram of the rules' queries."""
     grams = sorted({g for r in rules for c in r.clauses() for g in c})
     shards = max(1, math.ceil(docs.count() / SHARD_DOCS))
@@ -202,10 +216,10 @@ def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     return rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "gram").agg(F.collect_set("doc_id").alias("postings"))
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, kinds): the rules whose trigram query a document satisfies."""
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES, clauses_of: dict[str, list] | None = None) -> DataFrame:
+    """(doc_id, kinds): the rules whose trigram query a document satisfies. ``clauses_of``: a rule's clauses by kind, if not its own."""
     spark = index.sparkSession
-    asked = [(r.kind, n, g, len(c)) for r in rules for n, c in enumerate(r.clauses()) for g in c]
+    asked = [(r.kind, n, g, len(c)) for r in rules for n, c in enumerate(r.clauses() if clauses_of is None else clauses_of[r.kind]) for g in c]
     clauses = spark.createDataFrame(asked, "kind string, clause int, gram string, grams int")
     lists = index.join(F.broadcast(clauses), "gram").groupBy("shard", "kind", "clause", "grams").agg(F.collect_list("postings").alias("lists"))
     met = F.reduce(F.slice("lists", 2, F.size("lists")), F.element_at("lists", 1), F.array_intersect)
@@ -260,17 +274,22 @@ def scan_filter(rule: Rule) -> str:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``spans``: by start, then by the order of ``rules``. A null text becomes an empty one.
 
-    ``index``: a ``trigram_index`` of the same documents, for rules that hold these; without it one is made.
+    ``index``: a ``trigram_index`` of the same documents, made for any rules; without it one is made. Trigrams that it does not cover are
+    not asked, and a rule of which nothing can be asked is looked for in every text.
     """
     docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).drop("spans")
-    index = trigram_index(docs, rules) if index is None else index
-    cands = materialize(candidates(index, rules), "secret_candidates")
+    if index is None:
+        index, clauses_of = postings(docs, rules), {r.kind: r.clauses() for r in rules}
+    else:  # what an index covers are the trigrams of some rules
+        grams = {r["gram"] for r in index.where("shard IS NULL").select("gram").distinct().collect()}
+        clauses_of = {r.kind: served(r, grams) for r in rules}
+    cands = materialize(candidates(index, rules, clauses_of), "secret_candidates")
     small = cands.count() <= BROADCAST_ROWS
     cands = cands.select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
     text = F.col("text")
     found = []
     for rule in rules:
-        indexed = bool(rule.clauses())
+        indexed = bool(clauses_of[rule.kind])
         if indexed:
             may = F.col("doc_id").isNull() | F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
         else:

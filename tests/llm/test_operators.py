@@ -160,6 +160,19 @@ def test_an_index_serves_further_rules(spark):
     assert rows(index=index) == rows()
 
 
+def test_an_index_of_other_rules_loses_nothing(spark):
+    rows = [*SECRETS, (900, "zzqq_12345678 here"), (901, "nothing"), (902, "zzqq_87654321 password = abcdefgh1"), (903, "yyqq-12345678")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    own = secret_scan.Rule("own", "zzqq_[0-9]{8}", 0, 8)
+    either = secret_scan.Rule("either", "(zzqq_|yyqq-)[0-9]{8}", 0, 8)
+    found = lambda rules, **kept: sorted(str(r) for r in secret_scan.find_secrets(table, rules, **kept).collect())
+    foreign, empty = secret_scan.trigram_index(table), secret_scan.trigram_index(table.where("doc_id = 901"))
+    for rules in ((own,), (either, own), (*secret_scan.RULES, own)):
+        assert found(rules, index=foreign) == found(rules)
+    assert "zzqq" not in str(secret_scan.served(own, set())) and sum("kind='own'" in x for x in found((own,), index=foreign)) == 2
+    assert secret_scan.find_secrets(table.where("doc_id = 901"), index=empty).first().spans == []
+
+
 def test_secrets_in_a_very_long_text(spark):
     text = ("plain words here " * 20_000 + "token=abcdefgh%d ") * 3 % (1, 2, 3)
     [row] = secret_scan.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()

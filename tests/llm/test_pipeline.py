@@ -6,6 +6,9 @@ import corpus_pipeline
 import pytest
 from flowquery.llm import near_duplicates, packing, quality, secret_scan, token_files
 from flowquery.llm.queries import QUERIES, table, tokenizer_path
+from pyspark.sql import functions as F
+
+from tests.llm.texts import documents
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +31,20 @@ def test_stages_keep_the_columns(stages, spark, sf_dir):
     assert [out.columns == columns for _, out in stages.values()] == [True] * 4 + [False]
 
 
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_any_rows(spark, sf_dir, stage):
+    docs = documents(spark).withColumn("n_chars", F.char_length("text").cast("long"))
+    out = stage(spark, docs, sf_dir)
+    rows, after = docs.collect(), out.collect()
+    if "doc_ids" in out.columns:
+        assert sum(out.select(F.explode("pieces").alias("p")).where("p = 0").groupBy().count().first()) == len(rows)
+    else:
+        assert out.columns == docs.columns and {r.doc_id for r in after} <= {r.doc_id for r in rows}
+        assert {(r.spans, r.fp, r.score) for r in after} <= {("s", 3, 2.0)}
+    empty = stage(spark, docs.limit(0), sf_dir)
+    assert empty.columns == out.columns and empty.collect() == []
+
+
 def test_quality(stages, spark, sf_dir):
     before, after = stages["quality"]
     score = quality.scorer(before, table(spark, sf_dir, "labels"))

@@ -6,6 +6,9 @@ broadcast by decree.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,17 +155,26 @@ def candidates(queries: DataFrame, database: DataFrame, n: int = 25) -> DataFram
     return best_ranked(similarities(queries, database), n)
 
 
+def subsequence_length(a: Sequence, b: Sequence) -> int:
+    """The length of the longest common subsequence, a row of the table of lengths at a time: bit ``i`` of ``steps`` is 0 where the row rises at ``a[i]``."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = steps = (1 << len(a)) - 1
+    for x in b:
+        met = steps & places.get(x, 0)
+        steps = (steps + met | steps - met) & whole
+    return len(a) - steps.bit_count()
+
+
 def common_subsequence(a: Column, b: Column) -> Column:
-    """The length of the longest common subsequence of two arrays, row by row of the table of lengths."""
+    """The length of the longest common subsequence of two arrays, in Arrow batches; null if either is null. Equal arrays need none."""
 
-    def row(before: Column, x: Column) -> Column:
-        return F.reduce(
-            F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)),
-            lambda now, j: F.concat(now, F.array(F.greatest(before[j], now[j - 1], before[j - 1] + F.when(b[j - 1] == x, 1).otherwise(0)))),
-        )
+    @F.pandas_udf("int")
+    def length(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else subsequence_length(list(x), list(y)) for x, y in zip(xs, ys, strict=True)], dtype="Int32")
 
-    start = F.array_repeat(F.lit(0), F.size(b) + 1)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.reduce(a, start, row), -1))
+    return F.when(a == b, F.size(a)).otherwise(length(F.when(a != b, a), F.when(a != b, b)))
 
 
 def fingerprint_features(rows: DataFrame, key: str, parts: Column) -> DataFrame:

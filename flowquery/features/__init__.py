@@ -14,23 +14,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def decoder(parse: Callable[[bytes], object], schema: str) -> Callable[[Column], Column]:
-    """A column function from a parser of one payload; failures and nulls give null."""
+def decoder(parse: Callable[..., object], schema: str) -> Callable[..., Column]:
+    """A column function from a parser of one payload, or of several side by side; failures give null, and nulls alone do."""
 
-    def one(payload: bytes | None):
-        if payload is None:
+    def one(*payloads: bytes | None):
+        if all(x is None for x in payloads):
             return None
         try:
-            return parse(payload)
+            return parse(*payloads)
         except (IndexError, ValueError, UnicodeError):
             return None
 
-    def column(payload: Column) -> Column:
+    def column(*payloads: Column) -> Column:
         @F.pandas_udf(StructType.fromDDL(f"v {schema}"))
-        def batch(payloads: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame({"v": [one(x) for x in payloads]}, dtype=object)
+        def batch(*columns: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame({"v": [one(*x) for x in zip(*columns, strict=True)]}, dtype=object)
 
-        return batch(payload)["v"]
+        return batch(*payloads)["v"]
 
     return column
 

@@ -23,7 +23,7 @@ class Feature:
     """``applies``: a condition on the five-tuple; ``decode``: a column function of the bytes that one direction sent.
 
     ``merge``: a function of both directions' pieces (arrays of at, ts_us, seq, data) and the record's start, to a struct whose fields stand beside ``out`` and ``in``.
-    ``relate``: the same of what was decoded from both directions.
+    ``relate``: the same of what was decoded from both directions. ``pair``: the same of the bytes that both sent.
     """
 
     name: str
@@ -31,6 +31,7 @@ class Feature:
     decode: Callable[[Column], Column]
     merge: Callable[[Column, Column, Column], Column] | None = None
     relate: Callable[[Column, Column], Column] | None = None
+    pair: Callable[[Column, Column], Column] | None = None
 
 
 REGISTRY: dict[str, Feature] = {}
@@ -46,7 +47,7 @@ for _feature in (
     Feature("tls", lambda: on(6, 443), tls.parse, tls.timeline),
     Feature("fpx", lambda: on(6, 443), fingerprints.payload),
     Feature("dns", lambda: on(17, 53), dns.parse),
-    Feature("ssh", lambda: on(6, 22), ssh.parse),
+    Feature("ssh", lambda: on(6, 22), ssh.parse, pair=lambda a, b: F.struct(ssh.parse_exchange(a, b).alias("exchange"))),
     Feature("dhcp", lambda: on(17, 67, 68), dhcp.parse),
     Feature("ike", lambda: on(17, 500, 4500), ike.parse_all, relate=lambda a, b: F.struct(ike.agreed(a, b).alias("agreed"))),
     Feature("payload", lambda: F.lit(True), lambda data: F.lower(F.hex(F.substring(data, 1, 32)))),
@@ -76,7 +77,7 @@ def attach(records: DataFrame, packets: DataFrame, names: Iterable[str], most: i
         sides = [f.decode(part("_out")).alias("out"), f.decode(part("_in")).alias("in")]
         records = records.withColumn(f.name, F.struct(*sides))
         decoded = [F.col(f"{f.name}.{side}") for side in ("out", "in")]
-        beside = {"_merged": f.merge and f.merge(part("_out_pieces"), part("_in_pieces"), F.col("time_start")), "_related": f.relate and f.relate(*decoded)}
+        beside = {"_merged": f.merge and f.merge(part("_out_pieces"), part("_in_pieces"), F.col("time_start")), "_related": f.relate and f.relate(*decoded), "_paired": f.pair and f.pair(part("_out"), part("_in"))}
         beside = {name: found for name, found in beside.items() if found is not None}
         if beside:
             records = records.withColumns(beside)

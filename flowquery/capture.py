@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from flowquery.config import Options
 from flowquery.features import registry
 from flowquery.functions import scalar
+from flowquery.ml import features as vectors
 from flowquery.operators import flows, joins
 from flowquery.operators.keys import FIVE
+from flowquery.sinks import model
 from flowquery.sources import pcap, subnets
 from flowquery.storage import written
 
@@ -43,7 +45,11 @@ def from_packets(packets: DataFrame, options: Options) -> DataFrame:
         out = out.drop("tcp_retrans")
     out = out.withColumns({c: F.substring(c, 1, options.idp) for c in ("idp_out",)}) if options.idp else out.drop("idp_out")
     if options.dist or options.entropy:
-        out = _with_bytes(out, flows.byte_statistics(packets, options.bidir, **timers), options)
+        found = flows.byte_statistics(packets, options.bidir, **timers)
+        counted = out if not (options.model and options.dist) else _with_counts(out, found)
+        out = _with_bytes(counted, found, options)
+    if options.model:
+        out = _scored(out, model.read(spark, options.model), model.read(spark, options.model_bytes) if options.model_bytes else None)
     out = registry.attach(out, packets, features, most=options.stream_bytes, both=options.bidir, **timers)
     for entry in options.label:
         name, _, path = entry.partition(":")
@@ -61,6 +67,27 @@ def _with_bytes(out: DataFrame, found: DataFrame, options: Options) -> DataFrame
     return out.join(named, keys, "left").drop("_session", *(f"_{c}" for c in FIVE))
 
 
+def _with_counts(out: DataFrame, found: DataFrame) -> DataFrame:
+    """``_counts``: the 256 counters of both directions' bytes."""
+    none = F.array_repeat(F.lit(0).cast("long"), 256)
+    back = dict(zip(FIVE, ("da", "sa", "dp", "sp", "pr"), strict=True))
+    for side, names in (("_own", {c: c for c in FIVE}), ("_other", back)):
+        named = found.select(*(F.col(c).alias(f"_{names[c]}") for c in FIVE), F.col("session").alias("_session"), F.col("byte_dist").alias(side))
+        keys = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FIVE] + [F.col("time_start") == F.col("_session")]
+        keys += [F.col("bytes_in").isNotNull()] if side == "_other" else []  # a one-way record has no other side
+        out = out.join(named, keys, "left").drop("_session", *(f"_{c}" for c in FIVE))
+    return out.withColumn("_counts", F.zip_with(F.coalesce("_own", none), F.coalesce("_other", none), lambda a, b: a + b)).drop("_own", "_other")
+
+
+def _scored(out: DataFrame, plain: list[float], with_bytes: list[float] | None) -> DataFrame:
+    """``p_malware``, by the weights for byte shares where there are counters and enough bytes."""
+    v = vectors.flow_vector(*(F.col(c) for c in ("packets", "dp", "sp", "num_pkts_in", "num_pkts_out", "bytes_in", "bytes_out")))
+    if "_counts" not in out.columns:
+        return out.withColumn("p_malware", vectors.p_malware(v, F.lit(None), plain))
+    shares = vectors.byte_shares(F.col("_counts"), F.col("bytes_in"), F.col("bytes_out"))
+    return out.withColumn("p_malware", vectors.p_malware(v, shares, plain, with_bytes)).drop("_counts")
+
+
 def _labelled(out: DataFrame, nets: DataFrame) -> DataFrame:
     """``sa_labels`` and ``da_labels``: the labels of the networks that hold an address."""
     nets = joins.subnets(nets)

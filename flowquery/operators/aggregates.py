@@ -85,7 +85,11 @@ def byte_histogram(df: DataFrame, groups: Sequence[str], text: str, most: int |
 
     Bytes are counted value by value, so at most 256 rows a value are summed, map-side first.
     """
-    data = F.encode(text, "UTF-8") if most is None else F.substring(F.encode(text, "UTF-8"), 1, most)
+    return byte_histogram_of(df, groups, F.encode(text, "UTF-8") if most is None else F.substring(F.encode(text, "UTF-8"), 1, most))
+
+
+def byte_histogram_of(df: DataFrame, groups: Sequence[str], data: Column) -> DataFrame:
+    """(groups, byte, n) of binary ``data``."""
     cells = df.select(*groups, F.explode(bytewise.counts(data)).alias("c"))
     return cells.groupBy(*groups, F.col("c.byte").alias("byte")).agg(F.sum("c.n").alias("n"))
 

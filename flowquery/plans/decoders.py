@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowquery.features import certificates, dns, fingerprints, http, ike, registry
+from flowquery.features import certificates, dns, fingerprints, http, ike, registry, ssh
 from flowquery.functions import matching
 from flowquery.operators import flows as flow_records
 from flowquery.plans.catalogue import query
@@ -188,3 +188,34 @@ def anonymous_records(spark, sf_dir):
     nets = high.select(F.concat_ws(".", F.lit("10"), F.floor(F.col("n") / 256), F.col("n") % 256, F.lit("0/25")).alias("cidr"))
     coded = anonymous.rewrite(rows, ["sa", "da"], anonymous.address_code(nets, "0123456789abcdef"), "line")
     return coded.select("event_id", F.regexp_replace("line", '"[0-9a-f]{32}"', '"#"').alias("line"))
+
+
+METHODS = {0: "curve25519-sha256", 1: "diffie-hellman-group14-sha256", 2: "diffie-hellman-group-exchange-sha256"}
+
+
+@query(
+    "SELECT c_custkey, ['curve', 'group', 'group_exchange'][c_custkey % 3 + 1] AS family, lower(hex(c_name)) AS c_kex, lower(hex(c_mktsegment)) AS s_kex, "
+    "CASE WHEN c_custkey % 3 = 2 THEN lower(hex(reverse(c_name))) END AS gex_p, CASE WHEN c_custkey % 3 = 2 THEN c_custkey END AS gex_bits, 'own-key' AS s_hostkey_type, sha256('\\x00\\x00\\x00\\x07own-key'::BLOB) AS digest FROM customer"
+)
+def ssh_exchange(spark, sf_dir):
+    """Both sides of key exchanges by three families of methods, written out as bytes; message 31 is a host key's in two and a group's in the third."""
+    quoted = lambda x: F.concat(F.lpad(F.hex((F.length(x) / 2).cast("long")), 8, "0"), x)  # noqa: E731  of hex digits
+    hexed = lambda c: F.hex(F.encode(F.col(c), "UTF-8"))
+    fixed = lambda t: quoted(F.lit(t.encode().hex()))
+
+    def packet(kind: int, *parts):
+        body = F.concat(F.lit(f"{kind:02X}"), *parts)
+        return F.concat(F.lpad(F.hex((F.length(body) / 2 + 5).cast("long")), 8, "0"), F.lit("04"), body, F.lit("00" * 4))
+
+    pick = F.col("c_custkey") % 3
+    gex = pick == 2
+    method = F.when(pick == 0, fixed(METHODS[0])).when(pick == 1, fixed(METHODS[1])).otherwise(fixed(METHODS[2]))
+    both = fixed(",".join(METHODS.values()))
+    hello = lambda names: F.concat(F.lit(b"SSH-2.0-x\r\n".hex()), packet(20, F.lit("00" * 16), names, fixed("own-key"), *[fixed("none")] * 6, *[fixed("")] * 2, F.lit("00" * 5)))
+    host, signature = quoted(fixed("own-key")), quoted(F.concat(fixed("own-key"), fixed("signed")))
+    reply = (host, quoted(hexed("c_mktsegment")), signature)
+    asked = packet(34, *[F.lpad(F.hex("c_custkey"), 8, "0")] * 3)
+    client = F.concat(hello(method), F.when(gex, F.concat(asked, packet(32, quoted(hexed("c_name"))))).otherwise(packet(30, quoted(hexed("c_name")))), packet(21))
+    server = F.concat(hello(both), F.when(gex, F.concat(packet(31, quoted(F.hex(F.encode(F.reverse("c_name"), "UTF-8"))), fixed("g")), packet(33, *reply))).otherwise(packet(31, *reply)), packet(21))
+    x = table(spark, sf_dir, "customer").select("c_custkey", ssh.parse_exchange(F.unhex(client), F.unhex(server)).alias("x"))
+    return x.select("c_custkey", "x.family", "x.c_kex", "x.s_kex", "x.gex_p", F.col("x.gex_bits").cast("long").alias("gex_bits"), "x.s_hostkey_type", F.col("x.s_hostkey_sha256").alias("digest"))

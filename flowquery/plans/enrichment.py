@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowquery.functions import policy, scalar
-from flowquery.operators import joins, stitch
+from flowquery.operators import joins, lookups, stitch
 from flowquery.plans.catalogue import query, r6
 from flowquery.plans.selection import FLOWS
 from flowquery.sources import fingerprints, subnets
@@ -368,3 +368,22 @@ def algorithm_negotiation(spark, sf_dir):
     side = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", (F.char_length("text") % 10).alias("a"))))), lambda x: x["a"])
     lists = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(side("user").alias("c"), side("assistant").alias("s"))
     return lists.select("conv_id", scalar.negotiated(F.col("c"), F.col("s")).alias("algorithm"))
+
+
+@query(
+    "SELECT l_orderkey, array_to_string(list(coalesce(s_name, CAST(l_suppkey AS VARCHAR)) ORDER BY l_linenumber, l_suppkey), ',') AS names "
+    "FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_suppkey % 3 <> 0 GROUP BY l_orderkey"
+)
+def list_names(spark, sf_dir):
+    """Lists of codes by a dimension that lacks a third of them."""
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"])
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lists.alias("codes"))
+    names = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"))
+    return lookups.named_lists(orders, "codes", names).select("l_orderkey", F.array_join("names", ",").alias("names"))
+
+
+@query(FLOWS + "SELECT seq, coalesce(n_name, CAST(pr AS VARCHAR)) AS protocol FROM flows LEFT JOIN nation ON pr = n_nationkey AND n_nationkey <> 17")
+def protocol_names(spark, sf_dir):
+    """Numbers by a dimension that lacks one of them."""
+    names = table(spark, sf_dir, "nation").where("n_nationkey <> 17").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))
+    return lookups.named(flows(spark, sf_dir), F.col("pr"), names, "protocol").select("seq", "protocol")

@@ -11,7 +11,7 @@ from flowquery.config import Options
 from flowquery.features import registry
 from flowquery.functions import scalar
 from flowquery.ml import features as vectors
-from flowquery.operators import flows, joins
+from flowquery.operators import flows, joins, lookups
 from flowquery.operators.keys import FIVE
 from flowquery.sinks import model
 from flowquery.sources import pcap, subnets
@@ -51,6 +51,8 @@ def from_packets(packets: DataFrame, options: Options) -> DataFrame:
     if options.model:
         out = _scored(out, model.read(spark, options.model), model.read(spark, options.model_bytes) if options.model_bytes else None)
     out = registry.attach(out, packets, features, most=options.stream_bytes, both=options.bidir, **timers)
+    if options.protocols:
+        out = lookups.named(out, F.col("pr"), lookups.read_names(spark, options.protocols), "protocol")
     for entry in options.label:
         name, _, path = entry.partition(":")
         out = _labelled(out, subnets.read(spark, path, name))

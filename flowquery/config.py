@@ -12,7 +12,7 @@ FEATURES = ("dns", "http", "tls", "ssh", "dhcp", "ike", "payload", "fpx")
 @dataclass
 class Options:
     """What ``capture.records`` is told. Unknown names and values out of range are errors; what belongs to hosts and threads, as
-    the number of workers, is Spark's to know. ``stream_bytes``: of a direction's bytes, how many the features see (0: all). ``model``: a file of 208 weights, a number a line, that scores records; ``model_bytes``: one of 464, used with ``dist`` where over 100 bytes were seen. ``key`` is for the addresses of ``anon``, and is not echoed."""
+    the number of workers, is Spark's to know. ``stream_bytes``: of a direction's bytes, how many the features see (0: all). ``model``: a file of 208 weights, a number a line, that scores records; ``model_bytes``: one of 464, used with ``dist`` where over 100 bytes were seen. ``protocols``: a file of numbers and names, that names the protocol. ``key`` is for the addresses of ``anon``, and is not echoed."""
 
     bidir: bool = False
     dist: bool = False
@@ -27,6 +27,7 @@ class Options:
     bpf: str = ""
     model: str = ""
     model_bytes: str = ""
+    protocols: str = ""
     anon: str = ""
     key: str = ""
     label: list[str] = field(default_factory=list)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTRY = "str_repr string, total_count long, process_info array<struct<process:string,count:long,prevalence:double>>"
@@ -40,6 +40,22 @@ def report(flows: DataFrame, fingerprint: str, database: DataFrame) -> DataFrame
     return found.select(F.col("str_repr").alias("fingerprint"), "flows", F.coalesce(F.try_element_at("p", F.lit(1))["process"], F.lit("Unknown")).alias("process"), F.try_element_at("p", F.lit(1))["prevalence"].alias("prevalence"))
 
 
+def captured(records: DataFrame, feature: str = "fpx") -> DataFrame:
+    """A row for each side of a record that ``feature`` (a struct of out, in) has a fingerprint of: source_addr, dest_addr, source_port, dest_port, protocol, timestamp (of the record's start, in UTC), fingerprint.
+
+    The source is the side that sent it. Records with none give no row.
+    """
+
+    def side(name: str, *ends: str) -> Column:
+        named = zip(("source_addr", "dest_addr", "source_port", "dest_port"), ends, strict=True)
+        return F.struct(*(F.col(c).alias(n) for n, c in named), F.col(f"{feature}.{name}").alias("fingerprint"))
+
+    both = records.select(F.explode(F.array(side("out", "sa", "da", "sp", "dp"), side("in", "da", "sa", "dp", "sp"))).alias("_s"), "pr", "time_start").where("_s.fingerprint IS NOT NULL")
+    protocol = F.when(F.col("pr") == 6, "TCP").when(F.col("pr") == 17, "UDP").otherwise(F.col("pr").cast("string"))
+    at = F.date_format(F.to_utc_timestamp(F.timestamp_micros("time_start"), F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return both.select("_s.source_addr", "_s.dest_addr", "_s.source_port", "_s.dest_port", protocol.alias("protocol"), at.alias("timestamp"), "_s.fingerprint")
+
+
 def lookup(fingerprint: str, database: DataFrame) -> DataFrame:
     """The entry of one fingerprint; the filter reaches the files."""
     return database.where(F.col("str_repr") == fingerprint)

@@ -82,3 +82,5 @@ def test_captures_are_scored(spark, tmp_path):
     assert scores("bidir=1", "dist=1") == pytest.approx({"10.0.0.1": high, "1.1.1.1": low})
     assert scores("bidir=1") == pytest.approx({"10.0.0.1": low, "1.1.1.1": low})
     assert scores("dist=1") == pytest.approx({"10.0.0.1": low, "10.0.0.2": low, "1.1.1.1": low})
+    (tmp_path / "numbers").write_text("17\tUDP\n")
+    assert {r.protocol for r in capture.from_packets(df, config.parse([f"protocols={tmp_path}/numbers"])).collect()} == {"UDP"}

@@ -110,16 +110,18 @@ def id_width(tokenizer_path: str, end_id: int = 0) -> int:
 
 def _pack_group(rows: pd.DataFrame, capacities: Sequence[int], width: int) -> pd.DataFrame:
     rows = rows.sort_values(["length", "doc_id", "digest", "piece"], ascending=[False, True, True, True], kind="stable", na_position="first").reset_index(drop=True)
-    bins, caps = pack(rows["length"].tolist(), capacities)
+    lengths = rows["length"].tolist()
+    bins, caps = pack(lengths, capacities)
     ids = [None if pd.isna(d) else int(d) for d in rows["doc_id"]]
+    numbers, starts, payloads = rows["piece"].tolist(), rows["start"].tolist(), rows["ids"].tolist()
     held: list[list[int]] = [[] for _ in caps]
     for i, b in enumerate(bins):
         held[b].append(i)
     out = []
     for b, inside in enumerate(held):
-        lengths = rows["length"].iloc[inside].tolist()
-        payload = pack_bits(np.concatenate([unpack_bits(x, width, 0, n) for x, n in zip(rows["ids"].iloc[inside], lengths, strict=True)]), width)
-        out.append((f"{rows['grp'].iloc[0]}:{b}", caps[b], sum(lengths), [ids[i] for i in inside], rows["piece"].iloc[inside].tolist(), rows["start"].iloc[inside].tolist(), lengths, width, payload))
+        sizes = [lengths[i] for i in inside]
+        payload = pack_bits(np.concatenate([unpack_bits(payloads[i], width, 0, lengths[i]) for i in inside]), width)
+        out.append((f"{rows['grp'].iloc[0]}:{b}", caps[b], sum(sizes), [ids[i] for i in inside], [numbers[i] for i in inside], [starts[i] for i in inside], sizes, width, payload))
     return pd.DataFrame(out, columns=[c.split()[0] for c in SEQUENCES.split(", ")])
 
 
@@ -138,8 +140,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
 def placements(sequences: DataFrame) -> DataFrame:
     """(doc_id, piece, start, length, bin_id, bin_offset, capacity, bin_crc32) of each piece, from the sequences; ``bin_crc32``: of its sequence's payload."""
     before = F.aggregate(F.slice("lengths", 1, F.col("at")), F.lit(0), lambda a, x: a + x)
-    rows = sequences.select("*", F.posexplode("lengths").alias("at", "length"))
+    whole = sequences.select("bin_id", "capacity", "doc_ids", "pieces", "starts", "lengths", F.crc32("payload").alias("bin_crc32"))  # once a sequence, not a piece
+    rows = whole.select("*", F.posexplode("lengths").alias("at", "length"))
     return rows.select(
         F.get("doc_ids", "at").alias("doc_id"), F.get("pieces", "at").alias("piece"), F.get("starts", "at").alias("start"), "length",
-        "bin_id", before.alias("bin_offset"), "capacity", F.crc32("payload").alias("bin_crc32"),
+        "bin_id", before.alias("bin_offset"), "capacity", "bin_crc32",
     )

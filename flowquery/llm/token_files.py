@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,13 @@ SPACE = r"[\t-\r \x1c-\x1f\x{85}\p{Z}]"
 STARTS_BLANK, ENDS_BLANK = f"^(?:$|{SPACE})", f"(?:^|{SPACE})$"
 #: Pieces that are encoded in one call of the library, and that a worker remembers; beyond them it keeps those that it met in several slices.
 PIECES_A_CALL, KNOWN_PIECES = 20_000, 400_000
+#: Pieces of characters that are letters, digits or marks in every version of Unicode, line ends between them allowed.
+PLAIN = r"^[!-~\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17e}]+(?:\n+[!-~\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17e}]+)*$"
+#: How byte-level vocabularies spell bytes: printable ones as themselves, the others, in order, from U+0100 on.
+SPELT = np.arange(256, dtype="<u4")
+SPELT[[*range(0x21), *range(0x7F, 0xA1), 0xAD]] = np.arange(0x100, 0x144)
+#: What a byte-level tokenizer's pattern finds in such pieces, each behind a space, as they are spelt: U+0120 is a space, U+010A a line end.
+PARTS = re.compile("'(?:[stmd]|re|ve|ll)|\u0120?[^!-@\\[-`{-~\u0120\u010a]+|\u0120?[0-9]+|\u0120?[!-/:-@\\[-`{-~]+|\u010a+(?=\u010a)|\u010a")
 #: Bytes of text that are encoded at once; a longer text is alone.
 SLICE_BYTES = 3_000_000
 
@@ -101,24 +109,31 @@ class Encoder:
     A byte-level tokenizer splits texts by a fixed pattern before it merges, and that pattern
     always splits before a space between other characters. So texts are cut there, in Arrow; the
     distinct pieces are joined by spaces and encoded, and as no token but a piece's first one starts with a
-    space, the ids fall apart into pieces again. A text with a space amid other white space is cut only
+    space, the ids fall apart into pieces again. Pieces of characters whose kind is beyond doubt are spelt and
+    split here as the pattern does it, many at once, which leaves the library its merges. A text with a space amid other white space is cut only
     where no blank is near; texts with special tokens go to the library whole, and so do all texts of
     tokenizers of other kinds.
     """
 
     #: Where a text may be cut for certain.
     CUT = re.compile(r"(?<=\S) (?=\S)")
+    #: The library's merges, of parts that are spelt and split already, where the pattern is known.
+    merges = None
 
     def __init__(self, path: str):
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec.get("normalizer") is None
         self.special = [x["content"] for x in spec.get("added_tokens", ())]
+        if self.cuts:
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how such vocabularies spell a space
@@ -131,6 +146,10 @@ class Encoder:
 
     def _learn(self, pieces: pa.Array) -> None:
         """Add the ids of ``pieces``, each behind a space, to the pool."""
+        if self.merges:
+            plain = pc.match_substring_regex(pieces, PLAIN)
+            self._learn_plain(pieces.filter(plain))
+            pieces = pieces.filter(pc.invert(plain))
         blank = pc.match_substring_regex(pieces, f"^$|^{SPACE}|{SPACE}$| ").to_numpy(zero_copy_only=False)
         for at in range(0, len(pieces), PIECES_A_CALL):
             some, odd = pieces.slice(at, PIECES_A_CALL), blank[at : at + PIECES_A_CALL]
@@ -147,6 +166,17 @@ class Encoder:
                 found = self._each([" " + p for p in others.to_pylist()])
                 self._remember(others, found, np.array([len(x) for x in found]))
 
+    def _learn_plain(self, pieces: pa.Array) -> None:
+        """The same of pieces that match PLAIN."""
+        for at in range(0, len(pieces), PIECES_A_CALL):
+            some = pieces.slice(at, PIECES_A_CALL)
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py()
+            spelt = SPELT[np.frombuffer(f" {joined}".encode(), np.uint8)].tobytes().decode("utf-32-le")
+            [found] = self.merges.encode_batch_fast([" ".join(PARTS.findall(spelt))], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            first = np.flatnonzero(self.spaced[ids])
+            self._remember(some, [ids], np.diff(first, append=len(ids)))
+
     def _remember(self, pieces: pa.Array, ids: list[np.ndarray], sizes: np.ndarray) -> None:
         known = len(self.known)
         self.known.update(zip(pieces.to_numpy(zero_copy_only=False).tolist(), range(known, known + len(pieces)), strict=True))
@@ -170,7 +200,7 @@ class Encoder:
         if len(self.known) > KNOWN_PIECES:
             self._forget()
         names = pieces.to_numpy(zero_copy_only=False).tolist()
-        numbers = np.array([self.known.get(p, -1) for p in names], np.int64)
+        numbers = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(numbers < 0)
         self.again[numbers[numbers >= 0]] = True
         if len(new):
@@ -185,7 +215,10 @@ class Encoder:
         """The ids of texts that are cut into ``pieces``, or which texts are cut where they may not be."""
         coded = pieces.dictionary_encode()
         codes = coded.indices.to_numpy()
-        starts, ends = (pc.match_substring_regex(coded.dictionary, x).to_numpy(zero_copy_only=False) for x in (STARTS_BLANK, ENDS_BLANK))
+        starts, ends = np.zeros((2, len(coded.dictionary)), bool)
+        edge = np.flatnonzero(pc.match_substring_regex(coded.dictionary, f"^$|^{SPACE}|{SPACE}$").to_numpy(zero_copy_only=False))  # few
+        for flags, x in ((starts, STARTS_BLANK), (ends, ENDS_BLANK)):
+            flags[edge] = pc.match_substring_regex(coded.dictionary.take(pa.array(edge)), x).to_numpy(zero_copy_only=False)
         near = ends[codes[:-1]] & starts[codes[1:]]
         near[offsets[1:-1] - 1] = False  # pieces of two texts
         if near.any():

@@ -60,6 +60,32 @@ def test_pieces_forgotten_and_long_texts_encode_alike(monkeypatch):
         assert [x.tolist() for x in own.encode(pa.array(texts))] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+PLAIN_TEXT = st.text(st.sampled_from("ab' std!mvelr.\n9-_^`@[{~ÀÖ×Øö÷øžſéÃĠĊ"), max_size=40)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PLAIN_TEXT, max_size=8))
+def test_plain_pieces_split_as_the_pattern_does(texts):
+    own = token_files.encoder(BPE)
+    assert [x.tolist() for x in own.encode(pa.array(texts, pa.string()))] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_plain_pieces_need_the_merges_alone(monkeypatch):
+    own, seen, each = token_files.Encoder(BPE), [], token_files.Encoder._each
+    monkeypatch.setattr(token_files.Encoder, "_each", lambda self, texts: seen.extend(texts) or each(self, texts))
+    text = "The end.\nAnd it's naïve, 12.5%% of words'll do\n\n\nŽižek's x² 中 ok"
+    assert own.encode(pa.array([text]))[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == sorted(["The", " x² 中"])  # a text's first piece, and pieces of other characters
+
+
+def test_a_sequence_is_summed_up_before_its_pieces_are_rows(spark, docs):
+    found = packing.placements(packing.pack_documents(docs, BPE))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("crc32(payload")  # parents come first
+    sums = {r.bin_id: zlib.crc32(r.payload) for r in packing.pack_documents(docs, BPE).collect()}
+    assert {r.bin_id: r.bin_crc32 for r in found.collect()} == sums
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 13, 16, 17, 20, 31, 32])
 def test_packing_bits_round_trip(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1000, dtype=np.uint64).astype("<u4")

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowquery.llm.common import materialize
@@ -97,15 +97,21 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: in
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, most: int = max(CAPACITIES)) -> DataFrame:
-    """The token ids of each text in pieces of ``most`` at most. ``copy`` tells equal rows of a batch apart."""
-    width = id_width(tokenizer_path, end_id)
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, most: int = max(CAPACITIES)) -> DataFrame:
+    """The token ids of each text, packed in ``width`` bits, in pieces of ``most`` at most. ``copy`` tells equal rows of a batch apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda batches: _pieces(batches, tokenizer_path, end_id, width, most), PIECES)
 
 
-def id_width(tokenizer_path: str, end_id: int = 0) -> int:
-    return bits_for(max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1))
+def id_width(spark: SparkSession, tokenizer_path: str, end_id: int = 0) -> int:
+    """The bits of an id. A task asks the tokenizer: the driver loads none."""
+    sizes = spark.range(0, 1, 1, 1).mapInArrow(lambda batches: _vocabulary_sizes(batches, tokenizer_path), "size long")
+    return bits_for(max(sizes.first()["size"], end_id + 1))
+
+
+def _vocabulary_sizes(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([encoder(path).tokenizer.get_vocab_size()] * len(batch), pa.int64())], ["size"])
 
 
 def _pack_group(rows: pd.DataFrame, capacities: Sequence[int], width: int) -> pd.DataFrame:
@@ -130,8 +136,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
 
     ``starts``: each piece's first token in its document. What is shuffled are the packed ids.
     """
-    width = id_width(tokenizer_path, end_id)
-    cut = materialize(pieces(docs, tokenizer_path, end_id, max(capacities)), "pieces")
+    width = id_width(docs.sparkSession, tokenizer_path, end_id)
+    cut = materialize(pieces(docs, tokenizer_path, end_id, width, max(capacities)), "pieces")
     groups = max(1, math.ceil((cut.agg(F.sum("length")).first()[0] or 0) / GROUP_TOKENS))
     cut = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "digest", "copy", "piece"), F.lit(groups)).cast("int"))
     return cut.groupBy("grp").applyInPandas(lambda x: _pack_group(x, capacities, width), SEQUENCES)

@@ -18,13 +18,15 @@ label, terms and shares; repeated rows each give their row; other columns are ig
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import pairwise
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -36,6 +38,8 @@ LABELLED = 2_048
 RANK = 48
 NEIGHBOURS, SHARPNESS = 15, 4
 SEED = 3
+#: Columns of a product over all terms that are made at once.
+BLOCK = 32
 
 #: Bytes as letters (also all beyond ASCII), capitals, digits, blanks, line ends or themselves.
 SHAPES = bytes(
@@ -85,14 +89,23 @@ def bin_of(name: str, share: float) -> bytes:
 
 @dataclass
 class Neighbours:
-    """What is broadcast: the terms' numbers (a dictionary for each kind) and projections, and the labelled vectors."""
+    """What is broadcast: the terms in order (as ``_named``) with their projections, and the labelled vectors."""
 
-    index: list[dict]
+    terms: pa.BinaryArray
     project: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
 
+    @cached_property
+    def index(self) -> list[dict]:
+        """The terms' numbers, a dictionary for each kind. It is made where texts are scored: the driver never holds it."""
+        found: list[dict] = [{}, {}, {}, {}]
+        for i, t in enumerate(self.terms.to_pylist()):
+            kind, value = int(t[:1]), t[2:]
+            found[kind][tuple(value.split(b" ")) if kind == 2 else value] = i
+        return found
+
     @property
     def prior(self) -> float:
         return float(self.labels @ self.weights / self.weights.sum()) if len(self.labels) else 0.5
@@ -142,8 +155,9 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": batch["label"], "share": batch["share"], "terms": [list(map(_named, f)) for f in found], "shares": [list(f.values()) for f in found]})
 
 
-def _coded(batches: Iterator[pd.DataFrame], numbers: dict[bytes, int]) -> Iterator[pd.DataFrame]:
+def _coded(batches: Iterator[pd.DataFrame], known_terms: pa.BinaryArray) -> Iterator[pd.DataFrame]:
     """Each row's known terms as packed numbers, rising, and their shares."""
+    numbers = {t: i for i, t in enumerate(known_terms.to_pylist())}
     for batch in batches:
         at, shares = [], []
         for terms_, values in zip(batch["terms"], batch["shares"], strict=True):
@@ -154,41 +168,51 @@ def _coded(batches: Iterator[pd.DataFrame], numbers: dict[bytes, int]) -> Iterat
 
 
 def fit(labelled: DataFrame) -> Neighbours:
-    """From (text, label, share). Terms are counted in Spark; those that two rows hold, and 2 * LABELLED rows at most of packed numbers, come to the driver."""
+    """From (text, label, share). Terms are counted in Spark; those that two rows hold, and 2 * LABELLED rows at most of packed numbers, come to the driver.
+
+    There terms and rows stay Arrow buffers, and products over all terms are made ``BLOCK`` columns at a time; only the projections are whole.
+    """
     rows = labelled.select(F.col("text").cast("binary").alias("text"), "label", "share").mapInPandas(_terms, "label int, share double, terms array<binary>, shares array<double>")
     rows = materialize(rows, "labelled_terms")
     common = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n > 1")
     found = common.toArrow().sort_by("term")
-    numbers = {t: i for i, t in enumerate(found["term"].to_pylist())}
-    shared = labelled.sparkSession.sparkContext.broadcast(numbers)
+    known, held_by = whole(found["term"]), found["n"].to_numpy()
+    shared = labelled.sparkSession.sparkContext.broadcast(known)
     packed = rows.mapInPandas(lambda batches: _coded(batches, shared.value), "label int, share double, at binary, shares binary").toArrow()
+    shared.destroy()
     packed = packed.sort_by([(c, "ascending") for c in ("label", "at", "shares", "share")])
-    rarity = np.log(1 + len(packed) / found["n"].to_numpy()).astype(np.float32)
-    x = Sparse([(np.frombuffer(at, "<i4"), np.frombuffer(v, "<f8")) for at, v in zip(packed["at"].to_pylist(), packed["shares"].to_pylist(), strict=True)], rarity)
+    rarity = np.log(1 + len(packed) / held_by).astype(np.float32)
+    labels, weights = packed["label"].to_numpy().astype(float), packed["share"].to_numpy()
+    x = Sparse(cells(packed["at"], "<i4"), cells(packed["shares"], "<f8"), rarity)
     # A randomised range finder on the side of the rows, then the small decomposition.
     basis = np.random.default_rng(SEED).standard_normal((len(packed), min(RANK + 16, len(packed)))).astype(np.float32)
     for _ in range(4):
-        basis, _ = np.linalg.qr(x.times(x.transposed_times(basis)))
-    spread = x.transposed_times(basis)
-    values, turned = np.linalg.eigh((spread.T @ spread).astype(float))
+        basis, _ = np.linalg.qr(x.squared_times(basis))
+    values, turned = np.linalg.eigh((basis.T @ x.squared_times(basis)).astype(float))
     best = np.argsort(-values)[:RANK]
-    project = spread @ (turned[:, best] / np.sqrt(np.maximum(values[best], 1e-12))).astype(np.float32)
+    project = x.transposed_times(basis @ (turned[:, best] / np.sqrt(np.maximum(values[best], 1e-12))).astype(np.float32))
     vectors = x.times(project).astype(float)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     project *= rarity[:, None]
-    index: list[dict] = [{}, {}, {}, {}]
-    for t, i in numbers.items():
-        kind, value = int(t[:1]), t[2:]
-        index[kind][tuple(value.split(b" ")) if kind == 2 else value] = i
-    return Neighbours(index, project, vectors, packed["label"].to_numpy().astype(float), packed["share"].to_numpy())
+    return Neighbours(known, project, vectors, labels, weights)
+
+
+def whole(column: pa.ChunkedArray) -> pa.Array:
+    """A column as one array."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def cells(column: pa.ChunkedArray, kind: str) -> Iterator[np.ndarray]:
+    """Each row's packed numbers."""
+    return (np.frombuffer(x.as_buffer(), kind) for x in column)
 
 
 class Sparse:
     """The labelled rows' terms: roots of shares times rarity."""
 
-    def __init__(self, held: list[tuple[np.ndarray, np.ndarray]], rarity: np.ndarray):
+    def __init__(self, terms_: Iterable[np.ndarray], shares: Iterable[np.ndarray], rarity: np.ndarray):
         self.width = len(rarity)
-        self.rows = [(at, (np.sqrt(v) * rarity[at]).astype(np.float32)) for at, v in held]
+        self.rows = [(at, (np.sqrt(v) * rarity[at]).astype(np.float32)) for at, v in zip(terms_, shares, strict=True)]
 
     def times(self, y: np.ndarray) -> np.ndarray:
         return np.stack([v @ y[at] for at, v in self.rows]) if self.rows else np.zeros((0, y.shape[1]), np.float32)
@@ -199,6 +223,11 @@ class Sparse:
             out[at] += v[:, None] * own  # a row holds each term once
         return out
 
+    def squared_times(self, y: np.ndarray) -> np.ndarray:
+        """The product of these rows, their transpose and ``y``, BLOCK columns of ``y`` at a time."""
+        blocks = [self.times(self.transposed_times(y[:, at : at + BLOCK])) for at in range(0, y.shape[1], BLOCK)]
+        return np.hstack(blocks) if blocks else np.zeros(y.shape, np.float32)
+
 
 def scorer(docs: DataFrame, labels: DataFrame) -> Column:
     """A column function of ``text``: the score of each text, by what ``labels`` (doc_id, quality) teach about ``docs``."""

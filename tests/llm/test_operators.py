@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -629,6 +630,23 @@ def test_quality_is_a_plain_vote_of_neighbours(spark):
     assert found[0] < 0.5 < found[1] and found[-4] == found[-3]
 
 
+def test_quality_fit_holds_little_in_the_driver(spark):
+    rows = [(" ".join(f"w{k % 12_000}" for k in range(i * 600, i * 600 + 1_200)), i % 2, 1.0) for i in range(80)]
+    labelled = spark.createDataFrame(rows, "text string, label int, share double")
+    tracemalloc.start()
+    model = quality.fit(labelled)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(model.terms) > 12_000 and "index" not in vars(model)  # no dictionary of terms
+    assert peak < 2.2 * model.project.nbytes
+
+
+def test_packing_loads_no_tokenizer_in_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    monkeypatch.setattr(packing, "encoder", None)  # of this process; tasks have their own
+    assert {r.width for r in packing.pack_documents(docs, BPE).collect()} == {16}
+
+
 def test_quality_terms_are_whole():
     long, many = b"x1" * 500, b" ".join(b"w%d" % i for i in range(5_000))
     assert (0, long) in quality.terms(long) and sum(k == 0 for k, _ in quality.terms(many)) == 5_000

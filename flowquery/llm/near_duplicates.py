@@ -98,7 +98,8 @@ def links(fps: DataFrame) -> DataFrame:
     once = (second != 0) | (way % BITS == 0)
     for k in range(BOXES - 1):
         once = once & ((box <= k) | ~viable(F.lit(k)))
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= TAU) & viable(box) & once).select("a", "b")
+    # 64 rows a fingerprint, which Spark's estimate of an explode does not count: without the hint it may broadcast them.
+    return a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= TAU) & viable(box) & once).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -367,6 +367,11 @@ def test_all_links_are_found_once(spark):
     assert sorted(tuple(r) for r in near_duplicates.links(spark.createDataFrame([(x,) for x in ordered], "fp long")).collect()) == expected
 
 
+def test_keys_of_a_small_table_are_not_broadcast(spark):
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))  # 8 kB to Spark, 64 rows each to the join
+    assert "BroadcastHashJoin" not in near_duplicates.links(fps)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(201, 200)]
     found = dict(tuple(r) for r in near_duplicates.components(spark.createDataFrame(edges, "a long, b long")).collect())

@@ -142,9 +142,11 @@ def prevalence(df: DataFrame, key: str, process: str) -> DataFrame:
 def client_rollup(df: DataFrame, client: str, key: str, weights: DataFrame, process: str, unknown: float = 0.1) -> DataFrame:
     """(client, process, weight): shares of processes over a client's distinct keys, the processes of a key by prevalence.
 
-    ``weights``: (key, process, prevalence). A key without any counts ``unknown`` for "Unknown".
+    ``weights``: (key, process, prevalence). A key without any counts ``unknown`` for "Unknown". Where all of a client's prevalences
+    are zero (of very many processes each rounds to it), their shares are 0 / 0, NaN.
     """
     seen = df.select(client, key).distinct().join(weights, key, "left")
     named = seen.select(client, F.coalesce(process, F.lit("Unknown")).alias(process), F.coalesce("prevalence", F.lit(unknown)).alias("p"))
     summed = named.groupBy(client, process).agg(F.sum("p").alias("p"))
-    return summed.select(client, process, (F.col("p") / F.sum("p").over(Window.partitionBy(client))).alias("weight"))
+    total = F.sum("p").over(Window.partitionBy(client))
+    return summed.select(client, process, F.when(total == 0, F.lit(float("nan"))).otherwise(F.col("p") / total).alias("weight"))

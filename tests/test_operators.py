@@ -1,5 +1,6 @@
 """Operators on small tables, against what their definitions say."""
 
+import math
 import random
 
 import pytest
@@ -282,3 +283,10 @@ def test_exports(spark):
     rows = [("x", 1, nine(sets(256, record))), ("x", 2, nine(sets(0, template))), ("x", 3, nine(sets(256, record * 2))), ("y", 1, ten(sets(2, template) + sets(256, record)))]
     found = exports.flow_fields(exports.decode(spark.createDataFrame(rows, "exporter string, seq long, payload binary"))).collect()
     assert sorted((r.exporter, r.seq, r.record, r.sa, r.dp, r.bytes_out) for r in found) == [("x", 3, 0, "10.0.0.1", 80, 99), ("x", 3, 1, "10.0.0.1", 80, 99), ("y", 1, 0, "10.0.0.1", 80, 99)]
+
+
+def test_rollup_of_prevalences_that_round_to_zero(spark):
+    seen = spark.createDataFrame([(1, "a"), (2, "b")], "client int, key string")
+    weights = spark.createDataFrame([("a", "x", 0.0), ("a", "y", 0.0), ("b", "x", 0.0), ("b", "y", 0.5)], "key string, process string, prevalence double")
+    found = {(r.client, r.process): r.weight for r in aggregates.client_rollup(seen, "client", "key", weights, "process").collect()}
+    assert math.isnan(found[1, "x"]) and math.isnan(found[1, "y"]) and (found[2, "x"], found[2, "y"]) == (0.0, 1.0)

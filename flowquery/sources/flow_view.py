@@ -14,11 +14,16 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def host(net: str, number: Column) -> Column:
+    """Host ``number`` of a net of two octets; from 65,536 on the third part goes beyond 255, and the address is none of IPv4."""
+    return F.concat(F.lit(f"{net}."), F.floor(number / 256), F.lit("."), number % 256)
+
+
 def flows(spark: SparkSession, sf_dir: str, both_ways: bool = False) -> DataFrame:
     """An event as a flow record. ``both_ways``: every third runs in the other direction."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    inside = F.concat(F.lit("10.0."), F.floor(F.col("user_id") / 256), F.lit("."), F.col("user_id") % 256)
+    inside = host("10.0", F.col("user_id"))
     outside = F.concat(F.lit("192.168.0."), k)
     kind = F.col("event_type")
     served = F.when(kind == "view", 80).when(kind == "purchase", 443).when(kind == "signup", 53).when(kind == "click", 22)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowquery.features import dhcp, dns, fingerprints, http, ike, ssh, tls
 from flowquery.operators import flows
-from flowquery.operators.keys import FIVE
+from flowquery.operators.keys import FIVE, canonical
 
 
 def on(protocol: int, *ports: int) -> Column:
@@ -64,14 +64,17 @@ def attach(records: DataFrame, packets: DataFrame, names: Iterable[str], most: i
     wanted = [REGISTRY[n] for n in names]
     if not wanted:
         return records
-    sent = flows.streams(packets, most, idle, active, both)
-    back = dict(zip(FIVE, ("da", "sa", "dp", "sp", "pr"), strict=True))
-    for side, names_of in (("out", {c: c for c in FIVE}), ("in", back)):
-        named = sent.select(*(F.col(c).alias(f"_{names_of[c]}") for c in FIVE), F.col("session").alias("_session"), F.col("data").alias(f"_{side}"), F.col("pieces").alias(f"_{side}_pieces"))
-        if side == "in" and not both:
-            named = named.limit(0)
-        keys = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FIVE] + [F.col("time_start") == F.col("_session")]
-        records = records.join(named, keys, "left").drop(*(f"_{c}" for c in FIVE), "_session")
+    sent = flows.streams(packets, most, idle, active, both, True)
+    sides = sent.groupBy(F.col("_key").alias("_of"), F.col("session").alias("_session")).agg(F.collect_list(F.struct("sa", "sp", "pieces")).alias("_sides"))  # two at most
+    key = canonical() if both else F.struct(*FIVE)
+    records = records.withColumn("_key", key)
+    records = records.join(sides, (F.col("_key") == F.col("_of")) & (F.col("time_start") == F.col("_session")), "left").drop("_key", "_of", "_session")
+    for side, (address, port) in (("out", ("sa", "sp")), ("in", ("da", "dp"))):
+        own = F.lit(both or side == "out")
+        sent_it = lambda x: own & x["sa"].eqNullSafe(F.col(address)) & x["sp"].eqNullSafe(F.col(port))  # noqa: B023, E731  used at once
+        records = records.withColumn(f"_{side}_pieces", F.get(F.filter("_sides", sent_it), F.lit(0))["pieces"])
+        records = records.withColumn(f"_{side}", flows.joined(F.col(f"_{side}_pieces"), most))
+    records = records.drop("_sides")
     for f in wanted:
         part = lambda data, f=f: F.when(f.applies(), F.col(data))
         sides = [f.decode(part("_out")).alias("out"), f.decode(part("_in")).alias("in")]

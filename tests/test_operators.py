@@ -290,3 +290,11 @@ def test_rollup_of_prevalences_that_round_to_zero(spark):
     weights = spark.createDataFrame([("a", "x", 0.0), ("a", "y", 0.0), ("b", "x", 0.0), ("b", "y", 0.5)], "key string, process string, prevalence double")
     found = {(r.client, r.process): r.weight for r in aggregates.client_rollup(seen, "client", "key", weights, "process").collect()}
     assert math.isnan(found[1, "x"]) and math.isnan(found[1, "y"]) and (found[2, "x"], found[2, "y"]) == (0.0, 1.0)
+
+
+def test_near_twins_meet_in_one_join(spark):
+    rows = [(1, "a", "n", 1, 80), (2, "n", "a", 80, 1), (3, "n", "b", 80, 1), (4, "c", "a", 80, 1), (5, "x", "y", 80, 1), (6, None, "a", 80, 1), (7, "z", None, 1, 80)]
+    flow = spark.createDataFrame([(*r, 6, 0, 9) for r in rows], "seq long, sa string, da string, sp int, dp int, pr int, time_start long, time_end long")
+    found = joins.twins(flow, near=True)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (1, 3), (1, 4), (1, 6)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
